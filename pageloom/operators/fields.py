@@ -129,7 +129,7 @@ def expand_items(collected: DataFrame) -> DataFrame:
     absent. Image URLs come with item 0; a page with no other field has no item.
     """
     values = F.col("values")
-    lists = F.map_filter(values, lambda k, v: k != IMAGES)
+    lists = F.map_filter(values, lambda k, v: (k != IMAGES) & ~F.startswith(k, F.lit("_")))
     count = F.array_max(F.transform(F.map_values(lists), lambda v: F.size(v)))
 
     def record(i: Column) -> Column:
