@@ -63,12 +63,20 @@ def export_all(tables: dict[str, DataFrame], folder: str, fmt: str, mode: str =
         export(tables[name], f"{folder.rstrip('/')}/{name.lower()}", fmt, mode)
 
 
-def image_manifest(items: DataFrame, root: str, folder: Column, existing: DataFrame | None = None) -> DataFrame:
-    """Where each image URL is stored: ``url, path``; paths in ``existing`` are reused, not listed."""
+def image_manifest(
+    items: DataFrame, root: str, folder: Column, existing: DataFrame | None = None, replace: bool = False
+) -> DataFrame:
+    """Where each image URL is stored: ``url, path, fetch``.
+
+    A path listed in ``existing`` is reused (``fetch`` is false) unless ``replace``.
+    """
     urls = items.select(F.explode("image_urls").alias("url"), folder.alias("_folder")).distinct()
     path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("_folder"), F.lit("/"), file_name(F.col("url")))
     manifest = urls.select("url", path.alias("path"))
-    return manifest if existing is None else manifest.join(existing.select("path"), "path", "left_anti")
+    if existing is None or replace:
+        return manifest.withColumn("fetch", F.lit(True))
+    stored = existing.select("path").distinct().withColumn("_stored", F.lit(True))
+    return manifest.join(stored, "path", "left").select("url", "path", F.col("_stored").isNull().alias("fetch"))
 
 
 def append_visited(items: DataFrame, path: str) -> None:
