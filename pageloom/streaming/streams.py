@@ -85,10 +85,21 @@ def for_each_item(
     return _trigger(writer, available_now).start()
 
 
-def to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Drain a stream into an in-memory table (tests and small displays only)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    return _trigger(writer.option("checkpointLocation", checkpoint), True).start()
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
+    """Write every micro-batch as ``batch=<id>`` below ``path``; a replayed batch overwrites itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, available_now).start()
+
+
+def latest_updates(drained: DataFrame, keys: list[str]) -> DataFrame:
+    """Current state from drained ``update`` batches: the newest row of every key."""
+    rest = [c for c in drained.columns if c not in keys and c != "batch"]
+    newest = drained.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
 
 
 def record_progress(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

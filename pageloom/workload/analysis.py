@@ -25,7 +25,7 @@ def element_signatures(spark, sf):
 
 PART_SIGNATURES = (
     "SELECT p_partkey AS page_id, unnest(['html','head','title','body','h1#title','div.gallery','a.zoom','img.photo','a.full','table#specs','tr','td','b','i','span.val','form','input','select','option']) AS signature, "
-    "unnest([1,1,1,1,1,1,1,1,1,1,4,9,1,1,1,2,4,1,2]) AS matched FROM part UNION ALL SELECT p_partkey, 'span.key', 1 FROM part WHERE p_size % 7 <> 0"
+    "unnest([1,1,1,1,1,1,1,1,1,1,4,10,1,1,1,2,4,1,2]) AS matched FROM part UNION ALL SELECT p_partkey, 'span.key', 1 FROM part WHERE p_size % 7 <> 0"
 )
 
 
@@ -164,7 +164,7 @@ def current_selectors(spark, sf):
     f"({ACTIONS})), t AS (SELECT user, selector, count(*) FILTER (is_add) - (count(*) FILTER (is_add) - count(*) FILTER (NOT is_add) - least(min(bal), 0)) AS gone FROM b GROUP BY 1, 2), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY user, selector ORDER BY seq) AS no FROM b WHERE is_add) "
     "SELECT r.user, r.seq, CASE WHEN r.kind = 'image' THEN 'Download image' ELSE 'Select' END AS label, "
-    "rpad(r.field, greatest(20, length(r.field)), ' ') || ' <> ' || lpad(r.selector, greatest(35, length(r.selector)), ' ') AS value "
+    "rpad(r.field, greatest(20, length(r.field))::INT, ' ') || ' <> ' || lpad(r.selector, greatest(35, length(r.selector))::INT, ' ') AS value "
     "FROM r JOIN t ON r.user = t.user AND r.selector = t.selector WHERE r.no > t.gone",
 )
 def rendered_action_log(spark, sf):

@@ -132,7 +132,7 @@ def pages_passing_predicate(spark, sf):
     return Fd.to_wide(items, ["title"]).select("page_id", "title")
 
 
-@query("pages_passing_python_predicate", "SELECT page_id, url FROM pages WHERE NOT contains(html, 'lang="de"')")
+@query("pages_passing_python_predicate", "SELECT page_id, url FROM pages WHERE NOT contains(html, 'lang=\"de\"')")
 def pages_passing_python_predicate(spark, sf):
     return Fd.filter_pages(captured(spark, sf), lambda body: 'lang="de"' not in body).select("page_id", "url")
 

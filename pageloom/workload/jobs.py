@@ -163,7 +163,7 @@ def widest_record_columns(spark, sf):
 def csv_export_of_records(spark, sf):
     path = _fresh(spark, "records")
     K.export(K.wide_by_widest(_records(spark, sf), "record", "seq"), path, "CSV")
-    return spark.read.option("header", True).option("nullValue", "\u0000").csv(f"{path}.csv")
+    return spark.read.option("header", True).csv(f"{path}.csv").na.fill("")
 
 
 @query("json_export_of_documents", "SELECT doc_id, lang, text FROM documents")
