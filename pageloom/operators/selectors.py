@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from pageloom.functions.binding import bind
 from pageloom.functions.text import strip
 from pageloom.model import CSS, TEXT_TAG, XPATH, FieldSelector
 from pageloom.operators.shred import is_element
@@ -241,7 +242,12 @@ def first_text(node: Column, nodes: Column) -> Column:
 
 def element_text(node: Column, nodes: Column) -> Column:
     """:func:`first_text`, else all non-blank texts of the subtree joined with a space."""
-    texts = F.transform(F.filter(subtree(node, nodes), lambda t: t["tag"] == TEXT_TAG), lambda t: strip(t["text"]))
-    joined = F.array_join(F.filter(texts, lambda t: (t != "") & ~F.contains(t, F.lit("CDATA"))), " ")
-    first = F.coalesce(F.get(texts, 0), F.lit(""))
-    return F.when(first != "", first).otherwise(joined)
+    found = F.filter(subtree(node, nodes), lambda t: t["tag"] == TEXT_TAG)
+    texts = F.transform(found, lambda t: strip(t["text"]))
+
+    def text(all_texts: Column) -> Column:
+        visible = F.filter(all_texts, lambda t: (t != "") & ~F.contains(t, F.lit("CDATA")))
+        first = F.coalesce(F.get(all_texts, 0), F.lit(""))
+        return F.when(first != "", first).otherwise(F.array_join(visible, " "))
+
+    return bind(texts, text)

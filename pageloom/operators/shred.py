@@ -11,6 +11,7 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,72 +63,86 @@ class _Trees:
     """Flat column buffers for the nodes of a run of pages."""
 
     def __init__(self) -> None:
-        self.ints: tuple[list[int], ...] = tuple([] for _ in range(6))
+        self.last: list[int] = []
+        self.parent: list[int] = []
+        self.depth: list[int] = []
+        self.nth: list[int] = []
+        self.of_type: list[int] = []
         self.anc: list[int] = []
         self.anc_at = [0]
         self.tags: list[str] = []
         self.ids: list[str | None] = []
         self.classes: list[str] = []
-        self.classes_at = [0]
+        self.classes_at: list[int] = [0]
         self.names: list[str] = []
         self.values: list[str] = []
-        self.attrs_at = [0]
+        self.attrs_at: list[int] = [0]
         self.texts: list[str | None] = []
         self.pages_at = [0]
 
+    def _add(self, stack: list[int], last: int, tag: str, nth: int, of_type: int, text: str | None) -> None:
+        """Append one node below the open elements; its attributes must be in place already."""
+        self.last.append(last)
+        self.parent.append(stack[-1] if stack else -1)
+        self.depth.append(len(stack))
+        self.nth.append(nth)
+        self.of_type.append(of_type)
+        self.anc.extend(stack)
+        self.anc_at.append(len(self.anc))
+        self.tags.append(tag)
+        self.texts.append(text)
+        self.classes_at.append(len(self.classes))
+        self.attrs_at.append(len(self.names))
+
+    def _attributes(self, source: str) -> str | None:
+        """Append the attributes of a start tag, the first of each name; return its id."""
+        elem_id, start = None, len(self.names)
+        for name, double, single, bare in ATTR.findall(source):
+            name = name.lower()
+            if name in self.names[start:]:
+                continue
+            value = double or single or bare
+            if "&" in value:
+                value = html_lib.unescape(value)
+            self.names.append(name)
+            self.values.append(value)
+            if name == "id":
+                elem_id = value
+            elif name == "class":
+                self.classes.extend(value.split())
+        return elem_id
+
     def parse(self, source: str) -> None:
         """Append the nodes of one page."""
         base = len(self.tags)
-        last_of = self.ints[1]
+        last_of, tags, ids = self.last, self.tags, self.ids
         stack: list[int] = []
-        names: list[str] = []
+        open_tags: list[str] = []
         # per open element: child elements, text nodes and children per tag seen so far
         seen: list[list] = [[0, 0, {}]]
 
         def close_to(level: int) -> None:
-            end = len(self.tags) - base - 1
+            end = len(tags) - base - 1
             while len(stack) > level:
                 last_of[base + stack.pop()] = end
-                names.pop()
+                open_tags.pop()
                 seen.pop()
 
         def level_of(targets, shield) -> int:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in targets:
+            for i in range(len(open_tags) - 1, -1, -1):
+                if open_tags[i] in targets:
                     return i
-                if names[i] in shield:
+                if open_tags[i] in shield:
                     return -1
             return -1
 
-        def add(tag: str, nth: int, of_type: int, attrs: list, text: str | None) -> int:
-            pre = len(self.tags) - base
-            for buf, v in zip(self.ints, (pre, pre, stack[-1] if stack else -1, len(stack), nth, of_type)):
-                buf.append(v)
-            self.anc.extend(stack)
-            self.anc_at.append(len(self.anc))
-            self.tags.append(tag)
-            elem_id = None
-            done = set()
-            for name, value in attrs:
-                if name in done:
-                    continue
-                done.add(name)
-                self.names.append(name)
-                self.values.append(value)
-                if name == "id":
-                    elem_id = value
-                elif name == "class":
-                    self.classes.extend(value.split())
-            self.ids.append(elem_id)
-            self.classes_at.append(len(self.classes))
-            self.attrs_at.append(len(self.names))
-            self.texts.append(text)
-            return pre
-
         def add_text(text: str, tag: str = TEXT_TAG) -> None:
-            if text:
-                seen[-1][1] += 1
-                add(tag, seen[-1][1], 0, (), html_lib.unescape(text) if tag == TEXT_TAG and "&" in text else text)
+            siblings = seen[-1]
+            siblings[1] += 1
+            if tag == TEXT_TAG and "&" in text:
+                text = html_lib.unescape(text)
+            ids.append(None)
+            self._add(stack, len(tags) - base, tag, siblings[1], 0, text)
 
         pos, size = 0, len(source)
         while pos < size:
@@ -135,13 +150,14 @@ class _Trees:
             if m is None:
                 add_text(source[pos:])
                 break
-            if m.start() > pos:
-                add_text(source[pos : m.start()])
+            begin = m.start()
+            if begin > pos:
+                add_text(source[pos:begin])
             pos = m.end()
-            start, end = m.group(1), m.group(3)
+            start, attrs, end = m.groups()
             if start:
                 tag = start.lower()
-                if tag in CLOSES_P:
+                if tag in CLOSES_P and "p" in open_tags:
                     level = level_of(("p",), P_SHIELD)
                     if level >= 0:
                         close_to(level)
@@ -149,40 +165,42 @@ class _Trees:
                     level = level_of(*IMPLIED_ENDS[tag])
                     if level >= 0:
                         close_to(level)
-                attrs = ()
-                if m.group(2):
-                    attrs = [
-                        (a.group(1).lower(), html_lib.unescape(a.group(2) or a.group(3) or a.group(4) or ""))
-                        for a in ATTR.finditer(m.group(2))
-                    ]
+                ids.append(self._attributes(attrs) if attrs else None)
                 siblings = seen[-1]
                 siblings[0] += 1
                 of_type = siblings[2][tag] = siblings[2].get(tag, 0) + 1
-                pre = add(tag, siblings[0], of_type, attrs, None)
+                pre = len(tags) - base
+                self._add(stack, pre, tag, siblings[0], of_type, None)
                 if tag in VOID:
                     continue
                 if len(stack) < MAX_DEPTH or tag in END_OF:
                     stack.append(pre)
-                    names.append(tag)
+                    open_tags.append(tag)
                     seen.append([0, 0, {}])
                 if tag in END_OF:
                     stop = END_OF[tag].search(source, pos)
                     upto = stop.start() if stop else size
-                    add_text(source[pos:upto], RAW_TEXT_TAG if tag in RAW else TEXT_TAG)
+                    if upto > pos:
+                        add_text(source[pos:upto], RAW_TEXT_TAG if tag in RAW else TEXT_TAG)
                     pos = upto
             elif end:
                 tag = end.lower()
-                level = level_of((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
-                if level >= 0:
-                    close_to(level)
+                if tag in open_tags:
+                    level = level_of((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
+                    if level >= 0:
+                        close_to(level)
         close_to(0)
-        self.pages_at.append(len(self.tags))
+        self.pages_at.append(len(tags))
 
     def array(self) -> pa.Array:
         """One list of node structs per parsed page."""
         i32, string = pa.int32(), pa.string()
         at = [pa.array(offsets, i32) for offsets in (self.anc_at, self.classes_at, self.attrs_at, self.pages_at)]
-        columns = [pa.array(buf, i32) for buf in self.ints] + [
+        pages_at = np.asarray(self.pages_at)
+        pre = np.arange(len(self.tags)) - np.repeat(pages_at[:-1], np.diff(pages_at))
+        columns = [
+            pa.array(pre.astype("int32")),
+            *[pa.array(buf, i32) for buf in (self.last, self.parent, self.depth, self.nth, self.of_type)],
             pa.ListArray.from_arrays(at[0], pa.array(self.anc, i32)),
             pa.array(self.tags, string),
             pa.array(self.ids, string),

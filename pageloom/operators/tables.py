@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pageloom.functions.binding import bind
 from pageloom.functions.text import clean_key
 from pageloom.model import TABLE_HHEADERS, TABLE_VHEADERS, FieldSelector, TableSelector
 from pageloom.operators.selectors import element_text, select_nodes, subtree
@@ -26,11 +27,9 @@ def keys_left(table: Column, nodes: Column) -> Column:
     Single-cell rows are titles, empty keys are dropped, a missing last value is ``''``.
     """
 
-    def pairs(row: Column, number: Column) -> Column:
-        cells = F.transform(_below(row, nodes, "td"), lambda c: element_text(c, nodes))
-        evens = F.sequence(F.lit(0), F.size(cells) - 1, F.lit(2))
+    def pairs(cells: Column, number: Column) -> Column:
         made = F.transform(
-            evens,
+            F.sequence(F.lit(0), F.size(cells) - 1, F.lit(2)),
             lambda i: F.struct(
                 clean_key(cells[i]).alias("key"),
                 number.cast("int").alias("row"),
@@ -39,8 +38,11 @@ def keys_left(table: Column, nodes: Column) -> Column:
         )
         return F.when(F.size(cells) > 1, made).otherwise(F.array().cast(PAIR))
 
-    found = F.flatten(F.transform(_below(table, nodes, "tr"), pairs))
-    return F.filter(found, lambda p: p["key"] != "")
+    texts = F.transform(
+        _below(table, nodes, "tr"),
+        lambda row: F.transform(_below(row, nodes, "td"), lambda c: element_text(c, nodes)),
+    )
+    return F.filter(F.flatten(F.transform(texts, pairs)), lambda p: p["key"] != "")
 
 
 def _span(cell: Column) -> Column:
@@ -61,37 +63,46 @@ def grid(rows: Column, nodes: Column) -> Column:
             _below(r, nodes, "td"), lambda c: F.struct(_span(c).alias("span"), element_text(c, nodes).alias("text"))
         ),
     )
-    spanned = F.exists(cells_of, lambda cells: F.exists(cells, lambda c: c["span"] > 1))
 
-    def step(acc: Column, cells: Column) -> Column:
-        taken = F.transform(acc["carry"], lambda s: s["col"])
-        width = F.size(taken) + F.size(cells)
-        # columns beyond the row's width can be taken too, so look that far
-        reach = F.greatest(width, F.coalesce(F.array_max(taken) + 1, F.lit(0))) + F.size(cells)
+    def slots_of(carry: Column, cells: Column) -> Column:
+        """Carried and own cells of a row with their columns, left to right."""
+        taken = F.transform(carry, lambda s: s["col"])
+        # the free columns needed lie below this, whatever columns are taken
+        reach = F.greatest(F.size(carry), F.coalesce(F.array_max(taken) + 1, F.lit(0))) + F.size(cells)
         free = F.array_except(F.sequence(F.lit(0), reach), taken)
-        own = F.transform(
-            cells,
-            lambda c, j: F.struct(free[j].alias("col"), c["span"].alias("rest"), c["text"].alias("text")),
-        )
-        slots = F.array_sort(F.concat(acc["carry"], own))
-        columns = F.sequence(F.lit(0), F.coalesce(F.element_at(F.transform(slots, lambda s: s["col"]), -1), F.lit(-1)))
-        by_column = F.map_from_arrays(
-            F.transform(slots, lambda s: s["col"]), F.transform(slots, lambda s: s["text"])
-        )
-        row = F.when(F.size(slots) > 0, F.transform(columns, lambda c: by_column[c])).otherwise(
-            F.array().cast("array<string>")
-        )
-        carry = F.transform(
-            F.filter(slots, lambda s: s["rest"] > 1),
-            lambda s: F.struct(s["col"].alias("col"), (s["rest"] - 1).alias("rest"), s["text"].alias("text")),
+        own = bind(
+            free,
+            lambda columns: F.transform(
+                cells,
+                lambda c, j: F.struct(columns[j].alias("col"), c["span"].alias("rest"), c["text"].alias("text")),
+            ),
         )
-        return F.struct(carry.alias("carry"), F.array_append(acc["out"], row).alias("out"))
+        return F.array_sort(F.concat(carry, own))
 
-    start = F.struct(
-        F.array().cast(SLOTS).alias("carry"), F.array().cast("array<array<string>>").alias("out")
-    )
-    plain = F.transform(cells_of, lambda cells: F.transform(cells, lambda c: c["text"]))
-    return F.when(spanned, F.aggregate(cells_of, start, step, lambda acc: acc["out"])).otherwise(plain)
+    def laid_out(slots: Column) -> Column:
+        """The row's texts by column; columns nobody covers stay NULL."""
+        by_column = F.map_from_arrays(F.transform(slots, lambda s: s["col"]), F.transform(slots, lambda s: s["text"]))
+        columns = F.sequence(F.lit(0), F.element_at(slots, -1)["col"])
+        row = bind(by_column, lambda texts: F.transform(columns, lambda c: texts[c]))
+        return F.when(F.size(slots) > 0, row).otherwise(F.array().cast("array<string>"))
+
+    def step(acc: Column, cells: Column) -> Column:
+        def advance(slots: Column) -> Column:
+            carry = F.transform(
+                F.filter(slots, lambda s: s["rest"] > 1),
+                lambda s: F.struct(s["col"].alias("col"), (s["rest"] - 1).alias("rest"), s["text"].alias("text")),
+            )
+            return F.struct(carry.alias("carry"), F.array_append(acc["out"], laid_out(slots)).alias("out"))
+
+        return bind(slots_of(acc["carry"], cells), advance)
+
+    def layout(rows_of_cells: Column) -> Column:
+        start = F.struct(F.array().cast(SLOTS).alias("carry"), F.array().cast("array<array<string>>").alias("out"))
+        spanned = F.exists(rows_of_cells, lambda cells: F.exists(cells, lambda c: c["span"] > 1))
+        plain = F.transform(rows_of_cells, lambda cells: F.transform(cells, lambda c: c["text"]))
+        return F.when(spanned, F.aggregate(rows_of_cells, start, step, lambda acc: acc["out"])).otherwise(plain)
+
+    return bind(cells_of, layout)
 
 
 def keys_top(table: Column, nodes: Column) -> Column:
@@ -99,22 +110,29 @@ def keys_top(table: Column, nodes: Column) -> Column:
 
     ``array<struct<key, row, value>>``, key by key; cells missing in short rows give no value.
     """
-    rows = _below(table, nodes, "tr")
-    with_header = F.filter(rows, lambda r: F.exists(subtree(r, nodes), lambda d: d["tag"] == "th"))
-    head = F.get(with_header, 0)
-    keys = F.transform(_below(head, nodes, "th"), lambda c: element_text(c, nodes))
-    body = grid(F.filter(rows, lambda r: r["pre"] > head["last"]), nodes)
 
-    def column(key: Column, i: Column) -> Column:
-        made = F.transform(
-            body,
-            lambda cells, r: F.struct(
-                key.alias("key"), r.cast("int").alias("row"), F.get(cells, i).alias("value")
-            ),
-        )
-        return F.filter(made, lambda p: p["value"].isNotNull())
+    def columns(keys: Column, body: Column) -> Column:
+        def column(key: Column, i: Column) -> Column:
+            made = F.transform(
+                body,
+                lambda cells, r: F.struct(
+                    key.alias("key"), r.cast("int").alias("row"), F.get(cells, i).alias("value")
+                ),
+            )
+            return F.filter(made, lambda p: p["value"].isNotNull())
+
+        return F.coalesce(F.flatten(F.transform(keys, column)), F.array().cast(PAIR))
+
+    def below_header(rows: Column, head: Column) -> Column:
+        keys = F.transform(_below(head, nodes, "th"), lambda c: element_text(c, nodes))
+        body = grid(F.filter(rows, lambda r: r["pre"] > head["last"]), nodes)
+        return bind(body, lambda cells: columns(keys, cells))
+
+    def read(rows: Column) -> Column:
+        with_header = F.filter(rows, lambda r: F.exists(subtree(r, nodes), lambda d: d["tag"] == "th"))
+        return bind(F.get(with_header, 0), lambda head: below_header(rows, head))
 
-    return F.coalesce(F.flatten(F.transform(keys, column)), F.array().cast(PAIR))
+    return bind(_below(table, nodes, "tr"), read)
 
 
 def table_pairs(nodes: Column, selector: TableSelector) -> Column:
