@@ -60,43 +60,27 @@ _FLUSH_NODES = 100_000
 
 
 class _Trees:
-    """Flat column buffers for the nodes of a run of pages."""
+    """The trees of a run of pages: what only parsing can tell is listed here, the rest derived."""
 
     def __init__(self) -> None:
-        self.last: list[int] = []
+        # one entry per node; parents are positions in these lists, -1 at the top of a page
         self.parent: list[int] = []
         self.depth: list[int] = []
-        self.nth: list[int] = []
-        self.of_type: list[int] = []
-        self.anc: list[int] = []
-        self.anc_at = [0]
         self.tags: list[str] = []
-        self.ids: list[str | None] = []
-        self.classes: list[str] = []
-        self.classes_at: list[int] = [0]
-        self.names: list[str] = []
-        self.values: list[str] = []
-        self.attrs_at: list[int] = [0]
         self.texts: list[str | None] = []
         self.pages_at = [0]
+        # one entry per element with attributes
+        self.described: list[int] = []
+        self.attr_counts: list[int] = []
+        self.class_counts: list[int] = []
+        self.elem_ids: list[str | None] = []
+        self.names: list[str] = []
+        self.values: list[str] = []
+        self.classes: list[str] = []
 
-    def _add(self, stack: list[int], last: int, tag: str, nth: int, of_type: int, text: str | None) -> None:
-        """Append one node below the open elements; its attributes must be in place already."""
-        self.last.append(last)
-        self.parent.append(stack[-1] if stack else -1)
-        self.depth.append(len(stack))
-        self.nth.append(nth)
-        self.of_type.append(of_type)
-        self.anc.extend(stack)
-        self.anc_at.append(len(self.anc))
-        self.tags.append(tag)
-        self.texts.append(text)
-        self.classes_at.append(len(self.classes))
-        self.attrs_at.append(len(self.names))
-
-    def _attributes(self, source: str) -> str | None:
-        """Append the attributes of a start tag, the first of each name; return its id."""
-        elem_id, start = None, len(self.names)
+    def _describe(self, node: int, source: str) -> None:
+        """Append the attributes of a start tag, the first of each name."""
+        elem_id, start, had = None, len(self.names), len(self.classes)
         for name, double, single, bare in ATTR.findall(source):
             name = name.lower()
             if name in self.names[start:]:
@@ -110,106 +94,157 @@ class _Trees:
                 elem_id = value
             elif name == "class":
                 self.classes.extend(value.split())
-        return elem_id
+        self.described.append(node)
+        self.attr_counts.append(len(self.names) - start)
+        self.class_counts.append(len(self.classes) - had)
+        self.elem_ids.append(elem_id)
 
     def parse(self, source: str) -> None:
         """Append the nodes of one page."""
-        base = len(self.tags)
-        last_of, tags, ids = self.last, self.tags, self.ids
+        parent, depth, tags, texts = self.parent, self.depth, self.tags, self.texts
         stack: list[int] = []
         open_tags: list[str] = []
-        # per open element: child elements, text nodes and children per tag seen so far
-        seen: list[list] = [[0, 0, {}]]
 
-        def close_to(level: int) -> None:
-            end = len(tags) - base - 1
-            while len(stack) > level:
-                last_of[base + stack.pop()] = end
-                open_tags.pop()
-                seen.pop()
+        def add(tag: str, text: str | None) -> int:
+            parent.append(stack[-1] if stack else -1)
+            depth.append(len(stack))
+            tags.append(tag)
+            texts.append(text)
+            return len(tags) - 1
 
-        def level_of(targets, shield) -> int:
+        def close(targets, shield) -> None:
+            """End the innermost open element of ``targets``, with all it contains, unless shielded."""
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i] in targets:
-                    return i
+                    del stack[i:], open_tags[i:]
+                    return
                 if open_tags[i] in shield:
-                    return -1
-            return -1
+                    return
 
-        def add_text(text: str, tag: str = TEXT_TAG) -> None:
-            siblings = seen[-1]
-            siblings[1] += 1
-            if tag == TEXT_TAG and "&" in text:
-                text = html_lib.unescape(text)
-            ids.append(None)
-            self._add(stack, len(tags) - base, tag, siblings[1], 0, text)
+        def add_text(upto: int) -> None:
+            text = source[pos:upto]
+            add(TEXT_TAG, html_lib.unescape(text) if "&" in text else text)
 
         pos, size = 0, len(source)
-        while pos < size:
-            m = TAG.search(source, pos)
-            if m is None:
-                add_text(source[pos:])
-                break
+        tokens = TAG.finditer(source)
+        while m := next(tokens, None):
             begin = m.start()
             if begin > pos:
-                add_text(source[pos:begin])
+                add_text(begin)
             pos = m.end()
             start, attrs, end = m.groups()
             if start:
                 tag = start.lower()
                 if tag in CLOSES_P and "p" in open_tags:
-                    level = level_of(("p",), P_SHIELD)
-                    if level >= 0:
-                        close_to(level)
+                    close(("p",), P_SHIELD)
                 if tag in IMPLIED_ENDS:
-                    level = level_of(*IMPLIED_ENDS[tag])
-                    if level >= 0:
-                        close_to(level)
-                ids.append(self._attributes(attrs) if attrs else None)
-                siblings = seen[-1]
-                siblings[0] += 1
-                of_type = siblings[2][tag] = siblings[2].get(tag, 0) + 1
-                pre = len(tags) - base
-                self._add(stack, pre, tag, siblings[0], of_type, None)
-                if tag in VOID:
-                    continue
-                if len(stack) < MAX_DEPTH or tag in END_OF:
-                    stack.append(pre)
+                    close(*IMPLIED_ENDS[tag])
+                node = add(tag, None)
+                if attrs:
+                    self._describe(node, attrs)
+                if tag not in VOID and (len(stack) < MAX_DEPTH or tag in END_OF):
+                    stack.append(node)
                     open_tags.append(tag)
-                    seen.append([0, 0, {}])
                 if tag in END_OF:
+                    # no markup until the end tag: take the content whole and scan on from there
                     stop = END_OF[tag].search(source, pos)
                     upto = stop.start() if stop else size
-                    if upto > pos:
-                        add_text(source[pos:upto], RAW_TEXT_TAG if tag in RAW else TEXT_TAG)
+                    if upto > pos and tag in RAW:
+                        add(RAW_TEXT_TAG, source[pos:upto])
+                    elif upto > pos:
+                        add_text(upto)
                     pos = upto
+                    tokens = TAG.finditer(source, pos)
             elif end:
                 tag = end.lower()
                 if tag in open_tags:
-                    level = level_of((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
-                    if level >= 0:
-                        close_to(level)
-        close_to(0)
+                    close((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
+        if pos < size:
+            add_text(size)
         self.pages_at.append(len(tags))
 
     def array(self) -> pa.Array:
         """One list of node structs per parsed page."""
-        i32, string = pa.int32(), pa.string()
-        at = [pa.array(offsets, i32) for offsets in (self.anc_at, self.classes_at, self.attrs_at, self.pages_at)]
-        pages_at = np.asarray(self.pages_at)
-        pre = np.arange(len(self.tags)) - np.repeat(pages_at[:-1], np.diff(pages_at))
+        n, pages_at = len(self.tags), np.asarray(self.pages_at)
+        page = np.repeat(np.arange(len(pages_at) - 1), np.diff(pages_at))
+        base = pages_at[:-1][page]
+        parent, depth = np.asarray(self.parent, "int64"), np.asarray(self.depth, "int64")
+        tags = pa.array(self.tags, pa.string())
+        codes = tags.dictionary_encode()
+        kinds = np.asarray([t.as_py() in (TEXT_TAG, RAW_TEXT_TAG) for t in codes.dictionary], bool)
+        code = codes.indices.to_numpy().astype("int64")
+        is_text = kinds[code] if n else np.zeros(0, bool)
+        # siblings share this key; the tops of a page are siblings too
+        family = np.where(parent >= 0, parent, n + page)
         columns = [
-            pa.array(pre.astype("int32")),
-            *[pa.array(buf, i32) for buf in (self.last, self.parent, self.depth, self.nth, self.of_type)],
-            pa.ListArray.from_arrays(at[0], pa.array(self.anc, i32)),
-            pa.array(self.tags, string),
-            pa.array(self.ids, string),
-            pa.ListArray.from_arrays(at[1], pa.array(self.classes, string)),
-            pa.MapArray.from_arrays(at[2], pa.array(self.names, string), pa.array(self.values, string)),
-            pa.array(self.texts, string),
+            _i32(np.arange(n) - base),
+            _i32(_last(parent, depth) - base),
+            _i32(np.where(parent >= 0, parent - base, -1)),
+            _i32(depth),
+            _i32(_ordinals(family, is_text.astype("int64"))),
+            _i32(np.where(is_text, 0, _ordinals(family, code))),
+            _ancestors(parent, depth, base),
+            tags,
+            pa.array(self._sparse(self.elem_ids), pa.string()),
+            pa.ListArray.from_arrays(self._offsets(self.class_counts), pa.array(self.classes, pa.string())),
+            pa.MapArray.from_arrays(
+                self._offsets(self.attr_counts), pa.array(self.names, pa.string()), pa.array(self.values, pa.string())
+            ),
+            pa.array(self.texts, pa.string()),
         ]
         fields = "pre last parent depth nth nth_of_type anc tag id classes attrs text".split()
-        return pa.ListArray.from_arrays(at[3], pa.StructArray.from_arrays(columns, fields))
+        return pa.ListArray.from_arrays(_i32(pages_at), pa.StructArray.from_arrays(columns, fields))
+
+    def _sparse(self, values: list) -> list:
+        full = [None] * len(self.tags)
+        for node, value in zip(self.described, values):
+            full[node] = value
+        return full
+
+    def _offsets(self, counts: list[int]) -> pa.Array:
+        per_node = np.zeros(len(self.tags) + 1, "int64")
+        per_node[np.asarray(self.described, "int64") + 1] = counts
+        return _i32(np.cumsum(per_node))
+
+
+def _i32(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype("int32"))
+
+
+def _ordinals(family: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Position, from 1, of every node among the nodes of its family and kind."""
+    n = len(family)
+    order = np.lexsort((np.arange(n), kind, family))
+    new_group = np.ones(n, bool)
+    new_group[1:] = (np.diff(family[order]) != 0) | (np.diff(kind[order]) != 0)
+    starts = np.maximum.accumulate(np.where(new_group, np.arange(n), 0))
+    ordinals = np.empty(n, "int64")
+    ordinals[order] = np.arange(n) - starts + 1
+    return ordinals
+
+
+def _last(parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The last node of every subtree, from the deepest level up."""
+    last = np.arange(len(parent))
+    by_depth = np.argsort(depth, kind="stable")
+    edges = np.searchsorted(depth[by_depth], np.arange(1, depth.max(initial=0) + 2))
+    for i in range(len(edges) - 2, -1, -1):
+        level = by_depth[edges[i] : edges[i + 1]]
+        np.maximum.at(last, parent[level], last[level])
+    return last
+
+
+def _ancestors(parent: np.ndarray, depth: np.ndarray, base: np.ndarray) -> pa.Array:
+    """Every node's ancestors within its page, the top first."""
+    at = np.concatenate(([0], np.cumsum(depth)))
+    flat = np.empty(at[-1], "int32")
+    nodes = np.nonzero(depth)[0]
+    up, slot = parent[nodes], at[nodes + 1] - 1
+    while len(nodes):
+        flat[slot] = up - base[nodes]
+        more = parent[up] >= 0
+        nodes, up, slot = nodes[more], parent[up[more]], slot[more] - 1
+    return pa.ListArray.from_arrays(_i32(at), pa.array(flat))
 
 
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

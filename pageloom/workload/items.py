@@ -10,6 +10,7 @@ from pageloom.functions.text import call_arg, clean_key
 from pageloom.functions.urls import netloc
 from pageloom.model import (
     CSS,
+    MainPage,
     TABLE_HHEADERS,
     TABLE_VHEADERS,
     WORDLIST,
@@ -21,17 +22,20 @@ from pageloom.model import (
     KeyValueSelector,
     Merge,
     TableSelector,
+    UrlSelector,
 )
 from pageloom.operators import fields as Fd
 from pageloom.operators import post as P
 from pageloom.operators import tables as T
 from pageloom.operators.jobs import with_defaults, with_params
 from pageloom.operators.shred import shred
+from pageloom.plans.crawl import crawl, crawl_list
 from pageloom.sources.pages import pages_for_shredding, read_pages
 from pageloom.sources.records import site_params_from
 from pageloom.workload.pages import HOST, HREFS
 from pageloom.workload.registry import (
     captured,
+    customer_pages,
     order_pages,
     page_dom,
     part_pages,
@@ -361,3 +365,34 @@ def favicon_records_removed(spark, sf):
 @query("items_per_job", "SELECT o_custkey AS job_id, count(*) AS items FROM orders GROUP BY o_custkey")
 def items_per_job(spark, sf):
     return P.count_per_job(table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id")))
+
+
+@query(
+    "crawled_customers",
+    "SELECT DISTINCT c_custkey AS page_id, c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey",
+)
+def crawled_customers(spark, sf):
+    pages = order_pages(spark, sf).unionByName(customer_pages(spark, sf))
+    starts = order_pages(spark, sf).select("url")
+    main = MainPage(UrlSelector("a.who", CSS), ItemSelector((KeyValueSelector("name", css("h1::text")),)))
+    return Fd.to_wide(crawl(starts, main, pages), ["name"]).select("page_id", "name")
+
+
+@query(
+    "crawled_turns",
+    f"SELECT page_id, CAST(pos AS INTEGER) AS pos, l[pos + 1] AS line, CASE WHEN pos = 0 THEN role END AS role FROM ({TURN_ITEMS})",
+)
+def crawled_turns(spark, sf):
+    pages = turn_pages(spark, sf)
+    starts = pages.filter(F.col("url").endswith("/0")).select("url")
+    main = MainPage(None, TURN_SPEC, UrlSelector("a.next", CSS))
+    return Fd.to_wide(crawl(starts, main, pages), ["line", "role"]).select("page_id", "pos", "line", "role")
+
+
+@query("listed_pages_to_items", f"SELECT page_id, {TITLE} AS title FROM pages WHERE NOT contains(html, 'lang=\"de\"')")
+def listed_pages_to_items(spark, sf):
+    pages = captured(spark, sf)
+    urls = pages.select(F.explode(F.array("url", F.concat("url", F.lit("&again=1")))).alias("url"))
+    spec = ItemSelector((KeyValueSelector("title", css("title::text")),))
+    items = crawl_list(urls, spec, pages, ~F.col("html").contains('lang="de"'))
+    return Fd.to_wide(items, ["title"]).select("page_id", "title")
