@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # Runtime-changeable settings: adaptive plans split skewed joins and size partitions by data.
 SETTINGS = {
@@ -48,9 +48,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Cuts lineage, survives lost executors and gives later joins exact size statistics.
     """
+    return materialise_counted(df)[0]
+
+
+def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`materialise`, with the row count observed during the write."""
     path = f"{scratch_root(df.sparkSession)}/pageloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 def size_in_bytes(df: DataFrame) -> int:
