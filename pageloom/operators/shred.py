@@ -33,9 +33,9 @@ IMPLIED_ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "tr": ({"tr"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"optgroup"}, {"select"}),
     "body": ({"head"}, set()),
@@ -112,14 +112,18 @@ class _Trees:
             texts.append(text)
             return len(tags) - 1
 
-        def close(targets, shield) -> None:
-            """End the innermost open element of ``targets``, with all it contains, unless shielded."""
+        def close(targets, shield, outermost: bool = False) -> None:
+            """End an open element of ``targets`` that is not behind a shield, with all it contains."""
+            level = -1
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i] in targets:
-                    del stack[i:], open_tags[i:]
-                    return
-                if open_tags[i] in shield:
-                    return
+                    level = i
+                    if not outermost:
+                        break
+                elif open_tags[i] in shield:
+                    break
+            if level >= 0:
+                del stack[level:], open_tags[level:]
 
         def add_text(upto: int) -> None:
             text = source[pos:upto]
@@ -138,7 +142,7 @@ class _Trees:
                 if tag in CLOSES_P and "p" in open_tags:
                     close(("p",), P_SHIELD)
                 if tag in IMPLIED_ENDS:
-                    close(*IMPLIED_ENDS[tag])
+                    close(*IMPLIED_ENDS[tag], outermost=True)
                 node = add(tag, None)
                 if attrs:
                     self._describe(node, attrs)
