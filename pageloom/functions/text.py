@@ -30,7 +30,7 @@ def clean_key(col: Column) -> Column:
 
 def call_arg(col: Column, call: str = "FillFullSize", index: int = 1) -> Column:
     """The stripped ``index``-th comma part of text starting with ``call``, else the text."""
-    return F.when(F.startswith(col, F.lit(call)), strip(F.split(col, ",")[index])).otherwise(col)
+    return F.when(F.startswith(col, F.lit(call)), strip(F.get(F.split(col, ","), index))).otherwise(col)
 
 
 def decode_text(col: Column) -> Column:

@@ -169,7 +169,8 @@ def ordinal_selectors(dom: DataFrame) -> DataFrame:
 
     Within a page, elements sort by their path of ``(tag, ordinal)`` from themselves upwards. An
     element's path must be one step longer than what it shares with its neighbours in that
-    order, since no other path shares more.
+    order, since no other path shares more. A top element whose like is nested inside it has no
+    such chain and gets NULL.
     """
     nodes = F.col("nodes")
 
@@ -188,7 +189,8 @@ def ordinal_selectors(dom: DataFrame) -> DataFrame:
 
     def shared(a: Column, b: Column) -> Column:
         differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-        return F.coalesce(F.when(differ > 0, differ - 1).otherwise(F.least(F.size(a), F.size(b))), F.lit(0))
+        # the first and the last path have one neighbour only
+        return F.when(b.isNull(), 0).when(differ > 0, differ - 1).otherwise(F.least(F.size(a), F.size(b)))
 
     listed = dom.select("page_id", "nodes", paths.alias("paths"))
     all_paths = F.col("paths")

@@ -78,7 +78,7 @@ def content_value(nodes: Column, region: Column, spec: ContentSelector) -> Colum
     def hit(node: Column) -> Column:
         # nth of a text node counts the texts of its parent: 1 is the parent's own first text
         first_own = (node["tag"] == TEXT_TAG) & (node["nth"] == 1) & (node["parent"] >= 0)
-        return first_own & within(nodes[node["parent"]], region) & node["text"].rlike(pattern)
+        return first_own & within(F.get(nodes, node["parent"]), region) & node["text"].rlike(pattern)
 
     hits = F.transform(F.filter(nodes, hit), lambda n: F.struct(n["parent"].alias("parent"), n["text"].alias("text")))
     return F.coalesce(F.array_min(hits)["text"], F.lit(""))

@@ -176,14 +176,15 @@ def matches(node: Column, nodes: Column, steps: tuple[Step, ...]) -> Column:
     if not before:
         return cond
     if step.axis == "child":
-        return cond & (node["parent"] >= 0) & matches(nodes[node["parent"]], nodes, tuple(before))
+        parent = F.get(nodes, node["parent"])  # NULL at the top of a page, which matches nothing
+        return cond & matches(parent, nodes, tuple(before))
     return cond & F.exists(node["anc"], lambda a: matches(nodes[a], nodes, tuple(before)))
 
 
 def _taken(node: Column, nodes: Column, path: Path) -> Column:
     """Whether ``node`` contributes a value for ``path``."""
     if path.take == "own_text":
-        return (node["tag"] == TEXT_TAG) & (node["parent"] >= 0) & matches(nodes[node["parent"]], nodes, path.steps)
+        return (node["tag"] == TEXT_TAG) & matches(F.get(nodes, node["parent"]), nodes, path.steps)
     if path.take == "all_text":
         return (node["tag"] == TEXT_TAG) & F.exists(node["anc"], lambda a: matches(nodes[a], nodes, path.steps))
     cond = matches(node, nodes, path.steps)

@@ -168,11 +168,12 @@ def expanded_rows(dom: DataFrame, selector: FieldSelector | str) -> DataFrame:
     """Body rows of the selected tables with row spans filled in: ``table_no, row, cells``."""
     nodes = F.col("nodes")
     keep = [c for c in dom.columns if c != "nodes"]
-    per_table = F.transform(
-        select_nodes(nodes, selector),
-        lambda t: grid(
-            F.filter(_below(t, nodes, "tr"), lambda r: F.exists(subtree(r, nodes), lambda d: d["tag"] == "td")), nodes
-        ),
-    )
+
+    def has(row: Column, tag: str) -> Column:
+        return F.exists(subtree(row, nodes), lambda d: d["tag"] == tag)
+
+    # header rows are no body rows; empty rows are, spans run through them
+    body = lambda t: F.filter(_below(t, nodes, "tr"), lambda r: has(r, "td") | ~has(r, "th"))
+    per_table = F.transform(select_nodes(nodes, selector), lambda t: grid(body(t), nodes))
     found = dom.select(*keep, F.posexplode(per_table).alias("table_no", "_rows"))
     return found.select(*keep, "table_no", F.posexplode("_rows").alias("row", "cells"))

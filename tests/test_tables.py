@@ -1,0 +1,227 @@
+"""Views, quality, job state, histories and exports."""
+
+import json
+from pathlib import Path
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from pageloom.operators import history as H
+from pageloom.operators import jobs as C
+from pageloom.operators import quality as Q
+from pageloom.operators import views as V
+from pageloom.plans.slices import number_slice
+from pageloom.sinks import export as K
+from pageloom.sources import pages as P
+from pageloom.sources import records as R
+
+
+@pytest.fixture(scope="module")
+def cars(spark):
+    return spark.createDataFrame(
+        [("Red Car", "Fast AND small", "1"), ("blue car", "small", None), ("Green", None, "")], "name string, description string, Zip string"
+    )
+
+
+def test_search(cars):
+    assert rows(V.search(cars, "Name: car"), "name") == [("Red Car",), ("blue car",)]
+    assert rows(V.search(cars, "Description: SMALL  fast"), "name") == [("Red Car",)]
+    for unchanged in ("car", "name: car", "Nope: x", "Name:car", "Name: "):
+        assert V.search(cars, unchanged).count() == 3
+    assert V.visible(cars).count() == 3
+
+
+def test_search_splits_at_the_first_separator(spark):
+    df = spark.createDataFrame([("a: b",), ("b",)], "text string")
+    assert rows(V.search(df, "Text: a: b")) == [("a: b",)]
+
+
+def test_replace_and_highlight(cars):
+    assert rows(V.replace_all(cars, "car", "bus"), "name") == [("Green",), ("Red Car",), ("blue bus",)]
+    assert V.replace_all(cars, "small", "big").filter(F.col("description").contains("small")).isEmpty()
+    with pytest.raises(ValueError):
+        V.replace_all(cars, "", "x")
+    with pytest.raises(ValueError):
+        V.replace_all(cars, "x", "")
+    assert ("Red <font color='red'><bold>Car</bold></font>",) in rows(V.highlighted(cars, " Car "), "name")
+    assert rows(V.highlighted(cars, "")) == rows(cars)
+
+
+def test_layout(spark, cars):
+    assert V.with_headers(V.view(cars)).columns == ["Description", "Name", "Zip"]
+    assert rows(V.view(cars, ["Zip"])) == [("",), ("",), ("1",)]
+    images = spark.sql("SELECT 1 AS b, array(named_struct('url', 'u', 'path', 'p')) AS images, 'x' AS A")
+    assert V.order_columns(images).columns == ["images", "A", "b"]
+    assert V.stringify(images).dtypes[0] == ("b", "string")
+
+
+def test_missing_ratio(spark):
+    df = spark.createDataFrame([("", None, [], 0), ("a", "b", ["c"], 1)], "a string, b string, c array<string>, d int")
+    ratio = lambda **kw: rows(df.select(Q.missing_ratio(df, ["a", "b", "c", "d"], **kw)))
+    assert ratio() == [(0.0,), (0.75,)]
+    assert ratio(count_absent=True) == [(0.0,), (1.0,)]
+    assert rows(Q.verdict(df, ["a", "b", "c", "d"])) == [(2, 0.375, True)]
+    assert rows(Q.verdict(df.limit(0), ["a"])) == [(0, None, None)]
+
+
+def test_first_items_trim_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("job"), "id")
+    got = Q.first_items_per_job(df, "job", "id", 3)
+    assert rows(got, "job", "id") == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_job_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert C.latest_states(spark, path).isEmpty()
+    with pytest.raises(ValueError):
+        C.read_state(spark, path, "shop")
+    C.init_state(spark, path, "shop", "scrapy")
+    with pytest.raises(ValueError):
+        C.init_state(spark, path, "shop", "scrapy")
+    C.save_state(spark, path, "shop", ["u1"])
+    C.save_state(spark, path, "shop", ["u1", "u2"])
+    C.init_state(spark, path, "other", "selenium")
+    assert rows(C.read_state(spark, path, "shop")) == [("shop", "scrapy", ["u1", "u2"], 2)]
+    assert rows(C.job_names(spark, path)) == [("other",), ("shop",)]
+    assert C.is_of_type(spark, path, "other", "selenium") and not C.is_of_type(spark, path, "shop", "selenium")
+    C.compact_states(spark, path, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+
+
+def test_job_groups_hold_every_job_once(spark):
+    jobs = spark.createDataFrame([(i, "big" if i % 10 else "small", f"j{i}") for i in range(50)], "seq long, backend string, name string")
+    grouped = C.group_jobs(jobs, chunk=20)
+    assert grouped.filter("size > 20").isEmpty()
+    assert rows(grouped.select("backend", F.inline("jobs"))) == rows(jobs, "backend", "seq", "name")
+
+
+def test_site_params(spark):
+    got = R.site_params(spark, {"http://a.example:8/x?y": {"DOWNLOAD_DELAY": 2, "COOKIES_ENABLED": False, "OTHER": 1}})
+    assert rows(got) == [("a.example:8", None, None, 2, False, None)]
+    with pytest.raises(ValueError):
+        R.site_params(spark, {"http://a.example/x": {}, "https://a.example/": {}})
+
+
+def test_url_sources(spark):
+    assert rows(P.numbered_urls(spark, "http://x/?p=%d", 3)) == [(1, "http://x/?p=1"), (2, "http://x/?p=2"), (3, "http://x/?p=3")]
+    listed = P.listed_urls(spark, (f"http://x/{c}" for c in "ba"))
+    pages = spark.createDataFrame([(1, "http://x/a", "h")], "page_id long, url string, html string")
+    assert rows(P.url_list(listed, pages), "seq", "page_id") == [(1, None), (2, 1)]
+
+
+def test_growth_across_slices(spark):
+    data = [("u", i, s) for i, s in enumerate([10, 70, 120, 171, 171, 10])] + [("v", 3, 500)]
+    df = spark.createDataFrame(data, "url string, seq long, size long")
+    assert rows(H.grew(df, "url", ["seq"], "size", slice_=number_slice("seq", 2)), "seq") == [(1,), (3,)]
+    assert rows(H.changed(df, "url", ["seq"], "size", number_slice("seq", 1)), "seq") == [(1,), (2,), (3,), (5,)]
+
+
+ACTIONS = [  # user, seq, field, is_add, selector, kind
+    ("u", 1, "Name", True, "h1", "text"), ("u", 2, "Name", True, "h2", "text"), ("u", 3, "Price", True, "b", "text"),
+    ("u", 4, "Name", False, "h1", "text"), ("u", 5, "Name", True, "h3", "text"), ("u", 6, "x", True, "img.a", "image"),
+    ("u", 7, "y", True, "img.b", "image"), ("u", 8, "z", False, "img.a", "image"), ("u", 9, "Price", False, "q", "text"),
+]
+
+
+def test_recorded_selectors(spark):
+    df = spark.createDataFrame(ACTIONS, "user string, seq long, field string, is_add boolean, selector string, kind string")
+    assert rows(H.current_selectors(df), "field", "selector") == [("Images", "img.b"), ("Name", "h3")]
+    assert rows(H.last_action(df), "field", "selector") == [("Name", "h3"), ("x", "img.a"), ("y", "img.b")]
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_removals_take_the_oldest_row(spark, width):
+    import random
+
+    rng = random.Random(width)
+    log = [(rng.choice("st"), i, rng.random() < 0.55) for i in range(120)]
+    left: dict = {"s": [], "t": []}
+    for selector, seq, is_add in log:
+        if is_add:
+            left[selector].append(seq)
+        elif left[selector]:
+            left[selector].pop(0)
+    df = spark.createDataFrame(log, "selector string, seq long, is_add boolean")
+    got = H.surviving(df, ["selector"], slice_=number_slice("seq", width))
+    assert rows(got, "selector", "seq") == sorted([(s, q) for s in left for q in left[s]], key=repr)
+
+
+def test_rendered_log(spark):
+    df = spark.createDataFrame(
+        [("u", 1, 3, "Name", True, "h1"), ("u", 2, 4, None, True, "a.more"), ("u", 3, 3, "Name", False, "gone"),
+         ("u", 4, 3, "A very long field name of many letters", True, "s" * 40)],
+        "user string, seq long, action int, field string, is_add boolean, selector string",
+    )
+    got = {r["seq"]: (r["label"], r["value"]) for r in H.render_log(df, ["user", "selector"]).collect()}
+    assert got == {
+        1: ("Select", "{0:<20} <> {1:>35}".format("Name", "h1")),
+        2: ("Click", "a.more"),
+        4: ("Select", "A very long field name of many letters <> " + "s" * 40),
+    }
+
+
+def test_trail(spark):
+    steps = [("s", 1, "url", "a"), ("s", 2, "url", "b"), ("s", 3, "form", "?"), ("s", 4, "url", "c"), ("s", 5, "item", "i"),
+             ("s", 6, "url", "later"), ("t", 1, "url", "x")]
+    df = spark.createDataFrame(steps, "session string, seq long, kind string, url string")
+    for width in (1, 100):
+        got = H.trail(df, ["session"], slice_=number_slice("seq", width))
+        assert rows(got, "session", "seq", "kind", "url") == [
+            ("s", 1, "url", "a"), ("s", 3, "form", "b"), ("s", 4, "url", "c"), ("t", 1, "url", "x"),
+        ]
+
+
+def text_of(folder) -> str:
+    return "".join(p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("part-*")))
+
+
+def test_csv_export(spark, cars, tmp_path):
+    K.export(cars.coalesce(1), str(tmp_path / "cars"), "CSV")
+    assert text_of(tmp_path / "cars.csv") == "name,description,Zip\nRed Car,Fast AND small,1\nblue car,small,\nGreen,,\n"
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        K.export(cars, str(tmp_path / "cars"), "CSV")
+    K.export(cars.limit(0), str(tmp_path / "cars"), "CSV", mode="overwrite")
+    assert text_of(tmp_path / "cars.csv") == ""
+    with pytest.raises(ValueError):
+        K.export(cars, str(tmp_path / "cars"), "XML")
+
+
+def test_json_export_and_records(spark, tmp_path):
+    df = spark.createDataFrame([("é", bytearray(b"n\xe9")), ("b", None)], "a string, b binary").coalesce(1)
+    K.export(df, str(tmp_path / "r"), "JSON")
+    lines = text_of(tmp_path / "r.json").splitlines()
+    assert [json.loads(x) for x in lines] == [{"a": "é", "b": "né"}, {"a": "b"}]
+    assert "é" in lines[0]
+    (tmp_path / "array.json").write_text('[{"a": "x"},\n {"a": "y", "b": 1}]')
+    assert rows(R.read_records(spark, str(tmp_path / "array.json")), "a", "b") == [("x", None), ("y", 1)]
+
+
+def test_batch_export(cars, tmp_path):
+    K.export_all({"First Tab": cars, "B": cars}, str(tmp_path), "JSON", names=["First Tab"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["first tab.json"]
+    with pytest.raises(ValueError):
+        K.export_all({"B": cars}, str(tmp_path), "JSON", names=["C"])
+
+
+def test_widest_record_wins_and_the_first_on_ties(spark):
+    df = spark.createDataFrame([(1, {"a": "1"}), (2, {"b": "2", "c": "3"}), (3, {"d": "4", "e": "5"})], "seq long, r map<string,string>")
+    assert rows(K.wide_by_widest(df, "r", "seq")) == [("", ""), ("", ""), ("2", "3")]
+
+
+def test_collection_export_has_every_row_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "_id int, v string").coalesce(1)
+    K.export_table(df, str(tmp_path / "t"))
+    assert text_of(tmp_path / "t") == "v\na\nb\n"
+
+
+def test_image_manifest(spark):
+    items = spark.createDataFrame([(["http://x/a.png", "http://x/b.png"],), (["http://x/a.png"],)], "image_urls array<string>")
+    stored = spark.createDataFrame([("/s/f/a.png",)], "path string")
+    assert rows(K.image_manifest(items, "/s/", F.lit("f"), stored)) == [
+        ("http://x/a.png", "/s/f/a.png", False), ("http://x/b.png", "/s/f/b.png", True),
+    ]
+    assert K.image_manifest(items, "/s", F.lit("f"), stored, replace=True).filter("fetch").count() == 2
