@@ -48,7 +48,8 @@ def run(spark, tmp_path):
     return drain
 
 
-IS_ITEM = F.expr("event_type = 'item'")
+def is_item():
+    return F.expr("event_type = 'item'")
 
 
 def test_several_batches_arrive(stream, run):
@@ -58,24 +59,24 @@ def test_several_batches_arrive(stream, run):
 
 
 def test_routing(stream, batch, run):
-    items, _ = J.split_stream(stream, IS_ITEM, F.col("item") == "")
+    items, _ = J.split_stream(stream, is_item(), F.col("item") == "")
     assert rows(run(items), "seq") == [(i,) for i in (11, 2, 4, 5, 8, 9)]
-    _, others = J.split_stream(batch, IS_ITEM)
+    _, others = J.split_stream(batch, is_item())
     assert rows(others, "seq") == [(1,), (10,), (6,), (7,)]
 
 
 def test_running_counts(stream, batch, run):
-    items, _ = J.split_stream(stream, IS_ITEM)
-    twin, _ = J.split_stream(batch, IS_ITEM)
+    items, _ = J.split_stream(stream, is_item())
+    twin, _ = J.split_stream(batch, is_item())
     got = run(J.running_counts(items, "job"), "update", ["job"])
     assert rows(got) == rows(J.running_counts(twin, "job")) == [(1, 4), (2, 2), (3, 1)]
 
 
 def test_first_records(stream, batch, run):
-    items, _ = J.split_stream(stream, IS_ITEM)
+    items, _ = J.split_stream(stream, is_item())
     got = run(J.first_records(items, "job", "seq", ["item"]), "update", ["job"])
     assert rows(got) == [(1, 2, "a"), (2, 4, "x"), (3, 9, "z")]
-    twin, _ = J.split_stream(batch, IS_ITEM)
+    twin, _ = J.split_stream(batch, is_item())
     assert rows(J.flag_first(twin, "job", "seq").filter("is_first"), "job", "seq", "item") == rows(got)
 
 
