@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.model import GROWTH_THRESHOLD, LOG_LABELS
+from pageloom.plans.joins import lookup_join
 from pageloom.plans.slices import neighbour, number_slice, rank, running_sum, time_slice, with_group
 
 # Fixed value: column widths of a rendered selection.
@@ -54,11 +55,12 @@ def current_selectors(actions: DataFrame) -> DataFrame:
     folded = keyed.groupBy("field", "selector", image.alias("is_image")).agg(
         seq_if(F.col("is_add")).alias("added"), seq_if(~F.col("is_add")).alias("removed")
     )
-    cleared = folded.filter(~F.col("is_image")).groupBy("field").agg(F.max("removed").alias("cleared"))
-    joined = folded.join(cleared, "field", "left")
-    gone = F.when(F.col("is_image"), F.col("removed")).otherwise(F.col("cleared"))
-    active = F.col("added").isNotNull() & (gone.isNull() | (F.col("added") > gone))
-    return joined.filter(active).select("field", "selector", F.col("added").alias("seq"))
+    images = folded.filter("is_image").withColumn("gone", F.col("removed"))
+    fields = folded.filter(~F.col("is_image"))
+    cleared = fields.groupBy("field").agg(F.max("removed").alias("gone"))
+    both = images.unionByName(lookup_join(fields, cleared, "field").select(*images.columns))
+    active = F.col("added").isNotNull() & (F.col("gone").isNull() | (F.col("added") > F.col("gone")))
+    return both.filter(active).select("field", "selector", F.col("added").alias("seq"))
 
 
 def label(action: Column) -> Column:
