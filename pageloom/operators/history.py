@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.model import GROWTH_THRESHOLD, LOG_LABELS
 from pageloom.plans.joins import lookup_join
-from pageloom.plans.slices import neighbour, number_slice, rank, running_sum, time_slice, with_group
+from pageloom.plans.session import materialise
+from pageloom.plans.slices import number_slice, queue_survivors, time_slice, with_context
 
 # Fixed value: column widths of a rendered selection.
 FIELD_WIDTH, SELECTOR_WIDTH = 20, 35
@@ -16,7 +17,8 @@ def with_previous_size(
     captures: DataFrame, key: str, order: list[str], size: str, slice_: Column | None = None
 ) -> DataFrame:
     """Size of the capture before, per page."""
-    return neighbour(captures, [key], order, slice_ if slice_ is not None else time_slice(order[0]), {size: "previous"})
+    cut = slice_ if slice_ is not None else time_slice(order[0])
+    return with_context(captures, [key], order, cut, before={size: "previous"})
 
 
 def grew(
@@ -52,8 +54,11 @@ def current_selectors(actions: DataFrame) -> DataFrame:
     image = F.col("kind") == "image"
     keyed = actions.withColumn("field", F.when(image, "Images").otherwise(F.col("field")))
     seq_if = lambda cond: F.max(F.when(cond, F.col("seq")))
-    folded = keyed.groupBy("field", "selector", image.alias("is_image")).agg(
-        seq_if(F.col("is_add")).alias("added"), seq_if(~F.col("is_add")).alias("removed")
+    # three readers follow; stored, the actions are scanned and folded once
+    folded = materialise(
+        keyed.groupBy("field", "selector", image.alias("is_image")).agg(
+            seq_if(F.col("is_add")).alias("added"), seq_if(~F.col("is_add")).alias("removed")
+        )
     )
     images = folded.filter("is_image").withColumn("gone", F.col("removed"))
     fields = folded.filter(~F.col("is_image"))
@@ -86,21 +91,10 @@ def selection_text(field: Column, selector: Column) -> Column:
 def surviving(actions: DataFrame, keys: list[str], order: str = "seq", slice_: Column | None = None) -> DataFrame:
     """Additions left after all removals, where a removal takes the oldest row of its selector.
 
-    A removal of a selector that has no row does nothing. First in, first out means that the
-    survivors are the newest additions; their number is the running balance above its lowest
-    point, which needs one running sum per selector.
+    A removal of a selector that has no row does nothing.
     """
     cut = slice_ if slice_ is not None else number_slice(order)
-    balance = running_sum(actions, keys, [order], cut, F.when(F.col("is_add"), 1).otherwise(-1), "_balance")
-    total = balance.groupBy(*keys).agg(
-        F.sum(F.when(F.col("is_add"), 1).otherwise(-1)).alias("_sum"), F.min("_balance").alias("_low"),
-        F.sum(F.col("is_add").cast("long")).alias("_adds"),
-    )
-    left = total.select(*keys, (F.col("_adds") - (F.col("_sum") - F.least("_low", F.lit(0)))).alias("_gone"))
-    ranked = rank(actions.filter("is_add"), keys, [order], cut, "_no")
-    return ranked.join(left.filter("_gone > 0"), keys, "left").filter(
-        F.col("_gone").isNull() | (F.col("_no") > F.col("_gone"))
-    ).drop("_no", "_gone")
+    return queue_survivors(actions, keys, [order], cut, F.col("is_add"))
 
 
 def render_log(actions: DataFrame, keys: list[str], order: str = "seq", slice_: Column | None = None) -> DataFrame:
@@ -116,10 +110,17 @@ def trail(visits: DataFrame, session: list[str], order: str = "seq", slice_: Col
     ``visits`` has ``kind`` (``url``, ``form`` or ``item``) and ``url``.
     """
     cut = slice_ if slice_ is not None else number_slice(order)
-    until = with_group(visits, session, cut, _stop=F.when(F.col("kind") == "item", F.col(order)))
-    walked = until.filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
-    ahead = neighbour(walked, session, [order], cut, {"kind": "_next_kind"}, ahead=True)
-    both = neighbour(ahead, session, [order], cut, {"url": "_last_url"})
+    known = with_context(
+        visits,
+        session,
+        [order],
+        cut,
+        before={"url": "_last_url"},
+        after={"kind": "_next_kind"},
+        lowest={"_stop": F.when(F.col("kind") == "item", F.col(order))},
+    )
+    # the step after the last one walked is the item page, which is no form
+    walked = F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))
+    kept = known.filter(walked & F.coalesce(F.col("_next_kind") != "form", F.lit(True)))
     url = F.when(F.col("kind") == "form", F.coalesce("_last_url", "url")).otherwise(F.col("url"))
-    kept = both.filter(F.coalesce(F.col("_next_kind") != "form", F.lit(True)))
-    return kept.withColumn("url", url).drop("_next_kind", "_last_url")
+    return kept.withColumn("url", url).select(*visits.columns)

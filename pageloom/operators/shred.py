@@ -281,20 +281,21 @@ def is_element(node: Column) -> Column:
     return (node["tag"] != TEXT_TAG) & (node["tag"] != RAW_TEXT_TAG)
 
 
-def _exploded(dom: DataFrame, keep) -> DataFrame:
+def _exploded(dom: DataFrame, keep, columns: list[str]) -> DataFrame:
     carry = [c for c in dom.columns if c != "nodes"]
-    return dom.select(*carry, F.inline(F.filter("nodes", keep)))
+    narrow = F.transform(F.filter("nodes", keep), lambda n: F.struct(*[n[c].alias(c) for c in columns]))
+    return dom.select(*carry, F.inline(narrow))
 
 
-def elements(dom: DataFrame) -> DataFrame:
-    """One row per element."""
-    return _exploded(dom, is_element).drop("text")
+def elements(dom: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per element, with all its columns or the named ones."""
+    every = "pre last parent depth nth nth_of_type anc tag id classes attrs".split()
+    return _exploded(dom, is_element, columns or every)
 
 
 def texts(dom: DataFrame) -> DataFrame:
     """One row per visible text node."""
-    kept = _exploded(dom, lambda n: n["tag"] == TEXT_TAG)
-    return kept.drop("last", "nth_of_type", "tag", "id", "classes", "attrs")
+    return _exploded(dom, lambda n: n["tag"] == TEXT_TAG, "pre parent depth nth anc text".split())
 
 
 def write_dom(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:

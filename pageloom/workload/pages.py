@@ -11,6 +11,7 @@ from pageloom.operators import links as L
 from pageloom.operators import select as S
 from pageloom.operators.frontier import expand
 from pageloom.operators.shred import elements, shred
+from pageloom.plans.session import materialise
 from pageloom.sources.pages import page_by_url, read_pages, url_list
 from pageloom.workload.registry import (
     captured,
@@ -58,7 +59,7 @@ def page_at_url(spark, sf):
     "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag",
 )
 def element_tag_counts(spark, sf):
-    return elements(page_dom(spark, sf)).groupBy("tag").agg(F.count("*").alias("n"))
+    return elements(page_dom(spark, sf), ["tag"]).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -329,6 +330,8 @@ def item_links_per_listing(spark, sf):
 )
 def next_links_per_host(spark, sf):
     found = _host_links(spark, sf).withColumn("seq", F.col("page_id") * 1000 + F.col("pos"))
+    # discovered links are a table of their own: ranking reads it twice, the pages only once
+    found = materialise(found.select("host", "link", "seq"))
     return L.take_next(found, ["host"], "seq", cursor=2, n=5).select("host", "link", "position")
 
 

@@ -28,27 +28,41 @@ def test_rank_equals_row_number(events, width):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("width", [7, 10_000])
-def test_running_sum_equals_window(events, width):
-    got = slices.running_sum(events, ["k"], ["seq"], slices.number_slice("seq", width), F.col("delta"), "total")
-    upto = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    assert rows(got) == rows(events.withColumn("total", F.sum("delta").over(upto)))
-
-
-@pytest.mark.parametrize("ahead", [False, True])
 @pytest.mark.parametrize("width", [1, 7, 10_000])
-def test_neighbour_equals_lag_and_lead(events, ahead, width):
-    got = slices.neighbour(events, ["k"], ["seq"], slices.number_slice("seq", width), {"v": "near", "seq": "near_seq"}, ahead)
+def test_context_equals_windows(events, width):
+    got = slices.with_context(
+        events,
+        ["k"],
+        ["seq"],
+        slices.number_slice("seq", width),
+        before={"v": "last_v", "seq": "last_seq"},
+        after={"v": "next_v"},
+        lowest={"low": F.when(F.col("delta") == 3, F.col("seq"))},
+    )
     over = W.partitionBy("k").orderBy("seq")
-    shift = F.lead if ahead else F.lag
-    want = events.withColumn("near", shift("v").over(over)).withColumn("near_seq", shift("seq").over(over))
+    want = events.select(
+        "*",
+        F.lag("v").over(over).alias("last_v"),
+        F.lag("seq").over(over).alias("last_seq"),
+        F.lead("v").over(over).alias("next_v"),
+        F.min(F.when(F.col("delta") == 3, F.col("seq"))).over(W.partitionBy("k")).alias("low"),
+    )
+    assert got.columns == want.columns
     assert rows(got) == rows(want)
 
 
-def test_group_minimum_reaches_every_row(events):
-    got = slices.with_group(events, ["k"], slices.number_slice("seq", 50), low=F.when(F.col("delta") == 3, F.col("seq")))
-    want = events.withColumn("low", F.min(F.when(F.col("delta") == 3, F.col("seq"))).over(W.partitionBy("k")))
-    assert rows(got) == rows(want)
+@pytest.mark.parametrize("width", [1, 13, 10_000])
+def test_queue_survivors_equal_a_queue(events, width):
+    queues: dict = {}
+    for r in sorted(events.collect(), key=lambda r: r["seq"]):
+        queue = queues.setdefault(r["k"], [])
+        if r["delta"] >= 0:
+            queue.append(r["seq"])
+        elif queue:
+            queue.pop(0)
+    got = slices.queue_survivors(events, ["k"], ["seq"], slices.number_slice("seq", width), F.col("delta") >= 0)
+    assert got.columns == events.columns
+    assert rows(got, "k", "seq") == sorted([(k, s) for k in queues for s in queues[k]], key=repr)
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
