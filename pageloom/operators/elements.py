@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pageloom.functions.binding import bind
 from pageloom.functions.text import strip
 from pageloom.model import TEXT_TAG, FieldSelector
-from pageloom.operators.selectors import first_node, is_element, select_nodes, subtree
+from pageloom.operators.selectors import first_node, is_element, matches, paths, select_nodes, subtree
 
 FORM_TAGS = ("input", "select", "textarea", "button")
 # Control types a form inventory leaves out.
@@ -60,10 +63,14 @@ def similar(dom: DataFrame) -> DataFrame:
     )
 
 
-def all_similar(matched: DataFrame) -> DataFrame:
-    """Per page: whether all selected elements have the same tag, id and classes."""
-    shape = F.struct("tag", F.coalesce("id", F.lit("")), F.array_sort("classes"))
-    return matched.groupBy("page_id").agg((F.count_distinct(shape) == 1).alias("all_similar"))
+def all_similar(dom: DataFrame, selector: FieldSelector | str) -> DataFrame:
+    """Per page with matches: whether they all have the same tag, id and classes."""
+    shapes = F.transform(
+        select_nodes(F.col("nodes"), selector),
+        lambda n: F.struct(n["tag"], F.coalesce(n["id"], F.lit("")), F.array_sort(n["classes"])),
+    )
+    kinds = dom.select(*_keep(dom), F.size(F.array_distinct(shapes)).alias("_kinds"))
+    return kinds.filter("_kinds > 0").select(*_keep(dom), (F.col("_kinds") == 1).alias("all_similar"))
 
 
 def _matches_shape(shape: Column, wanted: Column, by_id_only: bool) -> Column:
@@ -122,8 +129,11 @@ def unique_selectors(dom: DataFrame) -> DataFrame:
         ),
     )
     rows = dom.select("page_id", F.inline(chains))
-    distinct = rows.groupBy("page_id", "chain").agg(F.count("*").alias("n"), F.min("pre").alias("pre"))
-    page = distinct.groupBy("page_id").agg(F.collect_list(F.struct("chain", "n", "pre")).alias("chains"))
+    # members of one page only, so the list is as small as the page
+    distinct = rows.groupBy("page_id", "chain").agg(
+        F.count("*").alias("n"), F.min("pre").alias("pre"), F.collect_list("pre").alias("pres")
+    )
+    page = distinct.groupBy("page_id").agg(F.collect_list(F.struct("chain", "n", "pre", "pres")).alias("chains"))
 
     def embedded(chain: Column, other: Column) -> Column:
         """How many leading steps of ``chain`` select the element ``other`` belongs to."""
@@ -151,17 +161,14 @@ def unique_selectors(dom: DataFrame) -> DataFrame:
         )
         return F.array_join(F.reverse(F.concat(F.array(own), above)), " ")
 
-    measured = F.transform(
-        "chains", lambda e: F.struct(e["chain"].alias("chain"), e["n"].alias("n"), e["pre"].alias("pre"), steps(e).alias("steps"))
-    )
-    best = page.select("page_id", F.inline(measured))
-    fits = (F.col("n") == 1) & (F.col("steps") <= F.size("chain"))
-    chosen = best.select("page_id", "pre", F.when(fits, text(F.col("chain"), F.col("steps"))).alias("selector"), "n")
-    single = chosen.filter("n = 1").drop("n")
-    # elements sharing their whole chain were folded into one row: list them again, unresolved
-    shared = distinct.filter("n > 1").select("page_id", "chain")
-    unresolved = rows.join(shared, ["page_id", "chain"], "left_semi")
-    return single.unionByName(unresolved.select("page_id", "pre", F.lit(None).cast("string").alias("selector")))
+    def measured(entry: Column) -> Column:
+        chain = entry["chain"]
+        # elements sharing their whole chain are beyond telling apart
+        found = bind(steps(entry), lambda k: F.when(k <= F.size(chain), text(chain, k)))
+        return F.struct(entry["pres"].alias("pres"), F.when(entry["n"] == 1, found).alias("selector"))
+
+    best = page.select("page_id", F.inline(F.transform("chains", measured)))
+    return best.select("page_id", F.explode("pres").alias("pre"), "selector")
 
 
 def ordinal_selectors(dom: DataFrame) -> DataFrame:
@@ -233,21 +240,37 @@ def first_child_with_text(dom: DataFrame, selector: FieldSelector | str) -> Data
         )
         return F.get(F.get(deep, 0)["anc"], node["depth"] + 1)
 
-    found = F.transform(
-        select_nodes(nodes, selector), lambda n: F.struct(n["pre"].alias("pre"), child(n).alias("child_pre"))
-    )
-    rows = dom.select(*_keep(dom), F.inline(found))
+    def row(node: Column) -> Column:
+        return bind(
+            child(node),
+            lambda at: F.struct(node["pre"].alias("pre"), at.alias("child_pre"), F.get(nodes, at)["tag"].alias("child_tag")),
+        )
+
+    rows = dom.select(*_keep(dom), F.inline(F.transform(select_nodes(nodes, selector), row)))
     return rows.filter(F.col("child_pre").isNotNull())
 
 
+def edited_matches(dom: DataFrame, added: list[FieldSelector | str], removed: list[FieldSelector | str]) -> DataFrame:
+    """Elements any of ``added`` selects and none of ``removed`` does, in one pass: ``pre, tag``."""
+    nodes = F.col("nodes")
+
+    def picked(node: Column, selectors: list) -> Column:
+        hits = [matches(node, nodes, path.steps) for s in selectors for path in paths(s)]
+        return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+    kept = F.filter(nodes, lambda n: picked(n, added) & ~F.coalesce(picked(n, removed), F.lit(False)))
+    narrow = F.transform(kept, lambda n: F.struct(n["pre"].alias("pre"), n["tag"].alias("tag")))
+    return dom.select(*_keep(dom), F.inline(narrow))
+
+
 def add_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Union of two match sets, each element once."""
+    """Union of two stored match sets, each element once."""
     keys = ["page_id", "pre"]
     return left.select(*keys).unionByName(right.select(*keys)).distinct()
 
 
 def remove_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """A match set without the elements of another."""
+    """A stored match set without the elements of another."""
     keys = ["page_id", "pre"]
     return left.select(*keys).join(right.select(*keys), keys, "left_anti")
 

@@ -9,6 +9,7 @@ from pageloom.operators import elements as E
 from pageloom.operators import history as H
 from pageloom.operators import select as S
 from pageloom.operators.shred import shred
+from pageloom.plans.session import materialise
 from pageloom.plans.slices import time_slice
 from pageloom.workload.registry import order_pages, page_dom, part_pages, query, sql_strip, sql_unescape, table
 
@@ -48,10 +49,10 @@ def similar_elements(spark, sf):
 
 @query("all_similar_matches", "SELECT p_partkey AS page_id, false AS all_similar FROM part UNION ALL SELECT o_orderkey + 10000000000, true FROM orders")
 def all_similar_matches(spark, sf):
-    mixed = S.select(shred(part_pages(spark, sf)), "a, img")
-    same = S.select(shred(order_pages(spark, sf)), "table.lines th")
-    done = E.all_similar(same).withColumn("page_id", F.col("page_id") + 10000000000)
-    return E.all_similar(mixed).unionByName(done)
+    mixed = E.all_similar(shred(part_pages(spark, sf)), "a, img")
+    same = E.all_similar(shred(order_pages(spark, sf)), "table.lines th")
+    shifted = same.withColumn("page_id", F.col("page_id") + 10000000000)
+    return mixed.unionByName(shifted).select("page_id", "all_similar")
 
 
 @query("unique_selectors_of_pages")
@@ -69,12 +70,9 @@ def ordinal_selectors_of_pages(spark, sf):
     "SELECT p_partkey AS page_id, CAST(2 AS INTEGER) AS n_found, 'h1' AS first_tag FROM part",
 )
 def first_children_with_text(spark, sf):
-    dom = shred(part_pages(spark, sf))
-    found = E.first_child_with_text(dom, "body, div.gallery")
-    children = S.select(dom, "h1, a").select("page_id", F.col("pre").alias("child_pre"), "tag")
-    joined = found.join(children, ["page_id", "child_pre"])
-    return joined.groupBy("page_id").agg(
-        F.count("*").cast("int").alias("n_found"), F.min_by("tag", "pre").alias("first_tag")
+    found = E.first_child_with_text(shred(part_pages(spark, sf)), "body, div.gallery")
+    return found.groupBy("page_id").agg(
+        F.count("*").cast("int").alias("n_found"), F.min_by("child_tag", "pre").alias("first_tag")
     )
 
 
@@ -83,9 +81,18 @@ def first_children_with_text(spark, sf):
     "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(?:li|a|h1)[ >]')) AS t FROM pages) WHERE NOT starts_with(t, '<li') GROUP BY page_id",
 )
 def match_set_edits(spark, sf):
-    dom = page_dom(spark, sf)
+    edited = E.edited_matches(page_dom(spark, sf), ["nav li, nav a", "h1, nav a"], ["nav ul > li"])
+    return edited.groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stored_match_set_edits",
+    "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(?:li|h1)[ >]')) AS t FROM pages) GROUP BY page_id",
+)
+def stored_match_set_edits(spark, sf):
+    dom = materialise(page_dom(spark, sf))
     union = E.add_matches(S.select(dom, "nav li, nav a"), S.select(dom, "h1, nav a"))
-    edited = E.remove_matches(union, S.select(dom, "nav ul > li"))
+    edited = E.remove_matches(union, S.select(dom, "li > a"))
     return edited.groupBy("page_id").agg(F.count("*").alias("n"))
 
 

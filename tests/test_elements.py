@@ -4,7 +4,6 @@ import re
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from pageloom.operators import elements as E
 from pageloom.operators import select as S
@@ -113,16 +112,13 @@ def test_signature_counts_elements_with_more_classes(page):
 def test_similar_groups_ignore_class_order(page):
     groups = E.similar(page(PAGES[0])).filter("n > 1")
     assert rows(groups, "tag", "classes", "n") == [("li", [], 2), ("p", ["a", "b"], 2)]
-    assert rows(E.all_similar(S.select(page(PAGES[0]), "p.a"))) == [(1, True)]
-    assert rows(E.all_similar(S.select(page(PAGES[0]), "p"))) == [(1, False)]
+    assert rows(E.all_similar(page(PAGES[0], "<b>"), "p.a"), "page_id", "all_similar") == [(1, True)]
+    assert rows(E.all_similar(page(PAGES[0]), "p"), "all_similar") == [(False,)]
 
 
 def test_first_child_with_text(page):
     dom = page("<div><i></i><b> </b><u><s>x</s></u><p>y</p></div>", "<div>own<b></b></div>")
-    got = E.first_child_with_text(dom, "div").join(
-        S.select(dom, "u, p, b, i").select("page_id", F.col("pre").alias("child_pre"), "tag"), ["page_id", "child_pre"]
-    )
-    assert rows(got, "page_id", "tag") == [(1, "u")]
+    assert rows(E.first_child_with_text(dom, "div"), "page_id", "child_tag") == [(1, "u")]
 
 
 def test_match_sets(page):
@@ -130,6 +126,7 @@ def test_match_sets(page):
     a, b = S.select(dom, "p.a"), S.select(dom, "p.b")
     assert E.add_matches(a, b).count() == 2
     assert E.remove_matches(a, b).count() == 1
+    assert rows(E.edited_matches(dom, ["p.a", "p.b"], ["p.b"]), "pre") == rows(E.remove_matches(a, b), "pre")
 
 
 @pytest.mark.parametrize(
