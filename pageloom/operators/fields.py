@@ -72,9 +72,21 @@ def extract_fields(dom: DataFrame, spec: ItemSelector) -> DataFrame:
 
 
 def field_rows(extracted: DataFrame) -> DataFrame:
-    """Long form: ``selector_no, key, pos, value``."""
+    """Long form: ``no`` (order on the page), ``selector_no, key, pos, value``."""
     keep = [c for c in extracted.columns if c != "fields"]
-    return extracted.select(*keep, F.inline("fields"))
+    return extracted.select(*keep, F.posexplode("fields").alias("no", "_field")).select(*keep, "no", "_field.*")
+
+
+def regroup_fields(rows: DataFrame) -> DataFrame:
+    """Back from the long form, for values that went through a Python or pandas function.
+
+    Groups are the fields of one page, so they are as small as the page.
+    """
+    keep = [c for c in rows.columns if c not in ("no", "selector_no", "key", "pos", "value")]
+    listed = rows.groupBy(*keep).agg(
+        F.array_sort(F.collect_list(F.struct("no", "selector_no", "key", "pos", "value"))).alias("fields")
+    )
+    return listed.withColumn("fields", F.transform("fields", lambda f: f.dropFields("no")))
 
 
 def process_fields(extracted: DataFrame, processors: dict[str, list[Processor]] | None = None) -> DataFrame:
@@ -111,15 +123,21 @@ def process_by_site(extracted: DataFrame, processor: str = "processor", key: str
     return extracted.withColumn("fields", F.transform("fields", clean))
 
 
-def collect_fields(extracted: DataFrame) -> DataFrame:
-    """``values``: key -> list of values, several selectors of a key appending to one list."""
+def collect_fields(extracted: DataFrame, outputs: dict[str, Processor] | None = None) -> DataFrame:
+    """``values``: key -> list of values, several selectors of a key appending to one list.
+
+    ``outputs`` maps a key to a function of its list (an output processor); lists stay as they
+    are by default.
+    """
     fields = F.col("fields")
     keys = F.array_distinct(F.transform(fields, lambda f: f["key"]))
-    lists = F.transform(
-        keys, lambda k: F.transform(F.filter(fields, lambda f: f["key"] == k), lambda f: f["value"])
-    )
+
+    def list_of(key: Column) -> Column:
+        values = F.transform(F.filter(fields, lambda f: f["key"] == key), lambda f: f["value"])
+        return reduce(lambda acc, kf: F.when(key == kf[0], kf[1](values)).otherwise(acc), (outputs or {}).items(), values)
+
     keep = [c for c in extracted.columns if c != "fields"]
-    return extracted.select(*keep, F.map_from_arrays(keys, lists).alias("values"))
+    return extracted.select(*keep, F.map_from_arrays(keys, F.transform(keys, list_of)).alias("values"))
 
 
 def expand_items(collected: DataFrame) -> DataFrame:

@@ -43,6 +43,22 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/pageloom/{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below this application's scratch folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables once no plan reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table below the scratch root and read it back.
 
@@ -53,7 +69,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """:func:`materialise`, with the row count observed during the write."""
-    path = f"{scratch_root(df.sparkSession)}/pageloom/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]

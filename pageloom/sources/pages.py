@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,10 +34,16 @@ def numbered_urls(spark: SparkSession, template: str, count: int, first: int = 1
 
 
 def listed_urls(spark: SparkSession, urls: Iterable[str]) -> DataFrame:
-    """URLs of a user's generator, in its order: ``seq, url``."""
+    """URLs of a user's generator, in its order: ``seq, url``; for lists short enough for the driver."""
     return spark.createDataFrame(enumerate(urls, 1), "seq long, url string")
 
 
+def generated_urls(seeds: DataFrame, column: str, generate: Callable[[str], Iterable[str]]) -> DataFrame:
+    """URLs a Python generator yields for each seed, run on the executors: ``pos, url`` per seed row."""
+    made = F.udf(lambda seed: list(generate(seed)), "array<string>", useArrow=True)
+    return seeds.select("*", F.posexplode(made(column)).alias("pos", "url"))
+
+
 def url_list(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """The listed URLs with their captured pages; uncaptured ones stay with NULL page columns."""
     return urls.join(pages, "url", "left")

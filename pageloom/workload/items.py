@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import call_arg, clean_key
@@ -367,6 +368,21 @@ def items_per_job(spark, sf):
     return P.count_per_job(table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id")))
 
 
+@query(
+    "fields_through_pandas",
+    f"SELECT page_id, array_to_string(list_transform({HREFS}, lambda x: replace({sql_unescape('x')}, 'e', 'E')), '|') AS links FROM pages",
+)
+def fields_through_pandas(spark, sf):
+    @F.pandas_udf("string")
+    def marked(values: pd.Series) -> pd.Series:
+        return values.str.replace("e", "E", regex=False)
+
+    spec = ItemSelector((KeyValueSelector("link", css("nav a::attr(href)")),))
+    rows = Fd.field_rows(Fd.extract_fields(page_dom(spark, sf), spec)).withColumn("value", marked("value"))
+    joined = Fd.collect_fields(Fd.regroup_fields(rows), {"link": lambda v: F.array(F.array_join(v, "|"))})
+    return joined.select("page_id", F.col("values")["link"][0].alias("links"))
+
+
 @query(
     "crawled_customers",
     "SELECT DISTINCT c_custkey AS page_id, c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey",

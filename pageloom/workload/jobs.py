@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import decode_text
 from pageloom.functions.urls import netloc
 from pageloom.operators import jobs as C
-from pageloom.plans.session import scratch_root
+from pageloom.plans.session import fresh_path
 from pageloom.sinks import export as K
-from pageloom.sources.pages import read_pages
+from pageloom.sources.pages import generated_urls, read_pages
 from pageloom.sources.records import read_records, scan_without, site_params_from
 from pageloom.workload.pages import HOST
 from pageloom.workload.registry import query, table
 
 
-def _fresh(spark, name: str) -> str:
-    return f"{scratch_root(spark)}/pageloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("collection_without_key", "SELECT c_name, c_nationkey, c_mktsegment FROM customer")
 def collection_without_key(spark, sf):
     return scan_without(table(spark, sf, "customer").drop("c_acctbal"), "c_custkey")
@@ -116,7 +110,7 @@ def next_job_id_of_empty_table(spark, sf):
 )
 def job_states_latest(spark, sf):
     events = table(spark, sf, "events")
-    path = _fresh(spark, "states")
+    path = fresh_path(spark, "states")
     states = events.select(
         F.concat(F.lit("job"), "user_id").alias("job_name"),
         F.col("event_type").alias("job_type"),
@@ -161,21 +155,21 @@ def widest_record_columns(spark, sf):
     "CASE WHEN p_type = 'ECONOMY' THEN 'yes' ELSE '' END AS cheap, CASE WHEN p_retailprice > 905 THEN 'high' ELSE '' END AS price FROM part",
 )
 def csv_export_of_records(spark, sf):
-    path = _fresh(spark, "records")
+    path = fresh_path(spark, "records")
     K.export(K.wide_by_widest(_records(spark, sf), "record", "seq"), path, "CSV")
     return spark.read.option("header", True).csv(f"{path}.csv").na.fill("")
 
 
 @query("json_export_of_documents", "SELECT doc_id, lang, text FROM documents")
 def json_export_of_documents(spark, sf):
-    path = _fresh(spark, "documents")
+    path = fresh_path(spark, "documents")
     K.export(table(spark, sf, "documents").select("doc_id", "lang", "text"), path, "JSON")
     return read_records(spark, f"{path}.json", "doc_id long, lang string, text string", multi_line=False)
 
 
 @query("collection_export", "SELECT c_name, c_mktsegment FROM customer")
 def collection_export(spark, sf):
-    path = _fresh(spark, "customers")
+    path = fresh_path(spark, "customers")
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), "c_name", "c_mktsegment")
     K.export_table(customers, path)
     return spark.read.option("header", True).csv(path)
@@ -186,7 +180,7 @@ def collection_export(spark, sf):
     "SELECT 'customers' AS source, c_name AS name FROM customer UNION ALL SELECT 'suppliers', s_name FROM supplier",
 )
 def batch_export(spark, sf):
-    folder = _fresh(spark, "batch")
+    folder = fresh_path(spark, "batch")
     tables = {
         "Customers": table(spark, sf, "customer").select(F.col("c_name").alias("name")),
         "Suppliers": table(spark, sf, "supplier").select(F.col("s_name").alias("name")),
@@ -211,7 +205,7 @@ def decoded_bytes(spark, sf):
 
 @query("visited_pages_appended", "SELECT DISTINCT 'job' || user_id AS job_name, 'http://e.example.com/' || event_type AS url FROM events")
 def visited_pages_appended(spark, sf):
-    path = _fresh(spark, "visited")
+    path = fresh_path(spark, "visited")
     items = table(spark, sf, "events").select(
         F.concat(F.lit("job"), "user_id").alias("job_name"),
         F.concat(F.lit("http://e.example.com/"), "event_type").alias("scraped_url"),
@@ -233,3 +227,13 @@ def image_manifest(spark, sf):
         F.concat(F.lit("/store/ECONOMY/"), "p_partkey", F.lit(".jpg")).alias("path")
     )
     return K.image_manifest(items, "/store", F.col("p_type"), stored)
+
+
+@query(
+    "urls_generated_per_seed",
+    "SELECT c_custkey AS seed, CAST(n AS INTEGER) AS pos, 'http://shop.example.com/' || c_mktsegment || '?p=' || n AS url FROM customer, range(3) t(n)",
+)
+def urls_generated_per_seed(spark, sf):
+    seeds = table(spark, sf, "customer").select(F.col("c_custkey").alias("seed"), "c_mktsegment")
+    pages_of = lambda segment: (f"http://shop.example.com/{segment}?p={n}" for n in range(3))
+    return generated_urls(seeds, "c_mktsegment", pages_of).select("seed", "pos", "url")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.plans.session import scratch_root
+from pageloom.plans.session import fresh_path
 from pageloom.sources.events import read_events
 from pageloom.streaming import streams as J
 from pageloom.workload.registry import query, table
@@ -18,7 +16,7 @@ def _stream(spark, sf):
 
 def _drained(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its source and read what it wrote."""
-    base = f"{scratch_root(spark)}/pageloom/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     J.drain(stream, f"{base}/out", f"{base}/checkpoint", mode).awaitTermination()
     schema = stream.schema.add("batch", "long")
     return spark.read.schema(schema).parquet(f"{base}/out")
@@ -110,7 +108,7 @@ def records_of_running_jobs(spark, sf):
 
 @query("streamed_progress", "SELECT DISTINCT 'job' || user_id AS job_name, 'http://e.example.com/' || event_type AS url FROM events")
 def streamed_progress(spark, sf):
-    base = f"{scratch_root(spark)}/pageloom/progress-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "progress")
     items = _stream(spark, sf).select(
         F.concat(F.lit("job"), "user_id").alias("job_name"),
         F.concat(F.lit("http://e.example.com/"), "event_type").alias("scraped_url"),

@@ -101,6 +101,15 @@ def test_selectors_of_one_key_append_in_order_and_tables_come_last(page):
     assert got.first()["values"] == {"k": ["2", "3", "1", "4"]}
 
 
+def test_output_processors_and_the_long_form(page):
+    spec = ItemSelector((KeyValueSelector("k", css("b::text")), KeyValueSelector("m", css("i::text"))))
+    fields = Fd.extract_fields(page("<b>1</b><i>2</i><b>3</b>"), spec)
+    rows_back = Fd.regroup_fields(Fd.field_rows(fields).repartition(3))
+    assert rows_back.first()["fields"] == fields.first()["fields"]
+    first = Fd.collect_fields(fields, {"k": lambda v: F.slice(v, 1, 1)})
+    assert first.first()["values"] == {"k": ["1"], "m": ["2"]}
+
+
 def test_content_fields_skip_pages_without_region(page):
     spec = ItemSelector((KeyValueSelector("cpu", ContentSelector(FieldSelector("amd", WORDLIST), css("div"))),))
     got = Fd.field_rows(Fd.extract_fields(page("<div>AMD x</div>", "<div>x</div>", "<p>amd"), spec))

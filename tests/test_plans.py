@@ -1,6 +1,7 @@
 """Slices, salted joins, scratch tables: exact whatever the split."""
 
 import random
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -88,7 +89,9 @@ def test_scratch_folder_comes_from_the_session(spark, events):
     stored, count = PS.materialise_counted(events)
     assert count == 600
     assert rows(stored) == rows(events)
-    assert "pageloom" in stored.inputFiles()[0] and PS.scratch_root(spark) in stored.inputFiles()[0]
+    assert f"{PS.scratch_root(spark)}/pageloom/{spark.sparkContext.applicationId}/" in stored.inputFiles()[0]
+    PS.clear_scratch(spark)
+    assert not Path(stored.inputFiles()[0].removeprefix("file:")).exists()
 
 
 def test_spread_leaves_wide_inputs_alone(spark):
