@@ -111,9 +111,9 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_unescape(expr: str) -> str:
-    """Entity decoding in oracle SQL."""
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        expr = f"replace({expr}, '{entity}', '{char}')"
+    """Entity decoding in oracle SQL; as in HTML, these references also count without a semicolon."""
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{name};?', '{char}', 'g')"
     return expr
 
 

@@ -64,6 +64,12 @@ def test_title_content_is_text_without_markup():
     assert outline("<title>a <b>&amp; c</title>d") == "0:title 1:'a <b>& c' 0:'d'"
 
 
+def test_entities_decode_once_with_or_without_semicolon():
+    assert outline("<p>a &amp; b &lt;i&gt; &#233;&#x41; &amp;lt; x&amp &nope; & &copy2") == (
+        "0:p 1:'a & b <i> éA &lt; x& &nope; & ©2'"
+    )
+
+
 def test_comments_and_declarations_vanish_and_split_text():
     assert outline("<!DOCTYPE html><p>a<!-- <b>no</b> -->b<?pi?>c") == "0:p 1:'a' 1:'b' 1:'c'"
     assert outline("a<!-- open") == "0:'a'"
