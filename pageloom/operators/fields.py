@@ -11,6 +11,7 @@ from pageloom.functions.text import call_arg, strip
 from pageloom.functions.urls import absolutise
 from pageloom.model import (
     INVALID_KEY,
+    RESERVED_FIELDS,
     ContentSelector,
     FieldSelector,
     ImageSelector,
@@ -180,6 +181,25 @@ def to_wide(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.select(*keep, *[F.col("record")[k].alias(k) for k in keys])
 
 
+def to_records(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Wide items under their reserved names: the given fields, then job, page and image columns.
+
+    ``items`` carry their provenance; ``_postinfo`` is part of the spec, not of the rows, and stays
+    NULL.
+    """
+    values = (
+        F.col("job_id"),
+        F.col(IMAGES),
+        F.col("images") if "images" in items.columns else F.lit(None).cast("array<struct<url:string,path:string>>"),
+        F.lit(None).cast("string"),
+        F.col("job_type"),
+        F.col("scraped_url"),
+        F.col("job_name"),
+    )
+    reserved = [value.alias(name) for name, value in zip(RESERVED_FIELDS, values)]
+    return items.select(*[F.col("record")[k].alias(k) for k in keys], *reserved)
+
+
 def attrs_matching(dom: DataFrame, tags: list[str], attrs: list[str], regex: str) -> DataFrame:
     """Given attributes of given tags whose value matches: ``pre, tag, attr, value``."""
     found = F.flatten(

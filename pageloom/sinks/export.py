@@ -9,6 +9,13 @@ from pageloom.functions.urls import file_name
 from pageloom.sources.records import scan_without
 
 FORMATS = ("CSV", "JSON")
+# Cells as they are: quotes doubled inside quoted cells, edge spaces kept, empty text left empty.
+CSV_OPTIONS = {
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def widest_columns(records: DataFrame, keys: Column, order: str) -> DataFrame:
@@ -36,7 +43,7 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     text = decode_bytes(df)
     text = text.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in text.columns])
     header = not df.isEmpty()
-    text.write.mode(mode).option("header", header).option("emptyValue", "").csv(path)
+    text.write.mode(mode).options(header=header, **CSV_OPTIONS).csv(path)
 
 
 def export_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -215,6 +215,18 @@ def wide_items(spark, sf):
     return Fd.to_wide(items, ["Name", "Kind", "Colour"]).select("page_id", "Name", "Kind", "Colour")
 
 
+@query(
+    "item_records",
+    "SELECT p_name AS \"Name\", CAST(3 AS INTEGER) AS _id, 'http://shop.example.com/img/' || p_partkey || '.png' AS image, "
+    "'scrapy' AS _spidertype, 'http://shop.example.com/part/' || p_partkey AS _scrapedurl, 'parts' AS _spidername FROM part",
+)
+def item_records(spark, sf):
+    spec = ItemSelector((KeyValueSelector("Name", css("#title::text")), KeyValueSelector("x", ImageSelector("img::src", CSS))))
+    items = Fd.expand_items(Fd.collect_fields(Fd.process_fields(Fd.extract_fields(shred(part_pages(spark, sf)), spec))))
+    records = Fd.to_records(Fd.with_provenance(items, 3, "parts", "scrapy"), ["Name"])
+    return records.withColumn("image", F.col("image_urls")[0]).drop("image_urls", "images", "_postinfo")
+
+
 @query(
     "items_of_mixed_selectors",
     "SELECT p_partkey AS page_id, p_name AS name, p_brand || ' ok' AS brand, p_type AS kind, CAST(p_size AS VARCHAR) AS size, "

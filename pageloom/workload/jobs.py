@@ -160,6 +160,13 @@ def csv_export_of_records(spark, sf):
     return spark.read.option("header", True).csv(f"{path}.csv").na.fill("")
 
 
+@query("csv_export_of_texts", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
+def csv_export_of_texts(spark, sf):
+    path = fresh_path(spark, "texts")
+    K.export_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return spark.read.options(header=True, multiLine=True, **K.CSV_OPTIONS).schema("doc_id string, text string").csv(path)
+
+
 @query("json_export_of_documents", "SELECT doc_id, lang, text FROM documents")
 def json_export_of_documents(spark, sf):
     path = fresh_path(spark, "documents")

@@ -190,6 +190,16 @@ def test_csv_export(spark, cars, tmp_path):
         K.export(cars, str(tmp_path / "cars"), "XML")
 
 
+def test_csv_cells_survive_a_standard_reader(spark, tmp_path):
+    import csv
+    import io
+
+    cells = ['say "hi"', " edge ", "a,b", "two\nlines", "back\\slash", "", '"', "é"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, v string").coalesce(1)
+    K.export_csv(df, str(tmp_path / "t"))
+    assert [r["v"] for r in csv.DictReader(io.StringIO(text_of(tmp_path / "t")))] == cells
+
+
 def test_json_export_and_records(spark, tmp_path):
     df = spark.createDataFrame([("é", bytearray(b"n\xe9")), ("b", None)], "a string, b binary").coalesce(1)
     K.export(df, str(tmp_path / "r"), "JSON")
