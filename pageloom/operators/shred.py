@@ -105,12 +105,11 @@ class _Trees:
         stack: list[int] = []
         open_tags: list[str] = []
 
-        def add(tag: str, text: str | None) -> int:
+        def add(tag: str, text: str | None) -> None:
             parent.append(stack[-1] if stack else -1)
             depth.append(len(stack))
             tags.append(tag)
             texts.append(text)
-            return len(tags) - 1
 
         def close(targets, shield, outermost: bool = False) -> None:
             """End an open element of ``targets`` that is not behind a shield, with all it contains."""
@@ -125,46 +124,47 @@ class _Trees:
             if level >= 0:
                 del stack[level:], open_tags[level:]
 
-        def add_text(upto: int) -> None:
-            text = source[pos:upto]
-            add(TEXT_TAG, html_lib.unescape(text) if "&" in text else text)
-
         pos, size = 0, len(source)
         tokens = TAG.finditer(source)
         while m := next(tokens, None):
-            begin = m.start()
+            begin, upto = m.span()
             if begin > pos:
-                add_text(begin)
-            pos = m.end()
+                text = source[pos:begin]
+                add(TEXT_TAG, html_lib.unescape(text) if "&" in text else text)
+            pos = upto
             start, attrs, end = m.groups()
-            if start:
+            if end:
+                tag = end.lower()
+                if open_tags and open_tags[-1] == tag:
+                    stack.pop()
+                    open_tags.pop()
+                elif tag in open_tags:
+                    close((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
+            elif start:
                 tag = start.lower()
                 if tag in CLOSES_P and "p" in open_tags:
                     close(("p",), P_SHIELD)
                 if tag in IMPLIED_ENDS:
                     close(*IMPLIED_ENDS[tag], outermost=True)
-                node = add(tag, None)
+                node = len(tags)
+                add(tag, None)
                 if attrs:
                     self._describe(node, attrs)
-                if tag not in VOID and (len(stack) < MAX_DEPTH or tag in END_OF):
-                    stack.append(node)
-                    open_tags.append(tag)
+                if tag in VOID or (len(stack) >= MAX_DEPTH and tag not in END_OF):
+                    continue
+                stack.append(node)
+                open_tags.append(tag)
                 if tag in END_OF:
                     # no markup until the end tag: take the content whole and scan on from there
                     stop = END_OF[tag].search(source, pos)
                     upto = stop.start() if stop else size
-                    if upto > pos and tag in RAW:
-                        add(RAW_TEXT_TAG, source[pos:upto])
-                    elif upto > pos:
-                        add_text(upto)
+                    if upto > pos:
+                        text = source[pos:upto]
+                        add(*((RAW_TEXT_TAG, text) if tag in RAW else (TEXT_TAG, html_lib.unescape(text))))
                     pos = upto
                     tokens = TAG.finditer(source, pos)
-            elif end:
-                tag = end.lower()
-                if tag in open_tags:
-                    close((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
         if pos < size:
-            add_text(size)
+            add(TEXT_TAG, html_lib.unescape(source[pos:]))
         self.pages_at.append(len(tags))
 
     def array(self) -> pa.Array:
