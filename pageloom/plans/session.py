@@ -16,7 +16,8 @@ SETTINGS = {
     # pages differ widely in size: bound Arrow batches by bytes as well as by rows
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Planned sizes count compressed files; rows in memory may take several times as much.
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -114,13 +114,22 @@ def job_states_latest(spark, sf):
     states = events.select(
         F.concat(F.lit("job"), "user_id").alias("job_name"),
         F.col("event_type").alias("job_type"),
-        F.array(F.col("event_id").cast("string")).alias("visited"),
         F.col("event_id").alias("version"),
     )
-    states.write.parquet(path)
+    states.write.parquet(f"{path}/states")
     return C.latest_states(spark, path).select("job_name", "job_type", "version")
 
 
+@query("job_visited_urls", "SELECT DISTINCT url FROM pages")
+def job_visited_urls(spark, sf):
+    path = fresh_path(spark, "state")
+    pages = read_pages(spark, f"{sf}/pages.parquet").select("url")
+    C.init_state(spark, path, "shop", "scrapy")
+    C.save_state(spark, path, "shop", pages.filter(F.col("url").contains("/en/")))
+    C.save_state(spark, path, "shop", pages)
+    return C.visited_urls(spark, path, "shop")
+
+
 def _records(spark, sf):
     """Parts as records whose keys depend on the part."""
     c = F.col

@@ -80,14 +80,19 @@ def test_job_state(spark, tmp_path):
     C.init_state(spark, path, "shop", "scrapy")
     with pytest.raises(ValueError):
         C.init_state(spark, path, "shop", "scrapy")
-    C.save_state(spark, path, "shop", ["u1"])
-    C.save_state(spark, path, "shop", ["u1", "u2"])
+    urls = lambda *us: spark.createDataFrame([(u,) for u in us], "url string")
+    C.save_state(spark, path, "shop", urls("u1"))
+    C.save_state(spark, path, "shop", urls("u1", "u2", "u2"))
     C.init_state(spark, path, "other", "selenium")
-    assert rows(C.read_state(spark, path, "shop")) == [("shop", "scrapy", ["u1", "u2"], 2)]
+    assert rows(C.read_state(spark, path, "shop")) == [("shop", "scrapy", 2)]
+    assert rows(C.visited_urls(spark, path, "shop")) == [("u1",), ("u2",)]
+    assert rows(C.visited_urls(spark, path, "other")) == []
     assert rows(C.job_names(spark, path)) == [("other",), ("shop",)]
     assert C.is_of_type(spark, path, "other", "selenium") and not C.is_of_type(spark, path, "shop", "selenium")
-    C.compact_states(spark, path, str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+    compact = str(tmp_path / "compact")
+    C.compact_states(spark, path, compact)
+    assert rows(C.latest_states(spark, compact)) == rows(C.latest_states(spark, path))
+    assert spark.read.parquet(f"{compact}/visited").count() == 2
 
 
 def test_job_groups_hold_every_job_once(spark):
