@@ -85,14 +85,47 @@ def for_each_item(
     return _trigger(writer, available_now).start()
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
-    """Write every micro-batch as ``batch=<id>`` below ``path``; a replayed batch overwrites itself."""
+def route(
+    stream: DataFrame,
+    is_item: Column,
+    is_empty: Column | None,
+    on_items: Callable[[DataFrame, int], None],
+    on_events: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """One query feeding two consumers: each micro-batch is read once and split in two.
+
+    The micro-batch is cached while both consumers run; cached blocks that get lost are read from
+    the source again.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        cached = batch.persist()
+        try:
+            items, events = split_stream(cached, is_item, is_empty)
+            on_items(items, batch_id)
+            on_events(events, batch_id)
+        finally:
+            cached.unpersist()
+
+    return for_each_item(stream, split, checkpoint, available_now)
+
+
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """A consumer writing ``batch=<id>`` below ``path``; a replayed batch overwrites itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(writer, available_now).start()
+    return write
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
+    """Write every micro-batch as ``batch=<id>`` below ``path``; a replayed batch overwrites itself."""
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(batch_writer(path))
+    return _trigger(writer.option("checkpointLocation", checkpoint), available_now).start()
 
 
 def latest_updates(drained: DataFrame, keys: list[str]) -> DataFrame:

@@ -34,9 +34,15 @@ IS_ITEM = "event_type IN ('view', 'click')"
     f"SELECT 'data' AS branch, event_id FROM events WHERE {IS_ITEM} AND value >= 1 UNION ALL SELECT 'event', event_id FROM events WHERE NOT ({IS_ITEM})",
 )
 def routed_events(spark, sf):
-    items, others = J.split_stream(_stream(spark, sf), F.expr(IS_ITEM), F.col("value") < 1)
-    branches = [_drained(spark, s.select(F.lit(name).alias("branch"), "event_id")) for s, name in ((items, "data"), (others, "event"))]
-    return branches[0].unionByName(branches[1]).drop("batch")
+    base = fresh_path(spark, "routed")
+    stream = _stream(spark, sf).select("event_id", "event_type", "value")
+    writers = [J.batch_writer(f"{base}/{branch}") for branch in ("data", "event")]
+    J.route(stream, F.expr(IS_ITEM), F.col("value") < 1, *writers, f"{base}/checkpoint", available_now=True).awaitTermination()
+    read = [
+        spark.read.schema("event_id long").parquet(f"{base}/{branch}").select(F.lit(branch).alias("branch"), "event_id")
+        for branch in ("data", "event")
+    ]
+    return read[0].unionByName(read[1])
 
 
 @query("drained_items", "SELECT event_id, user_id, props FROM events")

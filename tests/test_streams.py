@@ -131,3 +131,16 @@ def test_a_polling_query_keeps_running(stream, tmp_path):
         assert query.isActive
     finally:
         query.stop()
+
+
+def test_one_query_feeds_both_consumers(stream, tmp_path):
+    seen = {"items": [], "events": []}
+
+    def keep(name):
+        return lambda df, i: seen[name].append((i, sorted(r["seq"] for r in df.collect())))
+
+    J.route(
+        stream, is_item(), F.col("item") == "", keep("items"), keep("events"), str(tmp_path / "c"), available_now=True
+    ).awaitTermination()
+    assert seen["items"] == [(0, [2, 4]), (1, [5, 8]), (2, [9, 11])]
+    assert seen["events"] == [(0, [1]), (1, [6, 7]), (2, [10])]
