@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.text import content_pattern, strip, words_pattern
+from pageloom.functions.text import content_pattern, words_pattern
 from pageloom.model import REGEX, TEXT_TAG, WORDLIST, ContentSelector, FieldSelector
 from pageloom.operators.selectors import (
     element_text,
@@ -95,7 +95,3 @@ def content_search(dom: DataFrame, spec: ContentSelector) -> DataFrame:
 def texts_starting_with(df: DataFrame, column: str, words: str) -> DataFrame:
     """The word-list search over a plain text column."""
     return df.filter(F.col(column).rlike(content_pattern(words_pattern(words))))
-
-
-def stripped(df: DataFrame, column: str = "value") -> DataFrame:
-    return df.withColumn(column, strip(F.col(column)))

@@ -11,7 +11,7 @@ from pageloom.operators import select as S
 from pageloom.operators.shred import shred
 from pageloom.plans.session import materialise
 from pageloom.plans.slices import time_slice
-from pageloom.workload.registry import order_pages, page_dom, part_pages, query, sql_strip, sql_unescape, table
+from pageloom.workload.registry import order_pages, page_dom, part_pages, query, sql_unescape, table
 
 CLASSED = "regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)"
 
