@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.llm.near import near_duplicates
 from pageloom.llm.substrings import dedup_substrings
 from pageloom.plans.session import configure
 
@@ -58,3 +59,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of later repeats of 20-word windows removed from every document."""
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_probminhash")
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
