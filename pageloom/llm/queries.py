@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.substrings import dedup_substrings
+from pageloom.llm.toxicity import THRESHOLD, fit_tagger, score_toxicity
 from pageloom.plans.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_crf_toxicity")
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and offending spans of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_tagger(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.expr("crc32(cast(doc_id AS string)) % 4 = 2"), F.lit(True))
+    return scored.select(
+        "doc_id",
+        held.alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "spans",
+    )
