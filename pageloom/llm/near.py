@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm.components import components
-from pageloom.llm.substrings import small
+from pageloom.llm.substrings import small, whole_copies
 from pageloom.llm.words import U, Words, mix, pieces, windows
 from pageloom.plans.session import materialise, materialise_counted
 
@@ -218,9 +218,7 @@ def near_duplicates(
     )
     texts = texts.withColumn("d", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.sha2("text", 256))))
     digests = texts.select("id", "d").filter("d IS NOT NULL")
-    firsts = digests.groupBy("d").agg(F.min("id").alias("keeper"), F.max("id").alias("most"))
-    copies = digests.join(firsts.filter("keeper < most").drop("most"), "d").filter("id > keeper").distinct()
-    copies = small(materialise(copies))
+    copies = small(materialise(whole_copies(digests)))
     single = texts.filter("d IS NOT NULL").join(copies, ["id", "d"], "left_anti").select("id", "text")
     roots = small(materialise(near_links(single, similarity, size, bands, rows)))
     placed = (

@@ -33,7 +33,6 @@ from pageloom.llm.words import U, Words, mix, pieces, sliding, windows
 from pageloom.plans.session import BROADCAST_LIMIT_BYTES, materialise, size_in_bytes
 
 WINDOW = 20
-_SPAN = "start int, stop int"
 _NULL_ID = -(1 << 63)
 
 
@@ -109,12 +108,9 @@ def _candidates(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in pieces(batches):
             n = len(w.hashes)
-            lists = batch.column("places").to_pylist()
-            head = np.repeat(w.first[:-1], [len(x) // 4 for x in lists])
-            at = np.frombuffer(b"".join(lists), np.int32) + head
             near = np.zeros(n + 1, np.int64)
-            np.add.at(near, np.minimum(np.maximum(at - (window - window // 2), head), n), 1)
-            np.add.at(near, np.minimum(at + 1, n), -1)
+            for at, step in zip(run_edges(batch.column("runs"), w), (1, -1)):
+                np.add.at(near, at, step)
             start = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (w.room() >= window))
             if not len(start):
                 continue
@@ -154,48 +150,63 @@ def _later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         last = (a[-1], b[-1], done[-1], first_id[-1], first_place[-1])
 
 
-def _spans(width: int):
-    """Distinct places of sorted ``(id, place)`` rows as runs of covered words, one row per id and batch."""
+def run_edges(runs: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the runs of all texts, as places in the words of the piece."""
+    lengths = runs.value_lengths().fill_null(0).to_numpy()
+    flat = runs.flatten()
+    head, last = (np.repeat(x, lengths) for x in (w.first[:-1], w.first[1:]))
+    return tuple(np.minimum(flat.field(c).to_numpy(zero_copy_only=False) + head, last) for c in ("start", "stop"))
+
+
+def _runs(back: int, ahead: int):
+    """Sorted ``(id, place)`` rows as runs of the places from ``place - back`` up to ``place + ahead``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            place = batch.column("place").to_numpy(zero_copy_only=False)
+            ids, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "place"))
             cut = np.ones(len(ids), bool)
-            cut[1:] = (ids[1:] != ids[:-1]) | (place[1:] > place[:-1] + width)
+            cut[1:] = (ids[1:] != ids[:-1]) | (place[1:] - back > place[:-1] + ahead)
             heads = np.flatnonzero(cut)
             tails = np.append(heads[1:], len(ids)) - 1
-            yield _table(id=ids[heads], start=place[heads], stop=place[tails] + np.int32(width))
+            yield _table(id=ids[heads], start=np.maximum(place[heads] - back, 0), stop=place[tails] + np.int32(ahead))
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of places as 32-bit little-endian binaries."""
-    for batch in batches:
-        lists = [np.sort(np.asarray(x, np.int32)).tobytes() for x in batch.column("places").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lists, pa.binary())], ["id", "places"])
+def _run_lists(places: DataFrame, back: int, ahead: int) -> DataFrame:
+    """``(id, runs)`` of rows ``(id, place)``; a list is at most as long as its text."""
+    ordered = places.repartition("id").sortWithinPartitions("id", "place")
+    runs = ordered.mapInArrow(_runs(back, ahead), "id long, start int, stop int")
+    return runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its stored size is under the limit; else the join shuffles."""
+    return F.broadcast(df) if size_in_bytes(df) <= BROADCAST_LIMIT_BYTES else df
 
 
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """``(id, d)`` of rows ``(id, text, d)`` whose text, with digest ``d``, a smaller id has as well."""
-    texts = docs.filter("text IS NOT NULL").select("id", "d")
-    firsts = texts.groupBy("d").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    return texts.join(firsts.drop("most"), "d").filter("id > least").select("id", "d").distinct()
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """``(id, d, keeper)`` of rows ``(id, d)`` whose digest ``d`` a smaller id, the ``keeper``, has as well."""
+    firsts = texts.groupBy("d").agg(F.min("id").alias("keeper"), F.max("id").alias("most")).filter("keeper < most")
+    firsts = small(materialise(firsts.drop("most")))
+    return texts.join(firsts, "d").filter("id > keeper").select("id", "d", "keeper").distinct()
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(id, spans)``: sorted runs ``(start, stop)`` of removed words of ``docs`` ``(id, text)``.
+def removed_runs(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(id, runs)``: sorted runs of removed words of ``docs`` ``(id, text, d)``, but for ``copies`` ``(id, ds)``.
 
-    Runs of one document may touch or overlap; its list is at most as long as its text.
+    Runs of one document may touch or overlap.
     """
-    anchors = docs.mapInArrow(_anchors(window), "h long, id long, place int, again boolean")
+    texts = docs.select("id", "text")
+    anchors = texts.mapInArrow(_anchors(window), "h long, id long, place int, again boolean")
     places = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated_places, "id long, place int")
-    lists = places.groupBy("id").agg(F.collect_list("place").alias("places"))
-    flagged = materialise(lists.mapInArrow(_packed, "id long, places binary"))
-    found = docs.join(small(flagged), "id").mapInArrow(
+    near = _run_lists(places, window - window // 2, 1)
+    side = small(materialise(near.join(copies, "id", "left")))
+    # a copy needs no windows of its own: the text it copies has them all
+    windows_of = docs.join(side, "id").filter("NOT coalesce(array_contains(ds, d), false)")
+    found = windows_of.select("id", "text", "runs").mapInArrow(
         _candidates(window), "h long, h2 long, id long, place int, later boolean"
     )
     later = (
@@ -203,40 +214,31 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .sortWithinPartitions("later", "h", "h2", "id", "place")
         .mapInArrow(_later_places, "id long, place int")
     )
-    spans = later.repartition("id").sortWithinPartitions("id", "place").mapInArrow(_spans(window), f"id long, {_SPAN}")
-    return spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its stored size is under the limit; else the join shuffles."""
-    return F.broadcast(df) if size_in_bytes(df) <= BROADCAST_LIMIT_BYTES else df
+    return _run_lists(later, 0, window)
 
 
 def _rest(window: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in pieces(batches):
-            words, removed, kept = [], [], []
-            copies = batch.column("is_copy").to_pylist()
-            raw = w.data.tobytes()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            gone = np.zeros(len(w.hashes) + 1, np.int64)
+            for at, step in zip(run_edges(batch.column("runs"), w), (1, -1)):
+                np.add.at(gone, at, step)
+            copies = batch.column("is_copy").to_numpy(zero_copy_only=False) & (w.counts >= window)
+            stay = (np.cumsum(gone)[:-1] == 0) & ~np.repeat(copies, w.counts)
+            sums = np.append(0, np.cumsum(~stay))
+            raw, kept = w.data.tobytes(), []
+            for i in range(batch.num_rows):
                 a, b = int(w.first[i]), int(w.first[i + 1])
-                stay = np.ones(b - a, bool)
-                if copies[i] and b - a >= window:
-                    stay[:] = False
-                for s in spans or ():
-                    stay[s["start"] : s["stop"]] = False
-                words.append(b - a)
-                removed.append(b - a - int(stay.sum()))
                 if joined:
-                    at = np.flatnonzero(stay) + a
+                    at = np.flatnonzero(stay[a:b]) + a
                     kept.append(b" ".join([raw[x:y] for x, y in zip(w.starts[at].tolist(), w.ends[at].tolist())]))
                 else:
-                    kept.append(_cut(raw, w, i, stay))
+                    kept.append(_cut(raw, w, i, stay[a:b]))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("row_id", "is_null")),
-                    pa.array(words, pa.int64()),
-                    pa.array(removed, pa.int64()),
+                    pa.array(w.counts, pa.int64()),
+                    pa.array(sums[w.first[1:]] - sums[w.first[:-1]], pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
                 ["row_id", "is_null", "n_words", "n_removed", "kept_text"],
@@ -268,11 +270,15 @@ def dedup_substrings(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
         F.col(text_col).cast("string").alias("text"),
     ).withColumn("d", F.unhex(F.sha2("text", 256)))
-    copies = small(materialise(whole_copies(rows)))
-    single = rows.join(copies, ["id", "d"], "left_anti").select("id", "text")
-    spans = small(materialise(removed_spans(single, window)))
-    marked = rows.join(copies.withColumn("is_copy", F.lit(True)), ["id", "d"], "left").join(spans, "id", "left")
-    rest = marked.select("row_id", "text", "is_copy", "spans", F.col("text").isNull().alias("is_null")).mapInArrow(
+    copies = materialise(whole_copies(rows.filter("text IS NOT NULL").select("id", "d")))
+    copies = materialise(copies.groupBy("id").agg(F.collect_set("d").alias("ds")))  # texts of one id
+    runs = removed_runs(rows, copies, window)
+    side = small(materialise(runs.join(copies, "id", "full")))
+    copy = F.coalesce(F.array_contains("ds", F.col("d")), F.lit(False))
+    marked = rows.join(side, "id", "left").select(
+        "row_id", "text", "runs", copy.alias("is_copy"), F.col("text").isNull().alias("is_null")
+    )
+    rest = marked.mapInArrow(
         _rest(window, joined), "row_id long, is_null boolean, n_words long, n_removed long, kept_text string"
     )
     text = F.col("kept_text") if joined else F.when(~F.col("is_null"), F.col("kept_text"))
