@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.llm.decontaminate import contaminated
 from pageloom.llm.near import near_duplicates
+from pageloom.llm.packing import pack_documents
 from pageloom.llm.substrings import dedup_substrings
 from pageloom.llm.toxicity import THRESHOLD, fit_tagger, score_toxicity
 from pageloom.plans.session import configure
@@ -81,3 +84,15 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         "spans",
     )
+
+
+@query("op3_templates")
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, verbatim or with other numbers, names and units."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_sum_of_squares")
+def op6_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
