@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pageloom.llm.decontaminate import contaminated
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.packing import pack_documents
+from pageloom.llm.quality import judge
 from pageloom.llm.substrings import dedup_substrings
 from pageloom.llm.toxicity import THRESHOLD, fit_tagger, score_toxicity
 from pageloom.plans.session import configure
@@ -96,3 +97,12 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_risk_controlled_rules")
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with cutoffs per language from the labels."""
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

@@ -69,7 +69,8 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.hashes))
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range; ranges are sorted and do not overlap."""
     out = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
@@ -98,7 +99,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     # a word ends where the next byte is a space or another text begins
     ends = np.flatnonzero(~before & (space | begins))
     first = np.searchsorted(starts, offsets)
-    return Words(data, _hash_words(data, starts, ends), starts, ends, first, offsets)
+    return Words(data, hash_ranges(data, starts, ends), starts, ends, first, offsets)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
