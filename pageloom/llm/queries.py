@@ -11,6 +11,7 @@ from pageloom.llm.decontaminate import contaminated
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.packing import pack_documents
 from pageloom.llm.quality import judge
+from pageloom.llm.shards import shard_documents
 from pageloom.llm.substrings import dedup_substrings
 from pageloom.llm.toxicity import THRESHOLD, fit_tagger, score_toxicity
 from pageloom.plans.session import configure
@@ -106,3 +107,12 @@ def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op10_stratified_interleaving")
+def op10_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of the same mixture of sources."""
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

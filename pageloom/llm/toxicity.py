@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm.words import PIECE_BYTES, U, Words, find_words, mix, texts_of, windows
 
-TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
+TOXIC_DOCS, CLEAN_DOCS = 1000, 1500
 NOISE, SUPPORT, COVERS = 0.002, 3, 3
 SLOTS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 STEPS, RATE, DECAY = 25, 0.5, 1e-6
+CHUNK = 200_000
 THRESHOLD = 0.3
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -84,10 +85,17 @@ def features(w: Words) -> np.ndarray:
     first = w.first[:-1][w.counts > 0]
     before[first] = 1
     after[np.append(first[1:], len(after))[: len(first)] - 1] = 1
-    rows = [*own, mix(before + U(3)), mix(after + U(5))]
+    rows = (*own, mix(before + U(3)), mix(after + U(5)))
     return np.stack([((r >> U(20)) % U(SLOTS)).astype(np.int32) for r in rows])
 
 
+def emission(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    out = np.zeros(slots.shape[1])
+    for row in slots:
+        out += weights[row]
+    return out
+
+
 def marginals(score: np.ndarray, first: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward of two-state chains laid end to end; ``first``: where each chain begins.
 
@@ -194,25 +202,27 @@ def copy_groups(w: Words) -> np.ndarray:
 def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     """Tokens of toxic texts that the greedy cover marks."""
     owner = w.owner()
-    rows = parts(w)[:-1]
-    doc = np.tile(owner, len(rows))
-    value = np.concatenate(rows)
-    rank = np.repeat(np.arange(len(rows)), len(owner))
-    rank = np.where(rank == 0, len(rows), rank)  # of equal covers the longest part: the word before its beginnings
-    known = np.flatnonzero(value != 0)
-    doc, value, rank = doc[known], value[known], rank[known]
-    names, number = np.unique(value, return_inverse=True)
-    length = np.zeros(len(names), np.int64)
-    length[number] = rank
     group = copy_groups(w)  # copies of a text explain nothing more than the text
-    bad = toxic[doc]
-    clean = np.unique(number[~bad].astype(np.int64) * len(toxic) + group[doc[~bad]]) // len(toxic)
-    usable = np.bincount(clean, minlength=len(names)) <= NOISE * (~toxic).sum()
-    keep = bad & usable[number]
-    pairs = np.unique(number[keep].astype(np.int64) * len(toxic) + group[doc[keep]])
-    number, doc = pairs // len(toxic), pairs % len(toxic)
+    bad, n = toxic[owner], len(toxic)
+    names, lengths, numbers, docs, known = [], [], [], [], 0
+    for k, value in enumerate(parts(w)[:-1]):
+        own = np.flatnonzero(bad & (value != 0))
+        name, number = np.unique(value[own], return_inverse=True)
+        at = np.minimum(np.searchsorted(name, value[~bad]), max(len(name) - 1, 0))
+        met = np.flatnonzero(name[at] == value[~bad]) if len(name) else at
+        clean = np.unique(at[met] * n + group[owner[~bad][met]]) // n
+        usable = np.bincount(clean, minlength=len(name)) <= NOISE * (~toxic).sum()
+        pairs = np.unique(number * n + group[owner[own]])
+        pairs = pairs[usable[pairs // n]]
+        names.append(name)
+        # of equal covers the longest part wins: the word before its beginnings
+        lengths.append(np.full(len(name), k or len(BEGINNINGS) + 1))
+        numbers.append(pairs // n + known)
+        docs.append(pairs % n)
+        known += len(name)
+    names, length, number, doc = (np.concatenate(x) for x in (names, lengths, numbers, docs))
     marks: list[int] = []
-    wanted = np.full(len(toxic), COVERS)
+    wanted = np.full(n, COVERS)
     while len(number):
         cover = np.bincount(number, minlength=len(names))
         ties = np.flatnonzero(cover == cover.max())
@@ -223,8 +233,10 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
         wanted[doc[number == best]] -= 1
         left = (wanted[doc] > 0) & (number != best)
         number, doc = number[left], doc[left]
-    marked = np.isin(np.stack(rows), names[marks]).any(0) if marks else np.zeros(len(owner), bool)
-    return marked & toxic[owner]
+    marked = np.zeros(len(owner), bool)
+    for value in parts(w)[:-1] if marks else ():
+        marked |= np.isin(value, names[marks])
+    return marked & bad
 
 
 def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
@@ -238,6 +250,9 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
     gold = token_labels(w, toxic).astype(np.float64)
     slots = features(w)
     first = w.first[:-1][w.counts > 0]
+    # texts of about CHUNK words at a time, so a step's temporary arrays stay small
+    cuts = [0, *first[np.flatnonzero(np.diff(first // CHUNK)) + 1].tolist(), len(gold)]
+    chunks = [(a, b, first[(first >= a) & (first < b)] - a) for a, b in zip(cuts[:-1], cuts[1:])]
     inner = np.ones(len(gold), bool)
     inner[first] = False
     inner = np.flatnonzero(inner)
@@ -245,14 +260,18 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
     np.add.at(seen, (gold[inner - 1].astype(int), gold[inner].astype(int)), 1)
     weights, chain, bias = np.zeros(SLOTS), np.zeros((2, 2)), np.log(max(gold.mean(), 1e-6))
     speed_w, speed_c, speed_b = np.full(SLOTS, 1e-8), np.full((2, 2), 1e-8), 1e-8
-    for _ in range(STEPS):
-        score = bias + weights[slots].sum(0)
-        p, steps = marginals(score, first, chain)
+    p = np.empty(len(gold))
+    for step in range(STEPS + 1):
+        steps = np.zeros((2, 2))
+        for a, b, heads in chunks:
+            p[a:b], part = marginals(bias + emission(weights, slots[:, a:b]), heads, chain)
+            steps += part
+        if step == STEPS:
+            break
         diff = gold - p
-        grad = np.zeros(SLOTS)
+        grad = -DECAY * len(gold) * weights
         for row in slots:
             grad += np.bincount(row, diff, SLOTS)
-        grad -= DECAY * len(gold) * weights
         speed_w += grad**2
         weights += RATE * grad / np.sqrt(speed_w)
         turn = seen - steps
@@ -261,7 +280,6 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
         speed_b += diff.sum() ** 2
         bias += RATE * diff.sum() / np.sqrt(speed_b)
     tagger = Tagger(float(toxic.mean()), weights.astype(np.float32), float(bias), chain)
-    p, _ = marginals(bias + tagger.weights[slots].sum(0), first, chain)
     x = summary(p, w.first[:-1], w.counts)
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     coef = np.zeros(4)
@@ -346,7 +364,7 @@ def _score(tagger: Tagger, data: np.ndarray, offsets: np.ndarray, span_at: float
     if tagger.weights is None:
         return np.full(n, tagger.prior), [[] for _ in range(n)]
     w = plain_words(data, offsets)
-    score = tagger.bias + tagger.weights[features(w)].sum(0) if len(w.hashes) else np.zeros(0)
+    score = tagger.bias + emission(tagger.weights, features(w)) if len(w.hashes) else np.zeros(0)
     p, _ = marginals(score, w.first[:-1][w.counts > 0], tagger.chain)
     return _sigmoid(summary(p, w.first[:-1], w.counts) @ tagger.score), _spans(w, data, p, span_at)
 
