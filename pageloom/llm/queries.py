@@ -14,6 +14,7 @@ from pageloom.llm.quality import judge
 from pageloom.llm.shards import shard_documents
 from pageloom.llm.substrings import dedup_substrings
 from pageloom.llm.toxicity import THRESHOLD, fit_tagger, score_toxicity
+from pageloom.llm.warc import capture_history
 from pageloom.plans.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,22 @@ def op10_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query(
+    "op1_index_merge",
+    """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+    ),
+    f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+    SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+        CASE WHEN p.page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN p.page_id > first THEN first END AS refers_to
+    FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+    """,
+)
+def op1_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from the merged capture history."""
+    history = capture_history(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
