@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.llm.chat import format_chat, read_loss, read_turns, text_parts
 from pageloom.llm.decontaminate import contaminated
+from pageloom.llm.lm_score import score
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.packing import pack_documents
 from pageloom.llm.quality import judge
@@ -136,3 +138,60 @@ def op1_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back from the merged capture history."""
     history = capture_history(table(spark, sf_dir, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_cross_entropy_difference")
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under models of the documents labelled good and of all others."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return score(table(spark, sf_dir, "documents"), good)
+
+
+def _marks(text: str) -> str:
+    """How many characters escaping adds to a text, as SQL."""
+    strings = ("\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
+    return " + ".join(f"(length({text}) - length(replace({text}, '{s}', ''))) // {len(s)}" for s in strings)
+
+
+@query(
+    "op4_typed_parts",
+    f"""
+    WITH t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn, role, x)) AS turns_sha256,
+        CAST(coalesce(sum(length(x)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(x, '' ORDER BY turn, role, x) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length(role) + length(x) + 17 + {_marks('x')}) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """,
+)
+def op4_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what reading the output gives back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    turns = turns.unionByName(more)
+    out = format_chat(turns.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts")))
+    read = out.select(
+        "conv_id",
+        read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

@@ -236,12 +236,12 @@ def _rest(window: int, joined: bool):
                     kept.append(_cut(raw, w, i, stay[a:b]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("row_id", "is_null")),
+                    *(batch.column(c) for c in ("row_id", "is_null", "carried")),
                     pa.array(w.counts, pa.int64()),
                     pa.array(sums[w.first[1:]] - sums[w.first[:-1]], pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
-                ["row_id", "is_null", "n_words", "n_removed", "kept_text"],
+                ["row_id", "is_null", "carried", "n_words", "n_removed", "kept_text"],
             )
 
     return run
@@ -258,17 +258,24 @@ def _cut(raw: bytes, w: Words, i: int, stay: np.ndarray) -> bytes:
 
 
 def dedup_substrings(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", joined: bool = True
+    docs: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    joined: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(<id_col>, n_words, n_removed, kept_text)``, one row per row of ``docs``.
+    """``(<id_col>, n_words, n_removed, kept_text, carried)``, one row per row of ``docs``.
 
     ``joined``: kept words with one space between; else the text without the removed words, white space and all.
-    A null text stays null (``joined``: is empty). Other columns of ``docs`` are not read.
+    A null text stays null (``joined``: is empty). ``carried`` is a struct of the columns named in ``carry`` (null
+    if there are none); others are not read.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("row_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
         F.col(text_col).cast("string").alias("text"),
+        (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("carried"),
     ).withColumn("d", F.unhex(F.sha2("text", 256)))
     copies = materialise(whole_copies(rows.filter("text IS NOT NULL").select("id", "d")))
     copies = materialise(copies.groupBy("id").agg(F.collect_set("d").alias("ds")))  # texts of one id
@@ -276,10 +283,12 @@ def dedup_substrings(
     side = small(materialise(runs.join(copies, "id", "full")))
     copy = F.coalesce(F.array_contains("ds", F.col("d")), F.lit(False))
     marked = rows.join(side, "id", "left").select(
-        "row_id", "text", "runs", copy.alias("is_copy"), F.col("text").isNull().alias("is_null")
+        "row_id", "text", "runs", "carried", copy.alias("is_copy"), F.col("text").isNull().alias("is_null")
     )
+    kind = rows.select("carried").schema["carried"].dataType.simpleString()
     rest = marked.mapInArrow(
-        _rest(window, joined), "row_id long, is_null boolean, n_words long, n_removed long, kept_text string"
+        _rest(window, joined),
+        f"row_id long, is_null boolean, carried {kind}, n_words long, n_removed long, kept_text string",
     )
     text = F.col("kept_text") if joined else F.when(~F.col("is_null"), F.col("kept_text"))
-    return rest.select(F.col("row_id").alias(id_col), "n_words", "n_removed", text.alias("kept_text"))
+    return rest.select(F.col("row_id").alias(id_col), "n_words", "n_removed", text.alias("kept_text"), "carried")

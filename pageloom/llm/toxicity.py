@@ -376,3 +376,21 @@ def score_toxicity(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_tag(tagger, span_at), f"id long, score double, spans {SPANS}")
     return out.withColumnRenamed("id", id_col)
+
+
+def _clean(tagger: Tagger, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _tag(tagger, 2.0)(iter([batch.select(["text"])])):
+                keep = part.column("score").to_numpy() < threshold
+                yield batch.slice(0, part.num_rows).filter(pa.array(keep))
+                batch = batch.slice(part.num_rows)
+
+    return run
+
+
+def without_toxic(docs: DataFrame, tagger: Tagger, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, that score below ``threshold``."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_clean(tagger, threshold), f"row {kind}, text string").select("row.*")
