@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
-PORT_ONLY = r"^[^:]*:[0-9]*$"
+# a host with a port, no scheme: its name has a dot
+PORT_ONLY = r"^[^:/?#]*\.[^:/?#]*:[0-9]*$"
 SITE_ROOT = r"^([^:/?#]+://[^/?#]*)"
 NETLOC = r"^[^:/?#]+://([^/?#]*)"
 DOTTED = r"(^|/)\.{1,2}(/|$)"

@@ -72,10 +72,15 @@ def extract_fields(dom: DataFrame, spec: ItemSelector) -> DataFrame:
     return prepared.select(*keep, F.concat(*parts).alias("fields"))
 
 
-def field_rows(extracted: DataFrame) -> DataFrame:
-    """Long form: ``no`` (order on the page), ``selector_no, key, pos, value``."""
+def field_rows(extracted: DataFrame, empty_pages: bool = False) -> DataFrame:
+    """Long form: ``no`` (order on the page), ``selector_no, key, pos, value``.
+
+    With ``empty_pages`` a page without fields is one row whose ``no`` is NULL, so it survives
+    :func:`regroup_fields`.
+    """
     keep = [c for c in extracted.columns if c != "fields"]
-    return extracted.select(*keep, F.posexplode("fields").alias("no", "_field")).select(*keep, "no", "_field.*")
+    explode = F.posexplode_outer if empty_pages else F.posexplode
+    return extracted.select(*keep, explode("fields").alias("no", "_field")).select(*keep, "no", "_field.*")
 
 
 def regroup_fields(rows: DataFrame) -> DataFrame:
@@ -84,9 +89,8 @@ def regroup_fields(rows: DataFrame) -> DataFrame:
     Groups are the fields of one page, so they are as small as the page.
     """
     keep = [c for c in rows.columns if c not in ("no", "selector_no", "key", "pos", "value")]
-    listed = rows.groupBy(*keep).agg(
-        F.array_sort(F.collect_list(F.struct("no", "selector_no", "key", "pos", "value"))).alias("fields")
-    )
+    field = F.when(F.col("no").isNotNull(), F.struct("no", "selector_no", "key", "pos", "value"))
+    listed = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(field)).alias("fields"))
     return listed.withColumn("fields", F.transform("fields", lambda f: f.dropFields("no")))
 
 

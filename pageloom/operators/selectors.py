@@ -160,7 +160,10 @@ def paths(selector: FieldSelector | str) -> list[Path]:
     if isinstance(selector, str):
         selector = FieldSelector(selector, CSS)
     if selector.kind == CSS:
-        return [_css_path(part) for part in selector.selector.split(",")]
+        parts = selector.selector.split(",")
+        if not all(part.strip() for part in parts):
+            raise ValueError(f"empty member in CSS selector: {selector.selector!r}")
+        return [_css_path(part) for part in parts]
     if selector.kind == XPATH:
         return [_xpath_path(part.strip()) for part in re.split(r"\|(?![^\[]*\])", selector.selector)]
     raise ValueError("only CSS and XPath selectors pick elements")

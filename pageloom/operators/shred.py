@@ -125,13 +125,18 @@ class _Trees:
                 del stack[level:], open_tags[level:]
 
         pos, size = 0, len(source)
-        tokens = TAG.finditer(source)
+        # no tag ends behind the last ">", so nothing there need be tried as one
+        last = source.rfind(">") + 1
+        tokens = TAG.finditer(source, 0, last)
         while m := next(tokens, None):
             begin, upto = m.span()
             if begin > pos:
                 text = source[pos:begin]
                 add(TEXT_TAG, html_lib.unescape(text) if "&" in text else text)
             pos = upto
+            if upto == last and source.startswith("<!--", begin) and not source.endswith("-->", begin, upto):
+                pos = size  # a comment without end
+                break
             start, attrs, end = m.groups()
             if end:
                 tag = end.lower()
@@ -162,9 +167,10 @@ class _Trees:
                         text = source[pos:upto]
                         add(*((RAW_TEXT_TAG, text) if tag in RAW else (TEXT_TAG, html_lib.unescape(text))))
                     pos = upto
-                    tokens = TAG.finditer(source, pos)
-        if pos < size:
-            add(TEXT_TAG, html_lib.unescape(source[pos:]))
+                    tokens = TAG.finditer(source, pos, last)
+        rest = source[pos:].partition("<!--")[0]
+        if rest:
+            add(TEXT_TAG, html_lib.unescape(rest))
         self.pages_at.append(len(tags))
 
     def array(self) -> pa.Array:

@@ -45,10 +45,10 @@ def keys_left(table: Column, nodes: Column) -> Column:
     return F.filter(F.flatten(F.transform(texts, pairs)), lambda p: p["key"] != "")
 
 
-def _span(cell: Column) -> Column:
-    """Rows a cell covers: its ``rowspan``, 1 by default; 0 means all rows below."""
+def _span(cell: Column, left: Column) -> Column:
+    """Rows a cell covers: its ``rowspan``, 1 by default; 0 means all ``left`` rows of the table."""
     span = cell["attrs"]["rowspan"].try_cast("int")
-    return F.when(span == 0, F.lit(65534)).when(span > 0, span).otherwise(F.lit(1))
+    return F.when(span == 0, left).when(span > 0, span).otherwise(F.lit(1))
 
 
 def grid(rows: Column, nodes: Column) -> Column:
@@ -59,8 +59,9 @@ def grid(rows: Column, nodes: Column) -> Column:
     """
     cells_of = F.transform(
         rows,
-        lambda r: F.transform(
-            _below(r, nodes, "td"), lambda c: F.struct(_span(c).alias("span"), element_text(c, nodes).alias("text"))
+        lambda r, i: F.transform(
+            _below(r, nodes, "td"),
+            lambda c: F.struct(_span(c, F.size(rows) - i).alias("span"), element_text(c, nodes).alias("text")),
         ),
     )
 

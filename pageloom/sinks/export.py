@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.text import decode_text
 from pageloom.functions.urls import file_name
+from pageloom.plans.session import materialise_counted
 from pageloom.sources.records import scan_without
 
 FORMATS = ("CSV", "JSON")
@@ -42,7 +43,8 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header and records; missing cells are empty; no records give no header."""
     text = decode_bytes(df)
     text = text.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in text.columns])
-    header = not df.isEmpty()
+    text, n = materialise_counted(text)  # the header hangs on the count: run the input once, not twice
+    header = n > 0
     text.write.mode(mode).options(header=header, **CSV_OPTIONS).csv(path)
 
 

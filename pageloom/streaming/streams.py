@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pageloom.plans.session import BROADCAST_LIMIT_BYTES, size_in_bytes
+from pageloom.plans.session import BROADCAST_LIMIT_BYTES, materialise, size_in_bytes
 
 POLL_INTERVAL = "3 seconds"
 
@@ -67,8 +67,8 @@ def fold_actions(stream: DataFrame, field: str, order: str, is_add: Column, sele
 
 
 def drop_stopped(stream: DataFrame, stopped: DataFrame, job: str) -> DataFrame:
-    """Records of stopped jobs removed; the list is broadcast only while it is small."""
-    ids = stopped.select(job).distinct()
+    """Records of stopped jobs removed; the list is stored once, and broadcast only while it is small."""
+    ids = materialise(stopped.select(job).distinct())
     side = F.broadcast(ids) if size_in_bytes(ids) <= BROADCAST_LIMIT_BYTES else ids
     return stream.join(side, job, "left_anti")
 

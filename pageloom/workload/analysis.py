@@ -153,8 +153,8 @@ def form_inventory(spark, sf):
 
 
 def _actions(spark, sf):
-    """Clicks add and errors remove; the user is the field, the payload the selector."""
-    events = table(spark, sf, "events").filter(F.col("event_type").isin("click", "error", "view"))
+    """Errors remove and all other events add; the user is the field, the payload the selector."""
+    events = table(spark, sf, "events")
     return events.select(
         F.col("user_id").alias("user"),
         F.concat(F.lit("f"), F.col("user_id")).alias("field"),
@@ -168,7 +168,7 @@ def _actions(spark, sf):
 
 ACTIONS = (
     "SELECT user_id AS user, 'f' || user_id AS field, event_id AS seq, event_type <> 'error' AS is_add, props AS selector, "
-    "CASE WHEN event_type = 'view' THEN 'image' ELSE 'text' END AS kind FROM events WHERE event_type IN ('click', 'error', 'view')"
+    "CASE WHEN event_type = 'view' THEN 'image' ELSE 'text' END AS kind FROM events"
 )
 
 

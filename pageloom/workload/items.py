@@ -390,7 +390,7 @@ def fields_through_pandas(spark, sf):
         return values.str.replace("e", "E", regex=False)
 
     spec = ItemSelector((KeyValueSelector("link", css("nav a::attr(href)")),))
-    rows = Fd.field_rows(Fd.extract_fields(page_dom(spark, sf), spec)).withColumn("value", marked("value"))
+    rows = Fd.field_rows(Fd.extract_fields(page_dom(spark, sf), spec), empty_pages=True).withColumn("value", marked("value"))
     joined = Fd.collect_fields(Fd.regroup_fields(rows), {"link": lambda v: F.array(F.array_join(v, "|"))})
     return joined.select("page_id", F.col("values")["link"][0].alias("links"))
 

@@ -25,7 +25,7 @@ def _params(spark, sf):
     host = netloc(F.col("url"))
     mobile = host.startswith("m.")
     return site_params_from(
-        pages.filter(F.char_length(host) < 22),
+        pages,
         F.col("url"),
         backend=F.when(mobile, "selenium"),
         delay_s=F.when(F.col("url").startswith("https"), 3),
@@ -34,7 +34,7 @@ def _params(spark, sf):
 
 PARAMS = (
     f"SELECT {HOST} AS netloc, min(CASE WHEN starts_with({HOST}, 'm.') THEN 'selenium' END) AS backend, "
-    f"CAST(min(CASE WHEN url LIKE 'https%' THEN 3 END) AS INTEGER) AS delay_s FROM pages WHERE length({HOST}) < 22 GROUP BY 1"
+    f"CAST(min(CASE WHEN url LIKE 'https%' THEN 3 END) AS INTEGER) AS delay_s FROM pages GROUP BY 1"
 )
 
 

@@ -28,6 +28,7 @@ from pageloom.workload.registry import (
 
 NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
 HREFS = f"regexp_extract_all({NAV}, '<a href=\"([^\"]*)\">', 1)"
+ALL_HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
 HOST = "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
 
 
@@ -215,10 +216,10 @@ def documents_by_words(spark, sf):
 @query(
     "nav_links_per_host",
     f"SELECT {HOST} AS host, {sql_absolute('href', 'url')} AS link, count(*) AS n FROM "
-    "(SELECT url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages) GROUP BY 1, 2",
+    f"(SELECT url, {sql_unescape(f'unnest({ALL_HREFS})')} AS href FROM pages) GROUP BY 1, 2",
 )
 def nav_links_per_host(spark, sf):
-    found = L.plain_links(read_pages(spark, f"{sf}/pages.parquet"))
+    found = L.links(page_dom(spark, sf), "a")
     return found.groupBy(netloc(F.col("url")).alias("host"), "link").agg(F.count("*").alias("n"))
 
 
@@ -240,7 +241,7 @@ def links_by_regex(spark, sf):
     return L.links_regex(page_dom(spark, sf), r"example[.]com/(de|the|in)", "nav").select("page_id", "link")
 
 
-VARIANTS = ["/a/b", "c", "//cdn.example.com/x", "?q=1", "#top", "", "mailto:me@example.com", "javascript:go()", "http://other.example.com/z"]
+VARIANTS = ["/a/b", "c", "//cdn.example.com/x", "?q=1", "#top", "", "mailto:me@example.com", "javascript:go()", "tel:5551234", "sms:123", "javascript:", "http://other.example.com/z"]
 DOTTED = {"../x": "/x", "a/../b": "/b", "./c/./d": "/c/d", "/a/b/..": "/a/", "a/./": "/a/", "a.b/..c": "/a.b/..c"}
 
 
@@ -279,13 +280,11 @@ def distinct_links_by_text(spark, sf):
     return L.distinct_links(_anchor_records(spark, sf), ["host"], UNIQUE_TEXT, "page_id")
 
 
-RAW_LINKS = (
-    f"SELECT page_id, url, {HOST} AS host, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages"
-)
+RAW_LINKS = f"SELECT page_id, url, {HOST} AS host, {sql_unescape(f'unnest({ALL_HREFS})')} AS href FROM pages"
 
 
 def _host_links(spark, sf):
-    found = L.plain_links(read_pages(spark, f"{sf}/pages.parquet"))
+    found = L.links(page_dom(spark, sf), "a").withColumnRenamed("pre", "pos")
     return found.select("page_id", "url", netloc(F.col("url")).alias("host"), "href", "link", "pos")
 
 

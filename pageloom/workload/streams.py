@@ -94,10 +94,10 @@ def streamed_link_keys(spark, sf):
 
 @query(
     "folded_actions",
-    "SELECT user_id, arg_max(event_type <> 'error', event_id) AS is_add, arg_max(props, event_id) AS selector FROM events WHERE event_type IN ('click', 'error') GROUP BY user_id",
+    "SELECT user_id, arg_max(event_type <> 'error', event_id) AS is_add, arg_max(props, event_id) AS selector FROM events GROUP BY user_id",
 )
 def folded_actions(spark, sf):
-    actions = _stream(spark, sf).filter(F.col("event_type").isin("click", "error"))
+    actions = _stream(spark, sf)
     folded = J.fold_actions(actions, "user_id", "event_id", F.col("event_type") != "error", F.col("props"))
     return _final(spark, folded, ["user_id"])
 

@@ -127,3 +127,18 @@ def test_page_lookup_reaches_the_scan(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(url,http://x/)" in text
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text
+
+
+def test_one_start_url_is_broadcast(spark):
+    """A list made by the driver gets a size, so wide pages are not shuffled for one key."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    starts = spark.createDataFrame([("http://a.example/",)], "url string")
+    plan = joins.keep_keys(pages, starts, "url")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_salting_takes_map_columns(spark):
+    big = spark.createDataFrame([(i % 3, {"a": i}) for i in range(30)], "k long, m map<string,long>")
+    little = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
+    got = joins.salted_join(big, little, "k", hot_rows=5)
+    assert got.count() == 30 and got.filter("v IS NULL").count() == 10

@@ -1,5 +1,6 @@
 """Trees of real-world HTML: recovery rules, numbering, raw text."""
 
+import time
 from conftest import rows
 from hypothesis import given, settings, strategies as st
 
@@ -148,3 +149,12 @@ def test_stored_trees_read_back_equal(spark, page, tmp_path):
     write_dom(pages, str(tmp_path / "dom"))
     stored = spark.read.parquet(str(tmp_path / "dom"))
     assert rows(elements(stored), "page_id", "tag") == rows(elements(shred(pages)), "page_id", "tag") == [(1, "p")]
+
+
+def test_unclosed_tags_cost_one_scan():
+    started = time.perf_counter()
+    trees = _Trees()
+    for html in ("<a " * 400_000, "</a " * 400_000, "x>" + "<a " * 400_000):
+        trees.parse(html)
+    assert time.perf_counter() - started < 2
+    assert outline("a > b <!-- open <i>") == "0:'a > b '"
