@@ -33,7 +33,7 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.regexp_replace(escape(role), "\n", "\\\\\\\\\n")
+    return F.regexp_replace(escape(role), "\n", "\\\\\n")
 
 
 def unescape(text: Column) -> Column:
