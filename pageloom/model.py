@@ -97,6 +97,7 @@ class MainPage:
     items: ItemSelector | None = None
     similar_pages: UrlSelector | None = None
     similar_restrict: FieldSelector | None = None
+    item_restrict: FieldSelector | None = None
 
 
 @dataclass(frozen=True)

@@ -28,7 +28,7 @@ from pageloom.model import (
 from pageloom.operators import fields as Fd
 from pageloom.operators import tables as T
 from pageloom.operators.post import post_process, run_chain, standard_chain
-from pageloom.plans.crawl import crawl, crawl_list, job_table
+from pageloom.plans.crawl import crawl, crawl_list, job_table, run_jobs
 from pageloom.sources.records import site_params
 
 
@@ -223,3 +223,27 @@ def test_job_table(spark):
     assert rows(got, "job_name", "backend", "delay_s", "job_id") == [
         ("j0", "selenium", 3, 100), ("j1", "scrapy", 1, 0), ("j2", "selenium", 3, 101), ("j3", "scrapy", 1, 1),
     ]
+
+
+def test_jobs_of_different_specs(spark):
+    pages = spark.createDataFrame(SHOP, "page_id long, url string, html string")
+    price = ItemSelector(
+        (KeyValueSelector("name", css("h1::text")), KeyValueSelector("v", css("b:nth-of-type(1)::text")), KeyValueSelector("c", css("b:nth-of-type(2)::text"))),
+        (Merge(("v", "c"), "price", " "),),
+    )
+    one_page = MainPage(UrlSelector("a", CSS), price, item_restrict=FieldSelector("a.item:nth-child(1)", CSS))
+    jobs = [
+        Job(0, "all", JobPath().add(Url("http://shop.example/list")).add(MAIN)),
+        Job(1, "first", JobPath().add(Url("http://shop.example/list")).add(one_page)),
+        Job(2, "gone", JobPath().add(Url("http://gone.example/")).add(MAIN)),
+    ]
+    params = site_params(spark, {"http://gone.example/": {"PREFERRED_SCRAPER": "selenium"}})
+    got = run_jobs(jobs, pages, params).selectExpr("job_name", "job_id", "job_type", "to_json(record) AS r", "image_urls[0] AS i")
+    icon = "http://shop.example/favicon.ico"
+    assert rows(got) == sorted(
+        [("all", 0, "scrapy", f'{{"name":"{n}"}}', None) for n in ("One", "Two", "Three")]
+        + [("first", 1, "scrapy", '{"name":"One","price":"5 EUR"}', None)]
+        + [("all", 0, "scrapy", "{}", icon), ("first", 1, "scrapy", "{}", icon)]
+        + [("gone", 100, "selenium", "{}", "http://gone.example/favicon.ico")],
+        key=repr,
+    )
