@@ -10,7 +10,7 @@ from pageloom.operators import jobs as C
 from pageloom.plans.session import fresh_path
 from pageloom.sinks import export as K
 from pageloom.sources.pages import generated_urls, read_pages
-from pageloom.sources.records import read_records, scan_without, site_params_from
+from pageloom.sources.records import read_records, scan_without, site_params, site_params_from
 from pageloom.workload.pages import HOST
 from pageloom.workload.registry import query, table
 
@@ -62,6 +62,23 @@ def site_parameters_with_defaults(spark, sf):
     return C.with_defaults(C.with_params(pages, _params(spark, sf))).select("page_id", "backend", "delay_s")
 
 
+SETTINGS = {
+    "http://blog.tionsh.example.net/": {"PREFERRED_SCRAPER": "selenium", "REQUEST_DELAY": 3},
+    "https://thther.example.org/list?page=1": {"REQUEST_DELAY": 2},
+}
+
+
+@query(
+    "site_parameters_of_settings",
+    f"SELECT page_id, CASE {HOST} WHEN 'blog.tionsh.example.net' THEN 'selenium' ELSE 'scrapy' END AS backend, "
+    f"CAST(CASE {HOST} WHEN 'blog.tionsh.example.net' THEN 3 WHEN 'thther.example.org' THEN 2 ELSE 1 END AS INTEGER) AS delay_s "
+    "FROM pages",
+)
+def site_parameters_of_settings(spark, sf):
+    pages = read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url")
+    return C.with_defaults(C.with_params(pages, site_params(spark, SETTINGS))).select("page_id", "backend", "delay_s")
+
+
 def _jobs(spark, sf):
     """Orders as job specs; the order status stands for the backend."""
     backend = F.when(F.col("o_orderstatus") == "F", "selenium").when(F.col("o_orderstatus") == "O", "scrapy").otherwise("other")

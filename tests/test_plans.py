@@ -142,3 +142,16 @@ def test_salting_takes_map_columns(spark):
     little = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
     got = joins.salted_join(big, little, "k", hot_rows=5)
     assert got.count() == 30 and got.filter("v IS NULL").count() == 10
+
+
+def test_settle_leaves_only_its_result(spark):
+    made = []
+
+    def build():
+        table = PS.materialise(spark.range(5))
+        made.append(Path(table.inputFiles()[0].removeprefix("file://")))
+        return table.filter("id > 2")
+
+    kept = PS.settle(spark, build)
+    assert rows(kept) == [(3,), (4,)]
+    assert not made[0].exists()
