@@ -6,13 +6,13 @@ arrivals fall on random places of the sketch; the earliest arrival at a place wi
 soon as its next arrival comes after every place's winner. Two sketches agree at a place with the
 probability Jaccard similarity of the sets. Bands of the sketch put texts into buckets.
 
-In a bucket, texts are compared with pivots, not with each other: first with the one that shares most
-buckets with others. Links join components; a bucket whose remaining texts are all in one component is
-finished, and the others go on with more pivots (about four times as many each round) until no pair is left that
-is neither compared nor connected. So a bucket of thousands of copies costs one comparison a text, and no
-pair of a bucket is given up. A compared pair is a link if the exact Jaccard similarity of the shingle
-sets is at least ``similarity``; pairs whose sketches agree on less than ``similarity - 0.2`` of the
-places (over four standard deviations below) are not verified.
+In a bucket, texts are compared with a pivot, not with each other: the one that shares most buckets with others.
+A compared pair is a link if the exact Jaccard similarity of the shingle sets is at least ``similarity``. Links join
+components, and a bucket whose texts are all in one is finished, so thousands of copies cost one comparison a text.
+Texts of the other buckets (say, with a common passage, alike but not enough) get an exact search: two sets with that
+similarity share one of the rarest ``1 - similarity`` of their shingles in any fixed order, here by the number of
+sets that hold them. Buckets of those are treated likewise, with eight times as many pivots each round (all texts,
+once the buckets left are small on the whole), until no pair is left that is neither compared nor connected.
 
 Defined results: equal texts share a class; a null text, and one without words, is alone in its class;
 rows sharing an id are one document. The class id is the least id in the class.
@@ -21,15 +21,16 @@ rows sharing an id are one document. The class id is the least id in the class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.components import components
+from pageloom.llm.components import compact, components
 from pageloom.llm.substrings import small, whole_copies
 from pageloom.llm.words import U, Words, mix, pieces, windows
-from pageloom.plans.session import materialise, materialise_counted
+from pageloom.plans.session import materialise, settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -87,10 +88,7 @@ def _sketches(size: int, bands: int, rows: int):
             lists = pa.ListArray.from_arrays(
                 np.arange(0, bands * int(some.sum()) + 1, bands, dtype=np.int32), keys[some].reshape(-1).view(np.int64)
             )
-            short = [x.tobytes() for x in (places[some] >> U(48)).astype(np.uint16)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").filter(pa.array(some)), lists, pa.array(short, pa.binary())], ["id", "bands", "sketch"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(some)), lists], ["id", "bands"])
 
     return run
 
@@ -106,22 +104,6 @@ def _sets(size: int):
     return run
 
 
-def _agreeing(least: float):
-    """Pairs whose sketches agree on at least this share of the places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-                for c in ("sketch_a", "sketch_b")
-            )
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
-
-    return run
-
-
 def _similar(similarity: float):
     """Pairs whose shingle sets have at least this Jaccard similarity."""
 
@@ -142,63 +124,107 @@ def _similar(similarity: float):
     return run
 
 
-def _both(pairs: DataFrame, side: DataFrame, column: str, name: str) -> DataFrame:
-    """``column`` of both ends of ``pairs``."""
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The shingle sets of both ends of ``pairs``."""
     for end in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("id").alias(end), F.col(column).alias(f"{name}_{end}")), end)
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     return pairs
 
 
 def near_links(docs: DataFrame, similarity: float, size: int, bands: int, rows: int) -> DataFrame:
     """``(id, root)`` of the texts of ``docs`` ``(id, text)``, all different, that have a near duplicate."""
-    sketches = materialise(
-        docs.mapInArrow(_sketches(size, bands, rows), "id long, bands array<long>, sketch binary")
-    )
-    keyed = sketches.select("id", F.explode("bands").alias("key"))
+    keyed = docs.mapInArrow(_sketches(size, bands, rows), "id long, bands array<long>")
+    keyed = materialise(keyed.select("id", F.explode("bands").alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(keyed.join(shared, "key"))
-    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    members = materialise(members.drop("n").join(degree, "id").withColumn("root", F.col("id")))
-    wanted = members.select("id").distinct()
-    sets = materialise(
-        docs.join(small(materialise(wanted)), "id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary")
-    )
-    links, roots, pivots = None, None, 1
+    members, _ = compact(keyed.join(small(compact(shared)[0]), "key"))
+    degree = small(compact(members.groupBy("id").agg(F.sum("n").alias("degree")))[0])
+    members = members.drop("n").join(degree, "id").withColumns({"root": F.col("id"), "firm": F.lit(True)})
+    sets = docs.join(degree.select("id"), "id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary")
+    sets = materialise(sets)
+    links, roots, rest = _compared(members, sets, similarity, 1, [], None)
+    left, n = compact(_alive(rest).select("id").distinct())
+    if not n:
+        return roots
+    members, _ = compact(_prefix_buckets(sets.join(small(left), "id", "left_semi"), roots, similarity))
+    pivots = 1
     while True:
-        chosen = _pivots(members, pivots)
-        pairs = (
-            members.alias("m")
-            .join(chosen.alias("p"), "key")
-            .filter("m.root <> p.root")
-            .select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b"))
-            .distinct()
-        )
-        agreeing = _both(pairs, sketches, "sketch", "sketch").mapInArrow(
-            _agreeing(similarity - 0.2), "a long, b long"
+        members = members.select("key", "id", "degree", "firm").join(small(roots), "id", "left")
+        members, _ = compact(_alive(members.withColumn("root", F.coalesce("root", "id"))))
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("firm").alias("f"))
+        count, products = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("f").cast("double"))).first()
+        if not count:
+            return roots
+        # buckets that are small on the whole are finished at once
+        pivots = int(products) + 1 if products <= 32 * count else pivots
+        links, roots, members = _compared(members, sets, similarity, pivots, links, roots)
+        pivots *= 8
+
+
+def _alive(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component and a text that may be a pivot."""
+    ends = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("firm").alias("firm"))
+    alive = ends.filter("x < y AND firm")
+    return members.join(small(compact(alive.select("key"))[0]), "key", "left_semi")
+
+
+def _compared(members, sets, similarity, pivots, links, roots):
+    """Links and roots after comparing the members of each bucket with pivots, and the members without the pivots."""
+    chosen, _ = compact(_pivots(members, pivots))
+    met = members.alias("m").join(small(chosen).alias("p"), "key").filter("m.root <> p.root")
+    pairs = met.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct()
+    found, n = compact(_both(pairs, sets).mapInArrow(_similar(similarity), "a long, b long"))
+    rest = members.join(small(chosen.select("key", "id")), ["key", "id"], "left_anti")
+    if n or roots is None:
+        links = [*links, found]
+        roots = components(reduce(DataFrame.unionByName, links))
+        rest = rest.drop("root").join(small(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return links, roots, compact(rest)[0]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = batch.column("shingles").to_pylist()
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), sizes)
+        values = np.frombuffer(b"".join(sets), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values), pa.array(ids), pa.array(np.repeat(sizes, sizes))], ["key", "id", "size"]
         )
-        found, n = materialise_counted(
-            _both(agreeing, sets, "shingles", "set").mapInArrow(_similar(similarity), "a long, b long")
-        )
-        if n:
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
-        rest = members.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
-        if n:
-            rest = rest.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        alive = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
-        members, left = materialise_counted(rest.join(alive.select("key"), "key", "left_semi"))
-        if not left:
-            return roots if roots is not None else docs.sparkSession.createDataFrame([], "id long, root long")
-        pivots *= 4
+
+
+def _prefix_buckets(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``(key, id, degree, firm)``: texts by the rarest shingles of each, as many as similar sets must share one of.
+
+    Shingles are ordered by the number of sets that hold them; one held in a single component joins no others and
+    is no key. Two sets of different components that both have more than ``(1 - similarity) / (1 + similarity)`` of
+    their shingles for their components alone cannot be similar, so such a set is not ``firm``: it is compared
+    with pivots but never one.
+    """
+    tokens = materialise(sets.mapInArrow(_tokens, "key long, id long, size long"))
+    rooted = tokens.join(small(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    held = held.filter("x < y").select("key", "n")
+    common = tokens.join(held, "key").groupBy("id", "size")
+    lists = common.agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("t"))  # one text's shingles
+    alone = F.col("size") - F.size("t")
+    keys = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1 - alone
+    listed = lists.select(
+        "id",
+        (alone <= F.col("size") * (1 - similarity) / (1 + similarity) + 1e-9).alias("firm"),
+        F.explode(F.slice("t.key", F.lit(1), F.greatest(keys, F.lit(0)).cast("int"))).alias("key"),
+    )
+    return listed.select("key", "id", F.lit(1).alias("degree"), "firm")
 
 
 def _pivots(members: DataFrame, n: int) -> DataFrame:
     """Of each bucket, the text that shares most buckets with others and, by hash, about ``n - 1`` more."""
-    best = members.groupBy("key").agg(F.expr("max_by(id, struct(degree, -id))").alias("best"), F.count("*").alias("n"))
+    firm = members.filter("firm")
+    best = firm.groupBy("key").agg(F.expr("max_by(id, struct(degree, -id))").alias("best"), F.count("*").alias("n"))
     if n == 1:
-        return members.join(best, "key").filter("id = best").select("key", "id", "root")
+        return firm.join(small(compact(best)[0]), "key").filter("id = best").select("key", "id", "root")
     turn = F.pmod(F.xxhash64("key", "id", F.lit(n)), F.ceil(F.col("n") / n))
-    return members.join(best, "key").filter((F.col("id") == F.col("best")) | (turn == 0)).select("key", "id", "root")
+    chosen = firm.join(small(compact(best)[0]), "key").filter((F.col("id") == F.col("best")) | (turn == 0))
+    return chosen.select("key", "id", "root")
 
 
 def near_duplicates(
@@ -220,7 +246,7 @@ def near_duplicates(
     digests = texts.select("id", "d").filter("d IS NOT NULL")
     copies = small(materialise(whole_copies(digests)))
     single = texts.filter("d IS NOT NULL").join(copies, ["id", "d"], "left_anti").select("id", "text")
-    roots = small(materialise(near_links(single, similarity, size, bands, rows)))
+    roots = small(settle(docs.sparkSession, lambda: near_links(single, similarity, size, bands, rows)))
     placed = (
         texts.select("row_id", "id", "d")
         .join(copies, ["id", "d"], "left")

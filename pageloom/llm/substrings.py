@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm.words import U, Words, mix, pieces, sliding, windows
-from pageloom.plans.session import BROADCAST_LIMIT_BYTES, materialise, size_in_bytes
+from pageloom.plans.session import BROADCAST_LIMIT_BYTES, materialise, settle, size_in_bytes
 
 WINDOW = 20
 _NULL_ID = -(1 << 63)
@@ -279,8 +279,7 @@ def dedup_substrings(
     ).withColumn("d", F.unhex(F.sha2("text", 256)))
     copies = materialise(whole_copies(rows.filter("text IS NOT NULL").select("id", "d")))
     copies = materialise(copies.groupBy("id").agg(F.collect_set("d").alias("ds")))  # texts of one id
-    runs = removed_runs(rows, copies, window)
-    side = small(materialise(runs.join(copies, "id", "full")))
+    side = small(settle(docs.sparkSession, lambda: removed_runs(rows, copies, window).join(copies, "id", "full")))
     copy = F.coalesce(F.array_contains("ds", F.col("d")), F.lit(False))
     marked = rows.join(side, "id", "left").select(
         "row_id", "text", "runs", "carried", copy.alias("is_copy"), F.col("text").isNull().alias("is_null")

@@ -76,3 +76,15 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).count() == 0
+
+
+def test_common_passage(spark):
+    """Texts with a passage in common, alike but not enough, share many buckets; a few of them are near."""
+    random.seed(5)
+    passage = " ".join(f"p{i}" for i in range(110))
+    rows = [(i, passage + " " + " ".join(f"u{random.randrange(10**6)}" for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, rows[i * 7][1].rsplit(" ", 1)[0] + " z") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert len(set(want.values())) == 60
+    assert classes(near_duplicates(df)) == want
