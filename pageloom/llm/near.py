@@ -219,7 +219,7 @@ def _prefix_buckets(sets: DataFrame, roots: DataFrame, similarity: float) -> Dat
 def _pivots(members: DataFrame, n: int) -> DataFrame:
     """Of each bucket, the text that shares most buckets with others and, by hash, about ``n - 1`` more."""
     firm = members.filter("firm")
-    best = firm.groupBy("key").agg(F.expr("max_by(id, struct(degree, -id))").alias("best"), F.count("*").alias("n"))
+    best = firm.groupBy("key").agg(F.expr("max_by(id, struct(degree, ~id))").alias("best"), F.count("*").alias("n"))
     if n == 1:
         return firm.join(small(compact(best)[0]), "key").filter("id = best").select("key", "id", "root")
     turn = F.pmod(F.xxhash64("key", "id", F.lit(n)), F.ceil(F.col("n") / n))
