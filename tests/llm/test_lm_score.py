@@ -1,6 +1,8 @@
 """Cross-entropy difference against a plain twin that counts the same slots."""
 
 import math
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -64,3 +66,54 @@ def test_sizes():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert score(docs, docs).count() == 0
+
+
+def brute(rows, targets):
+    """Losses by counting the words and pairs themselves."""
+    counts = {kind: (Counter(), Counter(), Counter()) for kind in (True, False)}
+    listed = [(i, re.findall(r"[a-z0-9]+", (t or "").lower())) for i, t in rows]
+    for i, words in listed:
+        before = [None, *words[:-1]][: len(words)]
+        for counter, values in zip(counts[i in targets], (words, before, zip(before, words))):
+            counter.update(values)
+    out = {}
+    for i, words in listed:
+        losses = []
+        for kind in (True, False):
+            single, seen, pairs = counts[kind]
+            n, loss = single.total(), 0.0
+            for v, w in zip([None, *words], words):
+                p = WORD_SHARE * single[w] / n + (1 - WORD_SHARE) / WORDS
+                loss -= math.log(PAIR_SHARE * pairs[v, w] / seen[v] + (1 - PAIR_SHARE) * p if seen[v] else p)
+            losses.append(loss / len(words))
+        out[i] = losses
+    return out
+
+
+def test_more_words_than_any_table_of_slots(spark):
+    """Words and pairs are told apart however many there are: each text has rare words of its own."""
+    random.seed(7)
+    common = [f"c{i}" for i in range(50)]
+    rows = []
+    for i in range(400):
+        own = [f"w{i}x{j}" for j in range(400)]
+        rows.append((i, " ".join(w for pair in zip(own, random.choices(common, k=400)) for w in pair)))
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    targets = set(range(0, 400, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, targets)
+    got = score(docs, docs.filter("doc_id < 400 AND doc_id % 3 = 0").select("doc_id")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
+def test_real_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text.isascii() and re.search("[A-Za-z0-9]", r.text)]
+    rows = [(i, re.sub(r"[^A-Za-z0-9]+", " ", t)) for i, t in rows]
+    targets = {i for i, _ in rows if i % 5 == 0}
+    want = brute(rows, targets)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in score(df, df.filter("doc_id % 5 = 0").select("doc_id")).collect():
+        assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], rel=1e-9)
