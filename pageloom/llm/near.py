@@ -1,10 +1,11 @@
 """Near duplicates by ProbMinHash: sketches, bands, exact verification, components.
 
-A text is a weighted set of word shingles (five words; a shorter text is one shingle); a shingle that
-occurs ``c`` times weighs ``1 + ln c``. Each shingle is a Poisson process with its weight as rate whose
+A text is a set of word shingles (five words; a shorter text is one shingle), each of weight 1 however often it
+occurs, as links are defined on sets. Each shingle is a Poisson process with its weight as rate whose
 arrivals fall on random places of the sketch; the earliest arrival at a place wins it. A shingle stops as
 soon as its next arrival comes after every place's winner. Two sketches agree at a place with the
-probability Jaccard similarity of the sets. Bands of the sketch put texts into buckets.
+probability Jaccard similarity, for these weights the Jaccard similarity of the sets. Bands of the sketch put texts
+into buckets.
 
 In a bucket, texts are compared with a pivot, not with each other: the one that shares most buckets with others.
 A compared pair is a link if the exact Jaccard similarity of the shingle sets is at least ``similarity``. Links join
@@ -79,8 +80,9 @@ def sketch(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, siz
 def _sketches(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in pieces(batches):
-            owner, value, count = shingles(w, size)
-            places = sketch(owner, value, 1 + np.log(count), batch.num_rows, bands * rows)
+            owner, value, _ = shingles(w, size)
+            # weights by count would part texts that repeat a line unequally often
+            places = sketch(owner, value, np.ones(len(value)), batch.num_rows, bands * rows)
             keys = np.zeros((batch.num_rows, bands), U) + np.arange(1, bands + 1, dtype=U)
             for r in range(rows):
                 keys = mix(keys * U(0x9E3779B97F4A7C15) + places.reshape(-1, bands, rows)[:, :, r])

@@ -88,3 +88,17 @@ def test_common_passage(spark):
     want = brute(rows)
     assert len(set(want.values())) == 60
     assert classes(near_duplicates(df)) == want
+
+
+def test_lines_repeated_unequally_often(spark):
+    """Links are defined on sets of shingles, so how often a line is repeated must not hide them."""
+    random.seed(11)
+    rows = []
+    for i in range(30):
+        prose = " ".join(f"p{random.randrange(10**6)}" for _ in range(104))
+        line = " ".join(f"l{random.randrange(10**6)}" for _ in range(20))
+        rows += [(2 * i, prose), (2 * i + 1, " ".join([prose, *[line] * 200]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert len(set(want.values())) == 30
+    assert classes(near_duplicates(df)) == want
