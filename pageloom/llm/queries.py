@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.llm.chat import format_chat, read_loss, read_turns, text_parts
+from pageloom.llm.clusters import cluster
 from pageloom.llm.decontaminate import contaminated
+from pageloom.llm.disclosure import KINDS, base_spans, listed, personal_spans, spans_of_kind
+from pageloom.llm.importance import resample
 from pageloom.llm.lm_score import score
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.packing import pack_documents
@@ -195,3 +198,28 @@ def op4_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy score and rank of every document in a draw that resembles the benchmark."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_disclosure")
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and terms that give it away."""
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(spans_of_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(listed(base_spans(F.col("spans"))), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op13_pca_filtered_clusters")
+def op13_pca_filtered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact clusters of all embeddings."""
+    return cluster(table(spark, sf_dir, "embeddings"))
