@@ -27,12 +27,21 @@ MISSING_PERCENT_LIMIT = 40
 GROWTH_THRESHOLD = 50
 DEFAULT_PARAMS = {"backend": "scrapy", "processor": "default", "delay_s": 1, "cookies": True, "images": True}
 
-# One page's document tree, in document order: nodes[i].pre == i, so a node's parent and
-# ancestors are reached by index and selectors need no join and no shuffle.
-NODE_SCHEMA = (
-    "struct<pre:int,last:int,parent:int,depth:int,nth:int,nth_of_type:int,anc:array<int>,"
-    "tag:string,id:string,classes:array<string>,attrs:map<string,string>,text:string>"
-)
+# One page's document tree, in document order: nodes[i].pre == i, so a parent is reached by index, and what
+# lies below a node are the nodes up to nodes[i].last; selectors need no join and no shuffle.
+NODE_FIELDS = {
+    "pre": "int",
+    "last": "int",
+    "parent": "int",
+    "depth": "int",
+    "nth": "int",
+    "nth_of_type": "int",
+    "tag": "string",
+    "id": "string",
+    "classes": "array<string>",
+    "attrs": "map<string,string>",
+    "text": "string",
+}
 TEXT_TAG = "#text"
 RAW_TEXT_TAG = "#raw"
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.functions.binding import bind
 from pageloom.functions.text import strip
 from pageloom.model import TEXT_TAG, FieldSelector
-from pageloom.operators.selectors import first_node, is_element, matches, paths, select_nodes, subtree
+from pageloom.operators.selectors import Path, first_node, is_element, paths, picked, select_nodes, subtree
 
 FORM_TAGS = ("input", "select", "textarea", "button")
 # Control types a form inventory leaves out.
@@ -41,28 +41,6 @@ def signatures(dom: DataFrame) -> DataFrame:
     return dom.select(*_keep(dom), F.inline(found))
 
 
-def similar(dom: DataFrame) -> DataFrame:
-    """Groups of elements with the same tag, id and set of classes in any order.
-
-    ``classes`` is sorted; ``pres`` lists the members, which are elements of one page.
-    """
-    found = F.transform(
-        F.filter("nodes", is_element),
-        lambda n: F.struct(
-            n["tag"].alias("tag"),
-            F.coalesce(n["id"], F.lit("")).alias("elem_id"),
-            F.array_sort(n["classes"]).alias("classes"),
-            n["pre"].alias("pre"),
-        ),
-    )
-    rows = dom.select("page_id", F.inline(found))
-    return rows.groupBy("page_id", "tag", "elem_id", "classes").agg(
-        F.count("*").alias("n"),
-        F.min("pre").alias("first_pre"),
-        F.array_sort(F.collect_list("pre")).alias("pres"),
-    )
-
-
 def all_similar(dom: DataFrame, selector: FieldSelector | str) -> DataFrame:
     """Per page with matches: whether they all have the same tag, id and classes."""
     shapes = F.transform(
@@ -73,162 +51,6 @@ def all_similar(dom: DataFrame, selector: FieldSelector | str) -> DataFrame:
     return kinds.filter("_kinds > 0").select(*_keep(dom), (F.col("_kinds") == 1).alias("all_similar"))
 
 
-def _matches_shape(shape: Column, wanted: Column, by_id_only: bool) -> Column:
-    """Whether an element shape is matched by the selector made from ``wanted``."""
-    same_tag = shape["tag"] == wanted["tag"]
-    has_id = wanted["id"] != ""
-    id_hit = shape["id"] == wanted["id"]
-    covers = F.size(F.array_except(wanted["classes"], shape["classes"])) == 0
-    return F.when(has_id, id_hit if by_id_only else id_hit & same_tag).otherwise(same_tag & covers)
-
-
-def _shape(node: Column) -> Column:
-    return F.struct(
-        node["tag"].alias("tag"), F.coalesce(node["id"], F.lit("")).alias("id"), node["classes"].alias("classes")
-    )
-
-
-def signature_uniqueness(dom: DataFrame) -> DataFrame:
-    """Every signature of a page, how many elements it selects, and whether that makes it a selector.
-
-    A class signature also selects elements carrying further classes. Elements fold into their
-    distinct shapes map-side; containment is then counted among the shapes of one page.
-    """
-    rows = dom.select("page_id", F.inline(F.transform(F.filter("nodes", is_element), _shape)))
-    shapes = rows.groupBy("page_id", "tag", "id", "classes").agg(F.count("*").alias("n"))
-    page = shapes.groupBy("page_id").agg(F.collect_list(F.struct("tag", "id", "classes", "n")).alias("shapes"))
-    counted = F.transform(
-        "shapes",
-        lambda s: F.struct(
-            signature(s["tag"], s["id"], s["classes"]).alias("signature"),
-            F.aggregate(
-                F.filter(F.col("shapes"), lambda o: _matches_shape(o, s, by_id_only=False)),
-                F.lit(0).cast("long"),
-                lambda acc, o: acc + o["n"],
-            ).alias("matched"),
-        ),
-    )
-    flat = page.select("page_id", F.inline(F.array_distinct(counted)))
-    return flat.withColumn("is_selector", F.col("matched") == 1)
-
-
-def unique_selectors(dom: DataFrame) -> DataFrame:
-    """The shortest descendant selector of every element that singles it out: ``pre, selector``.
-
-    An element's chain is its shape followed by those of its ancestors, nearest first. A chain
-    matches another as far as it embeds in it as a subsequence, found greedily; the selector
-    must be one step longer than the best match by any other chain. Elements whose whole chain
-    does not single them out get a NULL (use :func:`ordinal_selectors`).
-    """
-    nodes = F.col("nodes")
-    chains = F.transform(
-        F.filter(nodes, is_element),
-        lambda n: F.struct(
-            n["pre"].alias("pre"),
-            F.concat(F.array(_shape(n)), F.reverse(F.transform(n["anc"], lambda a: _shape(nodes[a])))).alias("chain"),
-        ),
-    )
-    rows = dom.select("page_id", F.inline(chains))
-    # members of one page only, so the list is as small as the page
-    distinct = rows.groupBy("page_id", "chain").agg(
-        F.count("*").alias("n"), F.min("pre").alias("pre"), F.collect_list("pre").alias("pres")
-    )
-    page = distinct.groupBy("page_id").agg(F.collect_list(F.struct("chain", "n", "pre", "pres")).alias("chains"))
-
-    def embedded(chain: Column, other: Column) -> Column:
-        """How many leading steps of ``chain`` select the element ``other`` belongs to."""
-        own = _matches_shape(other[0], chain[0], by_id_only=False)
-        above = F.aggregate(
-            F.slice(other, 2, F.greatest(F.size(other) - 1, F.lit(0))),
-            F.lit(1),
-            lambda j, shape: F.when(
-                (j < F.size(chain)) & _matches_shape(shape, F.get(chain, j), by_id_only=True), j + 1
-            ).otherwise(j),
-        )
-        return F.when(own, above).otherwise(0)
-
-    def steps(entry: Column) -> Column:
-        others = F.filter(F.col("chains"), lambda o: o["pre"] != entry["pre"])
-        return F.coalesce(F.array_max(F.transform(others, lambda o: embedded(entry["chain"], o["chain"]))), F.lit(0)) + 1
-
-    def text(chain: Column, length: Column) -> Column:
-        own = signature(chain[0]["tag"], chain[0]["id"], chain[0]["classes"])
-        above = F.transform(
-            F.slice(chain, 2, length - 1),
-            lambda s: F.when(s["id"] != "", F.concat(F.lit("#"), s["id"])).otherwise(
-                signature(s["tag"], s["id"], s["classes"])
-            ),
-        )
-        return F.array_join(F.reverse(F.concat(F.array(own), above)), " ")
-
-    def measured(entry: Column) -> Column:
-        chain = entry["chain"]
-        # elements sharing their whole chain are beyond telling apart
-        found = bind(steps(entry), lambda k: F.when(k <= F.size(chain), text(chain, k)))
-        return F.struct(entry["pres"].alias("pres"), F.when(entry["n"] == 1, found).alias("selector"))
-
-    best = page.select("page_id", F.inline(F.transform("chains", measured)))
-    return best.select("page_id", F.explode("pres").alias("pre"), "selector")
-
-
-def ordinal_selectors(dom: DataFrame) -> DataFrame:
-    """The shortest chain of ``:nth-child`` steps that singles an element out: ``pre, selector``.
-
-    Within a page, elements sort by their path of ``(tag, ordinal)`` from themselves upwards. An
-    element's path must be one step longer than what it shares with its neighbours in that
-    order, since no other path shares more. A top element whose like is nested inside it has no
-    such chain and gets NULL.
-    """
-    nodes = F.col("nodes")
-
-    def step_key(node: Column) -> Column:
-        return F.concat(node["tag"], F.lit(":"), node["nth"].cast("string"))
-
-    paths = F.array_sort(
-        F.transform(
-            F.filter(nodes, is_element),
-            lambda n: F.struct(
-                F.concat(F.array(step_key(n)), F.reverse(F.transform(n["anc"], lambda a: step_key(nodes[a])))).alias("path"),
-                n["pre"].alias("pre"),
-            ),
-        )
-    )
-
-    def shared(a: Column, b: Column) -> Column:
-        differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-        # the first and the last path have one neighbour only
-        return F.when(b.isNull(), 0).when(differ > 0, differ - 1).otherwise(F.least(F.size(a), F.size(b)))
-
-    listed = dom.select("page_id", "nodes", paths.alias("paths"))
-    all_paths = F.col("paths")
-    needed = F.transform(
-        all_paths,
-        lambda p, i: F.struct(
-            p["pre"].alias("pre"),
-            F.size(p["path"]).alias("depth"),
-            (
-                F.greatest(
-                    shared(p["path"], F.get(all_paths, i - 1)["path"]), shared(p["path"], F.get(all_paths, i + 1)["path"])
-                )
-                + 1
-            ).alias("steps"),
-        ),
-    )
-
-    def text(entry: Column) -> Column:
-        node = nodes[entry["pre"]]
-        upward = F.reverse(F.array_append(node["anc"], entry["pre"]))
-        chosen = F.reverse(F.slice(upward, 1, entry["steps"].cast("int")))
-        parts = F.transform(
-            chosen,
-            lambda p: F.concat(node_signature(nodes[p]), F.lit(":nth-child("), nodes[p]["nth"].cast("string"), F.lit(")")),
-        )
-        return F.when(entry["steps"] <= entry["depth"], F.array_join(parts, " > "))
-
-    found = F.transform(needed, lambda e: F.struct(e["pre"].alias("pre"), text(e).alias("selector")))
-    return listed.select("page_id", F.inline(found))
-
-
 def first_child_with_text(dom: DataFrame, selector: FieldSelector | str) -> DataFrame:
     """For each selected element, its first child whose text, subtree included, is not blank."""
     nodes = F.col("nodes")
@@ -238,7 +60,10 @@ def first_child_with_text(dom: DataFrame, selector: FieldSelector | str) -> Data
             subtree(node, nodes),
             lambda t: (t["tag"] == TEXT_TAG) & (t["parent"] != node["pre"]) & (strip(t["text"]) != ""),
         )
-        return F.get(F.get(deep, 0)["anc"], node["depth"] + 1)
+        children = F.filter(subtree(node, nodes), lambda c: c["parent"] == node["pre"])
+        # the first child that does not end before the text holds it
+        holds = lambda t: F.get(F.filter(children, lambda c: c["last"] >= t["pre"]), 0)["pre"]
+        return bind(F.get(deep, 0), lambda t: F.when(t.isNotNull(), holds(t)))
 
     def row(node: Column) -> Column:
         return bind(
@@ -254,12 +79,12 @@ def edited_matches(dom: DataFrame, added: list[FieldSelector | str], removed: li
     """Elements any of ``added`` selects and none of ``removed`` does, in one pass: ``pre, tag``."""
     nodes = F.col("nodes")
 
-    def picked(node: Column, selectors: list) -> Column:
-        hits = [matches(node, nodes, path.steps) for s in selectors for path in paths(s)]
-        return reduce(lambda a, b: a | b, hits, F.lit(False))
+    def elements_of(selectors: list) -> Column:
+        return picked(nodes, [Path(path.steps) for s in selectors for path in paths(s)])
 
-    kept = F.filter(nodes, lambda n: picked(n, added) & ~F.coalesce(picked(n, removed), F.lit(False)))
-    narrow = F.transform(kept, lambda n: F.struct(n["pre"].alias("pre"), n["tag"].alias("tag")))
+    wanted = elements_of(added) if added else F.array().cast("array<int>")
+    wanted = F.array_except(wanted, elements_of(removed)) if removed else wanted
+    narrow = F.transform(wanted, lambda i: F.struct(i.alias("pre"), F.get(nodes, i)["tag"].alias("tag")))
     return dom.select(*_keep(dom), F.inline(narrow))
 
 

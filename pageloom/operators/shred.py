@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.model import NODE_SCHEMA, RAW_TEXT_TAG, TEXT_TAG
+from pageloom.model import NODE_FIELDS, RAW_TEXT_TAG, TEXT_TAG
 
 # HTML element classes that decide where an element ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,8 +55,6 @@ TAG = re.compile(
 ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 END_OF = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | ESCAPED_TEXT}
 
-# As in browsers, elements nested deeper become siblings at this depth; nothing is lost.
-MAX_DEPTH = 512
 _FLUSH_NODES = 100_000
 
 
@@ -63,8 +62,9 @@ class _Trees:
     """The trees of a run of pages: what only parsing can tell is listed here, the rest derived."""
 
     def __init__(self) -> None:
-        # one entry per node; parents are positions in these lists, -1 at the top of a page
+        # one entry per node; parents and last nodes are positions in these lists, -1 at the top of a page
         self.parent: list[int] = []
+        self.last: list[int] = []
         self.depth: list[int] = []
         self.tags: list[str] = []
         self.texts: list[str | None] = []
@@ -101,28 +101,34 @@ class _Trees:
 
     def parse(self, source: str) -> None:
         """Append the nodes of one page."""
-        parent, depth, tags, texts = self.parent, self.depth, self.tags, self.texts
+        parent, depth, tags, texts, last_of = self.parent, self.depth, self.tags, self.texts, self.last
         stack: list[int] = []
         open_tags: list[str] = []
+        # the levels at which each tag is open, so that no end is searched for
+        levels: dict[str, list[int]] = {}
 
         def add(tag: str, text: str | None) -> None:
             parent.append(stack[-1] if stack else -1)
             depth.append(len(stack))
+            last_of.append(len(tags))
             tags.append(tag)
             texts.append(text)
 
+        def cut(level: int) -> None:
+            """End the open elements from a level on."""
+            end = len(tags) - 1
+            while len(stack) > level:
+                last_of[stack.pop()] = end
+                levels[open_tags.pop()].pop()
+
         def close(targets, shield, outermost: bool = False) -> None:
             """End an open element of ``targets`` that is not behind a shield, with all it contains."""
-            level = -1
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i] in targets:
-                    level = i
-                    if not outermost:
-                        break
-                elif open_tags[i] in shield:
-                    break
-            if level >= 0:
-                del stack[level:], open_tags[level:]
+            shielded = max((levels[t][-1] for t in shield if t not in targets and levels.get(t)), default=-1)
+            found = [own for t in targets if (own := levels.get(t)) and own[-1] > shielded]
+            if found and outermost:
+                cut(min(own[bisect_right(own, shielded)] for own in found))
+            elif found:
+                cut(max(own[-1] for own in found))
 
         pos, size = 0, len(source)
         # no tag ends behind the last ">", so nothing there need be tried as one
@@ -141,13 +147,12 @@ class _Trees:
             if end:
                 tag = end.lower()
                 if open_tags and open_tags[-1] == tag:
-                    stack.pop()
-                    open_tags.pop()
-                elif tag in open_tags:
+                    cut(len(stack) - 1)
+                elif levels.get(tag):
                     close((tag,), () if tag in TABLE_PARTS else CELL_SHIELD)
             elif start:
                 tag = start.lower()
-                if tag in CLOSES_P and "p" in open_tags:
+                if tag in CLOSES_P and levels.get("p"):
                     close(("p",), P_SHIELD)
                 if tag in IMPLIED_ENDS:
                     close(*IMPLIED_ENDS[tag], outermost=True)
@@ -155,8 +160,9 @@ class _Trees:
                 add(tag, None)
                 if attrs:
                     self._describe(node, attrs)
-                if tag in VOID or (len(stack) >= MAX_DEPTH and tag not in END_OF):
+                if tag in VOID:
                     continue
+                levels.setdefault(tag, []).append(len(stack))
                 stack.append(node)
                 open_tags.append(tag)
                 if tag in END_OF:
@@ -171,39 +177,43 @@ class _Trees:
         rest = source[pos:].partition("<!--")[0]
         if rest:
             add(TEXT_TAG, html_lib.unescape(rest))
+        cut(0)
         self.pages_at.append(len(tags))
 
-    def array(self) -> pa.Array:
-        """One list of node structs per parsed page."""
+    def array(self, fields: tuple[str, ...] = tuple(NODE_FIELDS)) -> pa.Array:
+        """One list of node structs, of the named fields, per parsed page."""
         n, pages_at = len(self.tags), np.asarray(self.pages_at)
         page = np.repeat(np.arange(len(pages_at) - 1), np.diff(pages_at))
         base = pages_at[:-1][page]
-        parent, depth = np.asarray(self.parent, "int64"), np.asarray(self.depth, "int64")
+        parent = np.asarray(self.parent, "int64")
         tags = pa.array(self.tags, pa.string())
-        codes = tags.dictionary_encode()
-        kinds = np.asarray([t.as_py() in (TEXT_TAG, RAW_TEXT_TAG) for t in codes.dictionary], bool)
-        code = codes.indices.to_numpy().astype("int64")
-        is_text = kinds[code] if n else np.zeros(0, bool)
-        # siblings share this key; the tops of a page are siblings too
-        family = np.where(parent >= 0, parent, n + page)
-        columns = [
-            _i32(np.arange(n) - base),
-            _i32(_last(parent, depth) - base),
-            _i32(np.where(parent >= 0, parent - base, -1)),
-            _i32(depth),
-            _i32(_ordinals(family, is_text.astype("int64"))),
-            _i32(np.where(is_text, 0, _ordinals(family, code))),
-            _ancestors(parent, depth, base),
-            tags,
-            pa.array(self._sparse(self.elem_ids), pa.string()),
-            pa.ListArray.from_arrays(self._offsets(self.class_counts), pa.array(self.classes, pa.string())),
-            pa.MapArray.from_arrays(
+        columns = {
+            "pre": lambda: _i32(np.arange(n) - base),
+            "last": lambda: _i32(np.asarray(self.last, "int64") - base),
+            "parent": lambda: _i32(np.where(parent >= 0, parent - base, -1)),
+            "depth": lambda: _i32(np.asarray(self.depth, "int64")),
+            "tag": lambda: tags,
+            "id": lambda: pa.array(self._sparse(self.elem_ids), pa.string()),
+            "classes": lambda: pa.ListArray.from_arrays(
+                self._offsets(self.class_counts), pa.array(self.classes, pa.string())
+            ),
+            "attrs": lambda: pa.MapArray.from_arrays(
                 self._offsets(self.attr_counts), pa.array(self.names, pa.string()), pa.array(self.values, pa.string())
             ),
-            pa.array(self.texts, pa.string()),
-        ]
-        fields = "pre last parent depth nth nth_of_type anc tag id classes attrs text".split()
-        return pa.ListArray.from_arrays(_i32(pages_at), pa.StructArray.from_arrays(columns, fields))
+            "text": lambda: pa.array(self.texts, pa.string()),
+        }
+        if "nth" in fields or "nth_of_type" in fields:
+            codes = tags.dictionary_encode()
+            kinds = np.asarray([t.as_py() in (TEXT_TAG, RAW_TEXT_TAG) for t in codes.dictionary], bool)
+            code = codes.indices.to_numpy().astype("int64")
+            is_text = kinds[code] if n else np.zeros(0, bool)
+            # siblings share this key; the tops of a page are siblings too
+            family = np.where(parent >= 0, parent, n + page)
+            columns["nth"] = lambda: _i32(_ordinals(family, is_text.astype("int64")))
+            columns["nth_of_type"] = lambda: _i32(np.where(is_text, 0, _ordinals(family, code)))
+        return pa.ListArray.from_arrays(
+            _i32(pages_at), pa.StructArray.from_arrays([columns[f]() for f in fields], list(fields))
+        )
 
     def _sparse(self, values: list) -> list:
         full = [None] * len(self.tags)
@@ -233,54 +243,36 @@ def _ordinals(family: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return ordinals
 
 
-def _last(parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """The last node of every subtree, from the deepest level up."""
-    last = np.arange(len(parent))
-    by_depth = np.argsort(depth, kind="stable")
-    edges = np.searchsorted(depth[by_depth], np.arange(1, depth.max(initial=0) + 2))
-    for i in range(len(edges) - 2, -1, -1):
-        level = by_depth[edges[i] : edges[i + 1]]
-        np.maximum.at(last, parent[level], last[level])
-    return last
-
-
-def _ancestors(parent: np.ndarray, depth: np.ndarray, base: np.ndarray) -> pa.Array:
-    """Every node's ancestors within its page, the top first."""
-    at = np.concatenate(([0], np.cumsum(depth)))
-    flat = np.empty(at[-1], "int32")
-    nodes = np.nonzero(depth)[0]
-    up, slot = parent[nodes], at[nodes + 1] - 1
-    while len(nodes):
-        flat[slot] = up - base[nodes]
-        more = parent[up] >= 0
-        nodes, up, slot = nodes[more], parent[up[more]], slot[more] - 1
-    return pa.ListArray.from_arrays(_i32(at), pa.array(flat))
-
-
-def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        where = batch.schema.get_field_index("html")
-        kept = [i for i in range(batch.num_columns) if i != where]
-        sources = batch.column(where)
-        trees, begin = _Trees(), 0
-        for row in range(batch.num_rows):
-            trees.parse(sources[row].as_py() or "")
-            # bound the rows in flight by their nodes, not by their count
-            if len(trees.tags) >= _FLUSH_NODES or row + 1 == batch.num_rows:
-                columns = [batch.column(i).slice(begin, row + 1 - begin) for i in kept] + [trees.array()]
-                names = [batch.schema.names[i] for i in kept] + ["nodes"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                trees, begin = _Trees(), row + 1
-
-
-def shred(pages: DataFrame) -> DataFrame:
+def _shred_batches(fields: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.schema.get_field_index("html")
+            kept = [i for i in range(batch.num_columns) if i != where]
+            sources = batch.column(where)
+            trees, begin = _Trees(), 0
+            for row in range(batch.num_rows):
+                trees.parse(sources[row].as_py() or "")
+                # bound the rows in flight by their nodes, not by their count
+                if len(trees.tags) >= _FLUSH_NODES or row + 1 == batch.num_rows:
+                    columns = [batch.column(i).slice(begin, row + 1 - begin) for i in kept] + [trees.array(fields)]
+                    names = [batch.schema.names[i] for i in kept] + ["nodes"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    trees, begin = _Trees(), row + 1
+
+    return run
+
+
+def shred(pages: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
     """Pages with an ``html`` column -> the same columns with ``nodes`` in its place.
 
-    Filter and project before calling: predicates do not pass through the Python stage.
+    Filter and project before calling: predicates do not pass through the Python stage. ``fields`` names the
+    node fields a plan reads (see :func:`pageloom.operators.selectors.node_fields`); all by default.
     """
+    wanted = tuple(f for f in NODE_FIELDS if fields is None or f in fields)
     rest = [f for f in pages.schema.fields if f.name != "html"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return pages.mapInArrow(_shred_batches, f"{schema}, nodes array<{NODE_SCHEMA}>")
+    node = ",".join(f"{f}:{NODE_FIELDS[f]}" for f in wanted)
+    return pages.mapInArrow(_shred_batches(wanted), f"{schema}, nodes array<struct<{node}>>")
 
 
 def is_element(node: Column) -> Column:
@@ -295,13 +287,13 @@ def _exploded(dom: DataFrame, keep, columns: list[str]) -> DataFrame:
 
 def elements(dom: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per element, with all its columns or the named ones."""
-    every = "pre last parent depth nth nth_of_type anc tag id classes attrs".split()
+    every = "pre last parent depth nth nth_of_type tag id classes attrs".split()
     return _exploded(dom, is_element, columns or every)
 
 
 def texts(dom: DataFrame) -> DataFrame:
     """One row per visible text node."""
-    return _exploded(dom, lambda n: n["tag"] == TEXT_TAG, "pre parent depth nth anc text".split())
+    return _exploded(dom, lambda n: n["tag"] == TEXT_TAG, "pre parent depth nth text".split())
 
 
 def write_dom(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.model import CSS, FieldSelector
 from pageloom.operators import elements as E
 from pageloom.operators import history as H
+from pageloom.operators import infer as I
 from pageloom.operators import select as S
 from pageloom.operators.shred import shred
 from pageloom.plans.session import materialise
@@ -35,7 +36,7 @@ PART_SIGNATURES = (
     f"SELECT page_id, signature, CAST(matched AS BIGINT) AS matched, matched = 1 AS is_selector FROM ({PART_SIGNATURES})",
 )
 def signature_uniqueness(spark, sf):
-    return E.signature_uniqueness(shred(part_pages(spark, sf)))
+    return I.signature_uniqueness(shred(part_pages(spark, sf))).select("page_id", "signature", "matched", "is_selector")
 
 
 @query(
@@ -43,7 +44,7 @@ def signature_uniqueness(spark, sf):
     f"SELECT page_id, t AS tag, '' AS elem_id, CASE WHEN t = 'div' THEN 'ad' ELSE '' END AS classes, count(*) AS n FROM (SELECT page_id, unnest({CLASSED}) AS t FROM pages) GROUP BY 1, 2, 4",
 )
 def similar_elements(spark, sf):
-    groups = E.similar(page_dom(spark, sf))
+    groups = I.similar(page_dom(spark, sf))
     return groups.select("page_id", "tag", "elem_id", F.array_join("classes", ".").alias("classes"), "n")
 
 
@@ -62,7 +63,7 @@ def all_similar_matches(spark, sf):
 )
 def unique_selectors_of_pages(spark, sf):
     # elements of one tag share their whole chain on these pages, so a tag is unique or nothing is
-    return E.unique_selectors(page_dom(spark, sf)).select("page_id", "selector")
+    return I.unique_selectors(page_dom(spark, sf)).select("page_id", "selector")
 
 
 SINGLES = (
@@ -86,7 +87,7 @@ ORDINALS = (
 
 @query("ordinal_selectors_of_pages", ORDINALS)
 def ordinal_selectors_of_pages(spark, sf):
-    return E.ordinal_selectors(page_dom(spark, sf)).select("page_id", "selector")
+    return I.ordinal_selectors(page_dom(spark, sf)).select("page_id", "selector")
 
 
 @query(

@@ -1,11 +1,14 @@
 """Signatures, uniqueness and inferred selectors, against brute force."""
 
 import re
+import time
 
 import pytest
 from conftest import rows
+from hypothesis import given, settings, strategies as st
 
 from pageloom.operators import elements as E
+from pageloom.operators import infer as I
 from pageloom.operators import select as S
 from pageloom.operators.shred import _Trees
 
@@ -18,11 +21,23 @@ PAGES = [
 ]
 
 
+def tree(html):
+    made = _Trees()
+    made.parse(html)
+    return made.array().to_pylist()[0]
+
+
 def trees():
-    for html in PAGES:
-        made = _Trees()
-        made.parse(html)
-        yield [n for n in made.array().to_pylist()[0]]
+    return map(tree, PAGES)
+
+
+def ancestors(node, nodes):
+    """The ancestors of a node, the nearest first."""
+    out = []
+    while node["parent"] >= 0:
+        node = nodes[node["parent"]]
+        out.append(node)
+    return out
 
 
 def part_matches(part: str, node: dict) -> bool:
@@ -48,7 +63,7 @@ def selected(selector: str, nodes: list[dict]) -> list[int]:
             return True
         if tokens[upto].startswith(">"):
             return node["parent"] >= 0 and holds(nodes[node["parent"]], upto - 1)
-        return any(holds(nodes[a], upto - 1) for a in node["anc"])
+        return any(holds(a, upto - 1) for a in ancestors(node, nodes))
 
     return [n["pre"] for n in nodes if holds(n, len(tokens) - 1)]
 
@@ -59,12 +74,12 @@ def chain_selector(node: dict, nodes: list[dict], steps: int) -> str:
             return f"{n['tag']}#{n['id']}" if own else f"#{n['id']}"
         return ".".join([n["tag"], *n["classes"]])
 
-    upward = [node, *[nodes[a] for a in reversed(node["anc"])]][:steps]
+    upward = [node, *ancestors(node, nodes)][:steps]
     return " ".join(reversed([signature(n, i == 0) for i, n in enumerate(upward)]))
 
 
 def test_unique_selectors_are_the_shortest_that_single_an_element_out(page):
-    got = {(r["page_id"], r["pre"]): r["selector"] for r in E.unique_selectors(page(*PAGES)).collect()}
+    got = {(r["page_id"], r["pre"]): r["selector"] for r in I.unique_selectors(page(*PAGES)).collect()}
     seen = 0
     for page_id, nodes in enumerate(trees(), 1):
         for node in (n for n in nodes if n["text"] is None):
@@ -76,14 +91,14 @@ def test_unique_selectors_are_the_shortest_that_single_an_element_out(page):
 
 
 def test_ordinal_selectors_single_every_element_out(page):
-    got = E.ordinal_selectors(page(*PAGES)).collect()
+    got = I.ordinal_selectors(page(*PAGES)).collect()
     nodes_of = dict(enumerate(trees(), 1))
     assert len(got) == sum(n["text"] is None for nodes in nodes_of.values() for n in nodes)
     for r in got:
         nodes = nodes_of[r["page_id"]]
         if r["selector"] is None:  # a top element whose like is nested inside: no chain tells them apart
             node = nodes[r["pre"]]
-            whole = " > ".join(f"{nodes[p]['tag']}:nth-child({nodes[p]['nth']})" for p in [*node["anc"], r["pre"]])
+            whole = " > ".join(f"{n['tag']}:nth-child({n['nth']})" for n in [*reversed(ancestors(node, nodes)), node])
             assert len(selected(whole, nodes)) > 1
             continue
         assert selected(r["selector"], nodes) == [r["pre"]]
@@ -93,14 +108,62 @@ def test_ordinal_selectors_single_every_element_out(page):
             assert len(selected(bare, nodes)) > 1
 
 
+SHAPES = st.lists(
+    st.sampled_from(["<div>", "<div class=a>", "<div class='a b'>", "<p id=k>", "<p>", "<b class=a>", "<b>", "</div>", "</p>", "</b>", "t"]),
+    max_size=30,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(SHAPES)
+def test_inferred_selectors_equal_trying_all(parts):
+    nodes = tree("".join(parts))
+    page = I._Page(*([n[c] for n in nodes] for c in ("tag", "id", "classes", "parent", "last", "nth")))
+    unique, shortest = dict(zip(page.elements, I._unique(page))), dict(zip(*I._shortest_rows(page)))
+    for node in (n for n in nodes if n["text"] is None):
+        tries = (chain_selector(node, nodes, k) for k in range(1, node["depth"] + 2))
+        assert unique[node["pre"]] == next((s for s in tries if selected(s, nodes) == [node["pre"]]), None)
+        if shortest[node["pre"]] is not None:
+            assert selected(shortest[node["pre"]], nodes) == [node["pre"]]
+    names, matched, alone = I._signature_rows(page)
+    assert all(len(selected(n, nodes)) == m and a == (m == 1) for n, m, a in zip(names, matched, alone))
+
+
+def test_inference_needs_no_shuffle_and_keeps_columns(page):
+    dom = page(*PAGES)
+    for df in (I.similar(dom), I.signature_uniqueness(dom), I.shortest_selectors(dom)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.columns[:2] == ["page_id", "url"]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "".join(f"<p id=e{i}>x</p>" for i in range(10_000)),
+        "".join(f"<div id=r{i}><b class=a>x</b></div>" for i in range(5_000)),
+        "<table>" + "<tr class=r><td class='c d'>x</td></tr>" * 5_000 + "</table>",
+        "<div>" * 1_000 + "x",
+    ],
+)
+def test_large_pages_take_seconds(html):
+    nodes = tree(html)
+    page = I._Page(*([n[c] for n in nodes] for c in ("tag", "id", "classes", "parent", "last", "nth")))
+    started = time.perf_counter()
+    found = I._shortest_rows(page)[1]
+    assert time.perf_counter() - started < 5
+    assert len(found) == sum(n["text"] is None for n in nodes)
+    if "id=r" in html:
+        assert found[1] == "#r0 b.a"
+
+
 def test_ordinal_selectors_run_through_the_dialect(page):
     dom = page(PAGES[1])
-    for r in E.ordinal_selectors(dom).collect():
+    for r in I.ordinal_selectors(dom).collect():
         assert rows(S.select(dom, r["selector"]), "pre") == [(r["pre"],)]
 
 
 def test_signature_counts_elements_with_more_classes(page):
-    got = {r["signature"]: (r["matched"], r["is_selector"]) for r in E.signature_uniqueness(page(PAGES[0])).collect()}
+    got = {r["signature"]: (r["matched"], r["is_selector"]) for r in I.signature_uniqueness(page(PAGES[0])).collect()}
     assert got["p.b"] == (4, False)
     assert got["p.a.b"] == (2, False)
     assert got["p.b.a"] == (2, False)
@@ -110,7 +173,7 @@ def test_signature_counts_elements_with_more_classes(page):
 
 
 def test_similar_groups_ignore_class_order(page):
-    groups = E.similar(page(PAGES[0])).filter("n > 1")
+    groups = I.similar(page(PAGES[0])).filter("n > 1")
     assert rows(groups, "tag", "classes", "n") == [("li", [], 2), ("p", ["a", "b"], 2)]
     assert rows(E.all_similar(page(PAGES[0], "<b>"), "p.a"), "page_id", "all_similar") == [(1, True)]
     assert rows(E.all_similar(page(PAGES[0]), "p"), "all_similar") == [(False,)]

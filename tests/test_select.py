@@ -1,10 +1,17 @@
 """The selector dialect on hand-written pages."""
 
+import random
+import time
+
 import pytest
+import test_elements as brute
 from conftest import rows
 
 from pageloom.model import CSS, REGEX, WORDLIST, XPATH, ContentSelector, FieldSelector
 from pageloom.operators import select as S
+from pageloom.operators.selectors import node_fields
+from pageloom.operators.shred import shred
+from pageloom.plans.session import materialise
 
 PAGE = """
 <div id=main class="box outer"><p class="x y">one <b>two</b> three</p><p class=y title="alpha beta">four</p></div>
@@ -108,3 +115,50 @@ def test_content_search_can_cover_the_document(page):
 def test_words_are_literal(page):
     dom = page("<div class=d><p>axb</p><p>a.b c</p></div>")
     assert rows(S.content_search(dom, content("a.b, q", WORDLIST)), "value") == [("a.b c",)]
+
+
+def test_deep_levels_are_found(page):
+    dom = page("<div>" * 515 + "<section><i>x</i></section>", "<section>" + "<div>" * 2_000 + "<b>x</b>")
+    assert rows(S.select(dom, "section i"), "page_id", "pre") == [(1, 516)]
+    for selector in ("section b", "section div div div b", "div > div b", "section > div div > b"):
+        assert rows(S.select(dom, selector), "page_id", "pre") == [(2, 2_001)]
+    assert S.select(dom, "section div div div").count() == 1_998
+
+
+def test_descendants_cost_one_sweep(spark):
+    """Several descendant steps over many nested and many disjoint matches take about the time of one."""
+    pages = ["<section>" + "<div>" * 500 + "<b>x</b>" * 2_000, "<table>" + "<tr><td><b>x</b></td></tr>" * 4_000 + "</table>"]
+    made = shred(spark.createDataFrame([(i, html) for i, html in enumerate(pages)], "page_id long, html string"))
+    dom = materialise(made)
+
+    def seconds(selector: str) -> float:
+        started = time.perf_counter()
+        S.select(dom, selector).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - started
+
+    seconds("b")
+    assert seconds("section div div div b") < 3 * seconds("section b") + 2
+    assert seconds("table tr td b") < 3 * seconds("table b") + 2
+
+
+def test_selectors_equal_trying_every_ancestor(spark):
+    rng = random.Random(5)
+    parts = ["<div>", "<div class=a>", "<p class='a b'>", "<b id=k>", "<b>", "</div>", "</p>", "</b>", "t"]
+    htmls = ["".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(120)]
+    pages = spark.createDataFrame([(i, html) for i, html in enumerate(htmls)], "page_id long, html string")
+    dom = materialise(shred(pages))
+    trees = [brute.tree(html) for html in htmls]
+    for selector in ("div b", "div div b", "div > b", "div > div b", "div b > b", "div.a p.b b", "b b b", "div > div > b div", "#k div > b"):
+        want = [(i, pre) for i, nodes in enumerate(trees) for pre in brute.selected(selector, nodes)]
+        assert rows(S.select(dom, selector), "page_id", "pre") == sorted(want, key=repr), selector
+    union = rows(S.select(dom, "div b, b > b, p"), "page_id", "pre")
+    want = {(i, pre) for i, nodes in enumerate(trees) for s in ("div b", "b > b", "p") for pre in brute.selected(s, nodes)}
+    assert union == sorted(want, key=repr)
+
+
+def test_node_fields_are_those_a_selector_reads(spark):
+    pages = spark.createDataFrame([(1, "<div class=a><a href=x id=k>t</a></div>")], "page_id long, html string")
+    for selector, more in (("div.a a::href", {"classes", "attrs"}), ("#k::text", {"id", "text"}), ("div > a:nth-child(1)", {"nth", "text"})):
+        fields = node_fields(selector)
+        assert fields == {"pre", "last", "parent", "tag"} | more
+        assert S.values(shred(pages, fields), selector).count() == 1

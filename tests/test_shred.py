@@ -1,11 +1,13 @@
 """Trees of real-world HTML: recovery rules, numbering, raw text."""
 
 import time
+
+import pytest
 from conftest import rows
 from hypothesis import given, settings, strategies as st
 
 from pageloom.model import RAW_TEXT_TAG, TEXT_TAG
-from pageloom.operators.shred import MAX_DEPTH, _Trees, elements, shred, texts, write_dom
+from pageloom.operators.shred import _Trees, elements, shred, texts, write_dom
 
 
 def tree(html: str) -> list[dict]:
@@ -96,13 +98,22 @@ def test_ordinals():
     assert [(n["text"], n["nth"]) for n in nodes if n["parent"] == 0 and n["text"]] == [("t", 1), ("u", 2)]
 
 
-def test_deep_nesting_flattens_without_losing_content():
-    nodes = tree("<b>" * (MAX_DEPTH + 50) + "end")
-    assert len(nodes) == MAX_DEPTH + 51
-    assert max(n["depth"] for n in nodes) == MAX_DEPTH
+def test_deep_nesting_keeps_its_levels():
+    nodes = tree("<b>" * 5_000 + "end")
+    assert [n["depth"] for n in nodes] == list(range(5_001))
+    assert {n["last"] for n in nodes} == {5_000}
     assert nodes[-1]["text"] == "end"
 
 
+@pytest.mark.parametrize("tag", ["<b>", "<p><object>", "<li><ul>", "<table><tr><td>", "<dl><dd>"])
+def test_deep_nesting_costs_one_scan(tag):
+    started = time.perf_counter()
+    for html in (tag * 30_000 + "<p>" * 1_000 + "<li>" * 1_000 + "</i>" * 30_000, tag * 30_000 + "<p>x</p>" * 30_000):
+        tree_of = _Trees()
+        tree_of.parse(html)
+    assert time.perf_counter() - started < 4
+
+
 def test_pages_are_independent_and_empty_pages_have_no_nodes():
     trees = _Trees()
     for html in ("<p>a", "", "<i>b</i>c"):
@@ -113,6 +124,14 @@ def test_pages_are_independent_and_empty_pages_have_no_nodes():
     assert [(n["pre"], n["parent"], n["nth"]) for n in last] == [(0, -1, 1), (1, 0, 1), (2, -1, 1)]
 
 
+def above_of(node: dict, nodes: list[dict]) -> list[int]:
+    out = []
+    while node["parent"] >= 0:
+        out.append(node["parent"])
+        node = nodes[node["parent"]]
+    return out
+
+
 MARKUP = st.lists(
     st.sampled_from(
         ["<p>", "</p>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<table>", "</table>", "<tr>", "<td>", "</td>",
@@ -128,11 +147,11 @@ def test_numbering_is_consistent(parts):
     nodes = tree("".join(parts))
     for i, n in enumerate(nodes):
         assert n["pre"] == i
-        assert n["depth"] == len(n["anc"])
-        assert n["parent"] == (n["anc"][-1] if n["anc"] else -1)
-        for a in n["anc"]:
+        above = above_of(n, nodes)
+        assert n["depth"] == len(above)
+        for a in above:
             assert nodes[a]["pre"] < i <= nodes[a]["last"]
-        inside = [m["pre"] for m in nodes if i in m["anc"]]
+        inside = [m["pre"] for m in nodes if i in above_of(m, nodes)]
         assert n["last"] == (max(inside) if inside else i)
         kin = [m for m in nodes[: i + 1] if m["parent"] == n["parent"] and (m["text"] is None) == (n["text"] is None)]
         assert n["nth"] == len(kin)
@@ -158,3 +177,11 @@ def test_unclosed_tags_cost_one_scan():
         trees.parse(html)
     assert time.perf_counter() - started < 2
     assert outline("a > b <!-- open <i>") == "0:'a > b '"
+
+
+def test_fields_can_be_chosen(spark):
+    pages = spark.createDataFrame([(1, "<p id=k class='a b' href=x>t")], "page_id long, html string")
+    (row,) = shred(pages, ["tag", "classes", "pre"]).collect()
+    assert [n.asDict() for n in row["nodes"]] == [
+        {"pre": 0, "tag": "p", "classes": ["a", "b"]}, {"pre": 1, "tag": TEXT_TAG, "classes": []},
+    ]
