@@ -19,7 +19,7 @@ they neither back-track over long runs nor recurse; they find the same matches a
 
 Contexts are bounded per entity occurrence and each document sends a pair once, so pairs grow with the text, not with
 its square; pair, entity and term counts combine before they are shuffled, and a hot entity or term is one
-row a task. Only terms that are candidates by support are counted in the corpus. Tables of flagged pairs are
+row a task. Terms are counted in the corpus only if their count beside entities leaves room for the threshold. Tables of flagged pairs are
 broadcast only behind a size check.
 
 Defined results: a null text is empty; rows sharing an id are documents of their own (equal ones get equal
@@ -187,13 +187,28 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return materialise(rows.select("id", "digest", spans.alias("spans"), F.flatten("e.near").alias("near")))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
-    """``(entity, term, disclosure)`` of the pairs that ``support`` different texts hold; ``found`` is of :func:`entities`."""
+def disclosures(
+    found: DataFrame, docs: DataFrame, least: float = GENERALISE, support: int = SUPPORT, text_col: str = "text"
+) -> DataFrame:
+    """``(entity, term, disclosure)`` of the pairs that ``support`` different texts hold, from ``least`` on.
+
+    ``found`` is what :func:`entities` made of ``docs``.
+    """
     pair = F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term")))))
     each = found.select("digest", pair.alias("p")).groupBy("p.entity", "p.term", "digest").agg(F.count("*").alias("n"))
     pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
-    pairs = materialise(pairs.filter(F.col("texts") >= support).select("entity", "term", "both"))
+    pairs = pairs.filter(F.col("texts") >= support).select("entity", "term", "both")
     holders = found.select(F.explode(F.array_distinct("spans.name")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    beside = found.select(F.explode(F.array_distinct("near.term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
+    total = found.count()
+
+    def share(n_term: str) -> Column:
+        told = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_entity").cast("double") * F.col(n_term)))
+        whole = F.log(F.lit(float(total)) / F.col("n_entity"))
+        return F.when(F.col("n_entity") < total, told / whole).otherwise(0.0)
+
+    # a term is in at least as many documents as have it beside any entity, so this bounds its disclosure from above
+    pairs = materialise(pairs.join(holders, "entity").join(beside, "term").filter(share("n_beside") >= least))
     words = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), GAP)
     words = F.array_distinct(F.transform(F.array_distinct(words), lambda w: F.lower(w)))
     candidates, n = materialise_counted(pairs.select("term").distinct())
@@ -201,12 +216,7 @@ def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, text_
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     held = docs.select(F.explode(words).alias("term")).join(small(candidates), "term", "left_semi")
     seen = small(materialise(held.groupBy("term").agg(F.count("*").alias("n_term"))))
-    total = found.count()
-    known = pairs.join(seen, "term").join(holders, "entity")
-    told = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_entity").cast("double") * F.col("n_term")))
-    whole = F.log(F.lit(float(total)) / F.col("n_entity"))
-    share = F.when(F.col("n_entity") < total, told / whole).otherwise(0.0)
-    return known.select("entity", "term", share.alias("disclosure"))
+    return pairs.join(seen, "term").select("entity", "term", share("n_term").alias("disclosure")).filter(F.col("disclosure") >= least)
 
 
 def personal_spans(
@@ -222,8 +232,7 @@ def personal_spans(
     ``digest`` is the 64-bit hash of the text (null as empty); ``spans`` is ``array<struct<kind, start, stop>>``.
     """
     found = entities(docs, id_col, text_col)
-    flagged = disclosures(found, docs, support, text_col).filter(F.col("disclosure") >= generalise)
-    flagged = small(materialise(flagged.select("entity", "term", "disclosure")))
+    flagged = small(materialise(disclosures(found, docs, generalise, support, text_col)))
     mention = found.select(F.coalesce("id", F.lit(_NULL_ID)).alias("key"), "digest", F.explode("near").alias("m"))
     mention = mention.select("key", "digest", "m.*").join(flagged, ["entity", "term"])
     worst = mention.groupBy("key", "digest", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
