@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -14,8 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # pages differ widely in size: bound Arrow batches by bytes as well as by rows
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    # pages differ widely in size: bound Arrow batches by bytes as well as by rows (each is held on both sides)
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 # Planned sizes count compressed files; rows in memory may take several times as much.
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
@@ -52,7 +53,8 @@ def _own_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below this application's scratch folder."""
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _made[-1:]:
+    made = _made.get()
+    if made is not None:
         made.append(path)
     return path
 
@@ -67,20 +69,22 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, _own_folder(spark))
 
 
-# paths given out inside each open :func:`settle`
-_made: list[list[str]] = []
+# paths given out inside the innermost open :func:`settle`; other threads (stream consumers, other queries) have their own
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def settle(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``build`` plans, stored; scratch tables made while building it are deleted then."""
     path = fresh_path(spark, "table")
-    _made.append([])
+    used: list[str] = []
+    outer = _made.set(used)
     try:
         df = build()
         df.write.parquet(path)
     finally:
-        for used in _made.pop():
-            _delete(spark, used)
+        _made.reset(outer)
+        for scratch in used:
+            _delete(spark, scratch)
     return spark.read.schema(df.schema).parquet(path)
 
 
