@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm.substrings import small
 from pageloom.llm.tokens import run_ids
+from pageloom.llm.words import released
 from pageloom.plans.session import materialise, materialise_counted
 
 LENGTH = 2048
@@ -62,7 +63,7 @@ def _pieces(path: str, capacity: int, closing: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = run_ids(path).ids
-        for batch in batches:
+        for batch in released(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text or "") + end

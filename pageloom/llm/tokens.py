@@ -19,7 +19,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: how the tokenizer file named word_bpe_49k.json splits a normalised text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-TABLE_RUNS = 1_000_000
+#: Bounds of the table: bytes (an entry counts its text, its ids and what Python adds), and characters of a run kept.
+TABLE_BYTES, LONGEST_RUN = 64 << 20, 64
+_ENTRY = 170
 _END = "</w>"
 
 
@@ -32,6 +34,7 @@ class RunIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}
+        self.room = TABLE_BYTES
         self.split = regex.compile(SPLIT).findall
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
@@ -44,11 +47,13 @@ class RunIds:
         runs = self.split(normal)
         found = list(map(self.runs.get, runs))
         if None in found:
-            if len(self.runs) >= TABLE_RUNS:
-                self.runs.clear()
+            if self.room <= 0:
+                self.runs, self.room = {}, TABLE_BYTES
             new = list({r for r, x in zip(runs, found) if x is None})
             own = dict(zip(new, self._encode(new)))
-            self.runs.update(own)
+            kept = {r: ids for r, ids in own.items() if len(r) <= LONGEST_RUN}
+            self.runs.update(kept)
+            self.room -= sum(_ENTRY + len(r) + len(ids) for r, ids in kept.items())
             found = [own[r] if x is None else x for r, x in zip(runs, found)]
         return b"".join(found)
 

@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Fitting uses at most ``TOXIC_DOCS`` toxic and ``CLEAN_DOCS`` clean labelled documents (those with the least
-hash of their id), whole texts, so the model and the cost of fitting have a fixed bound; scoring covers
-every document and every word.
+hash of their id; of rows sharing an id the least text), whole texts of at most ``SAMPLE_TEXT_BYTES``, so the model and
+the cost of fitting have a fixed bound; scoring covers every document and every word.
 
 1. *Labelled tokens.* Labels are per document, so words are labelled by a greedy cover: the word or word
    beginning that explains most toxic documents not explained ``COVERS`` times yet, and occurs in at most
@@ -12,12 +12,15 @@ every document and every word.
    beginnings of 3 to 8 bytes, its ending, the words beside it. Conditional likelihood is climbed by
    adaptive gradient steps; expected counts come from forward-backward.
 3. *Scores.* Marginals of all words give the document score: a logistic function of the largest marginal, the
-   second largest and the logarithm of the sum of squares, fitted on the same documents. Runs of words with a marginal of
-   at least ``span_at`` are the offending spans, with offsets in code points.
+   second largest and the logarithm of the sum of squares, fitted on the same documents. Its intercept is held to the
+   share of toxic ones and to ``NO_EVIDENCE``, so a text without evidence is never rejected. Runs of words with a
+   marginal of at least ``span_at`` are the offending spans, with offsets in code points.
 
 Words are runs without white space or ASCII punctuation, in lower case (ASCII and Latin-1). Only the text
 enters a score. Defined results: null and empty texts get the score of no evidence and no spans; without
-toxic or without clean training documents every score is the share of toxic ones (0 if there are none).
+toxic or without clean training documents, and where the fitted scores do not tell the training documents apart
+(toxic ones reach the threshold no more than twice as often as clean ones), every score is the share of toxic
+ones (0 if there are none), at most ``NO_EVIDENCE``: few labels reject nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.words import PIECE_BYTES, U, Words, find_words, mix, texts_of, windows
+from pageloom.llm.words import PIECE_BYTES, U, Words, find_words, mix, released, texts_of, windows
 
 TOXIC_DOCS, CLEAN_DOCS = 1000, 1500
 NOISE, SUPPORT, COVERS = 0.002, 3, 3
@@ -38,6 +41,10 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 STEPS, RATE, DECAY = 25, 0.5, 1e-6
 CHUNK = 200_000
 THRESHOLD = 0.3
+#: A text without any marked word scores at most this, below the threshold whatever the labels are.
+NO_EVIDENCE = 0.2
+#: Longer texts are not fitted on, which bounds the sample in bytes as well: (TOXIC_DOCS + CLEAN_DOCS) times this.
+SAMPLE_TEXT_BYTES = 1 << 17
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -243,10 +250,11 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
     """Fit on labelled texts (at most the documented bound)."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
-        return Tagger(float(toxic.mean()) if len(toxic) else 0.0)
+        return Tagger(min(float(toxic.mean()), NO_EVIDENCE) if len(toxic) else 0.0)
+    prior = min(float(toxic.mean()), NO_EVIDENCE)
     w = plain_words(*texts_of(texts))
     if not len(w.hashes):
-        return Tagger(float(toxic.mean()))
+        return Tagger(prior)
     gold = token_labels(w, toxic).astype(np.float64)
     slots = features(w)
     first = w.first[:-1][w.counts > 0]
@@ -279,7 +287,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
         chain += RATE * turn / np.sqrt(speed_c)
         speed_b += diff.sum() ** 2
         bias += RATE * diff.sum() / np.sqrt(speed_b)
-    tagger = Tagger(float(toxic.mean()), weights.astype(np.float32), float(bias), chain)
+    tagger = Tagger(prior, weights.astype(np.float32), float(bias), chain)
     x = summary(p, w.first[:-1], w.counts)
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     coef = np.zeros(4)
@@ -287,6 +295,10 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Tagger:
         q = _sigmoid(x @ coef)
         h = (x * (share * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(4)
         coef += np.linalg.solve(h, x.T @ (share * (toxic - q)) - 1e-3 * coef)
+    coef[0] = min(coef[0], np.log(prior / (1 - prior)))
+    hit = _sigmoid(x @ coef) >= THRESHOLD
+    if hit[toxic].mean() <= 2 * hit[~toxic].mean():
+        return Tagger(prior)
     tagger.score = coef
     return tagger
 
@@ -306,7 +318,9 @@ def fit_tagger(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     ]
     chosen = some[0].unionByName(some[1])  # at most TOXIC_DOCS + CLEAN_DOCS rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic").toArrow().sort_by([("id", "ascending")])
+    texts = texts.filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), "id")
+    one = texts.groupBy("id", "toxic").agg(F.min("text").alias("text"))  # a repeated id is one document
+    sample = one.select("id", "text", "toxic").toArrow().sort_by([("id", "ascending")])
     return fit(sample.column("text"), sample.column("toxic").to_numpy() == 1)
 
 
@@ -380,7 +394,7 @@ def score_toxicity(
 
 def _clean(tagger: Tagger, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in _tag(tagger, 2.0)(iter([batch.select(["text"])])):
                 keep = part.column("score").to_numpy() < threshold
                 yield batch.slice(0, part.num_rows).filter(pa.array(keep))

@@ -113,9 +113,15 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; what Arrow has kept of them goes back when the partition ends, as workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Batches cut into runs of whole texts of about :data:`PIECE_BYTES`, with their words."""
-    for batch in batches:
+    for batch in released(batches):
         if not batch.num_rows:
             continue
         data, offsets = texts_of(batch.column(text))

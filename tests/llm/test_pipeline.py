@@ -29,6 +29,16 @@ def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
 
+def test_every_stage_keeps_most_of_a_corpus(outputs):
+    """Nothing below compares empty with empty."""
+    counts = {name: len({r.doc_id for r in df.select("doc_id").collect()}) for name, df in outputs.items()}
+    assert 0.95 * counts["documents"] <= counts["toxicity"] < counts["documents"]
+    assert 0.9 * counts["toxicity"] <= counts["near_dedup"] < counts["toxicity"]
+    assert 0.95 * counts["near_dedup"] <= counts["substring_dedup"] <= counts["near_dedup"]
+    assert 0.95 * counts["substring_dedup"] <= counts["decontamination"] < counts["substring_dedup"]
+    assert counts["packing"] == counts["decontamination"]
+
+
 def test_columns(outputs):
     names = list(outputs)
     for name in names[:-1]:

@@ -67,6 +67,33 @@ def test_nothing_to_learn(spark):
     assert score_toxicity(d.limit(0), Tagger()).count() == 0
 
 
+def test_few_or_useless_labels_reject_nothing(spark):
+    docs, labels = corpus(60)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rng = random.Random(6)
+    for few in (
+        [(0, 1)],
+        [(0, 1), (1, 0)],
+        [(i, 1) for i, _ in docs],
+        [(i, rng.randint(0, 1)) for i, _ in docs if i % 5],
+    ):
+        tagger = fit_tagger(d, spark.createDataFrame(few, "doc_id long, toxic int"))
+        assert without_toxic(d, tagger).count() >= 48
+        assert all(0 <= r.score <= 1 for r in score_toxicity(d, tagger).collect())
+    clean = spark.createDataFrame([(1, "w1 w2 w3"), (2, ""), (3, "unseen words only")], "doc_id long, text string")
+    tagger = fit_tagger(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert without_toxic(clean, tagger).count() == 3
+
+
+def test_repeated_and_very_long_labelled_rows(spark):
+    docs, labels = corpus(200)
+    more = docs + [docs[0]] * 500 + [(5, "long text " * 200_000)]
+    d = spark.createDataFrame(more, "doc_id long, text string")
+    tagger = fit_tagger(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    kept = {r.doc_id for r in without_toxic(spark.createDataFrame(docs, "doc_id long, text string"), tagger).collect()}
+    assert kept == {i for i, bad in labels if not bad}
+
+
 def test_held_out_accuracy(spark):
     """Given data: few labels, and words of some languages are too rare to learn; clean ones stay clean."""
     folder = "/root/testdata/sf0.1"
