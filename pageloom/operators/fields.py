@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pageloom.functions.binding import bind
 from pageloom.functions.text import call_arg, strip
 from pageloom.functions.urls import absolutise
 from pageloom.model import (
@@ -20,7 +21,7 @@ from pageloom.model import (
     TableSelector,
 )
 from pageloom.operators.select import content_value
-from pageloom.operators.selectors import first_node, select_values
+from pageloom.operators.selectors import first_node, node_fields, select_values
 from pageloom.operators.tables import table_pairs
 
 FIELD = "array<struct<selector_no:int,key:string,pos:int,value:string>>"
@@ -51,25 +52,45 @@ def _entries(nodes: Column, regions: dict, number: int, spec: KeyValueSelector)
         return F.transform(pairs, lambda p: entry(p["key"], p["row"], p["value"]))
     key = F.lit(IMAGES) if isinstance(value, ImageSelector) else _field_key(nodes, spec.key)
     if isinstance(value, ContentSelector):
-        region = F.col(regions[value.restrict])
+        region = regions[value.restrict]
         one = F.array(entry(key, F.lit(0), content_value(nodes, region, value)))
         return F.when(region.isNotNull(), one).otherwise(F.array().cast(FIELD))
     return F.transform(select_values(nodes, value), lambda v: entry(key, v["pre"], v["value"]))
 
 
-def extract_fields(dom: DataFrame, spec: ItemSelector) -> DataFrame:
-    """``fields``: every value a spec finds on a page, selector by selector, tables last."""
-    nodes = F.col("nodes")
-    regions: dict = {}
-    for s in spec.selectors:
-        if isinstance(s.value, ContentSelector) and s.value.restrict not in regions:
-            regions[s.value.restrict] = f"_region_{len(regions)}"
-    prepared = dom.select("*", *[first_node(nodes, sel).alias(name) for sel, name in regions.items()])
+def fields_of(nodes: Column, spec: ItemSelector) -> Column:
+    """Every value a spec finds on a page, selector by selector, tables last."""
+    restricts = list(dict.fromkeys(s.value.restrict for s in spec.selectors if isinstance(s.value, ContentSelector)))
     plain = [(i, s) for i, s in enumerate(spec.selectors) if not isinstance(s.value, TableSelector)]
     tables = [(i, s) for i, s in enumerate(spec.selectors) if isinstance(s.value, TableSelector)]
-    parts = [_entries(nodes, regions, i, s) for i, s in plain + tables]
+
+    def build(left: list, regions: dict) -> Column:
+        if left:
+            return bind(first_node(nodes, left[0]), lambda region: build(left[1:], {**regions, left[0]: region}))
+        return F.concat(*[_entries(nodes, regions, i, s) for i, s in plain + tables])
+
+    return build(restricts, {})
+
+
+def read_fields(spec: ItemSelector) -> set[str]:
+    """The node fields :func:`fields_of` reads."""
+    out = {"pre", "last", "parent", "tag", "text"}
+    for s in spec.selectors:
+        if isinstance(s.value, ContentSelector):
+            out |= node_fields(s.value.restrict) | {"nth"}
+        elif isinstance(s.value, TableSelector):
+            out |= node_fields(FieldSelector(s.value.selector, s.value.kind)) | {"attrs"}
+        else:
+            out |= node_fields(s.value)
+        if isinstance(s.key, FieldSelector):
+            out |= node_fields(s.key)
+    return out
+
+
+def extract_fields(dom: DataFrame, spec: ItemSelector) -> DataFrame:
+    """``fields``: every value a spec finds on a page, selector by selector, tables last."""
     keep = [c for c in dom.columns if c != "nodes"]
-    return prepared.select(*keep, F.concat(*parts).alias("fields"))
+    return dom.select(*keep, fields_of(F.col("nodes"), spec).alias("fields"))
 
 
 def field_rows(extracted: DataFrame, empty_pages: bool = False) -> DataFrame:
@@ -94,12 +115,9 @@ def regroup_fields(rows: DataFrame) -> DataFrame:
     return listed.withColumn("fields", F.transform("fields", lambda f: f.dropFields("no")))
 
 
-def process_fields(extracted: DataFrame, processors: dict[str, list[Processor]] | None = None) -> DataFrame:
-    """Input processors per key, composed left to right; images are made absolute, others stripped.
-
-    ``processors`` maps a key to Column functions; the default set applies to all other keys.
-    """
-    chosen = {IMAGES: [lambda c: absolutise(c, F.col("url"))], **(processors or {})}
+def processed(fields: Column, url: Column, processors: dict[str, list[Processor]] | None = None) -> Column:
+    """Input processors per key, composed left to right; images are made absolute, others stripped."""
+    chosen = {IMAGES: [lambda c: absolutise(c, url)], **(processors or {})}
 
     def clean(field: Column) -> Column:
         value = strip(field["value"])
@@ -110,7 +128,15 @@ def process_fields(extracted: DataFrame, processors: dict[str, list[Processor]]
             cases = F.when(hit, done) if cases is None else cases.when(hit, done)
         return field.withField("value", cases.otherwise(value))
 
-    return extracted.withColumn("fields", F.transform("fields", clean))
+    return F.transform(fields, clean)
+
+
+def process_fields(extracted: DataFrame, processors: dict[str, list[Processor]] | None = None) -> DataFrame:
+    """:func:`processed` fields.
+
+    ``processors`` maps a key to Column functions; the default set applies to all other keys.
+    """
+    return extracted.withColumn("fields", processed(F.col("fields"), F.col("url"), processors))
 
 
 def process_by_site(extracted: DataFrame, processor: str = "processor", key: str = "Images") -> DataFrame:
@@ -128,21 +154,47 @@ def process_by_site(extracted: DataFrame, processor: str = "processor", key: str
     return extracted.withColumn("fields", F.transform("fields", clean))
 
 
+def values_of(fields: Column, outputs: dict[str, Processor] | None = None) -> Column:
+    """Map of key to list of values, keys in the order of their first values.
+
+    Fields are sorted by key once and cut where the key changes, so the cost does not grow with the number of keys.
+    """
+    named = F.transform(fields, lambda f, i: F.struct(f["key"].alias("key"), i.alias("no"), f["value"].alias("value")))
+
+    def finished(key: Column, values: Column) -> Column:
+        return reduce(lambda acc, kf: F.when(key == kf[0], kf[1](values)).otherwise(acc), (outputs or {}).items(), values)
+
+    def cut(own: Column) -> Column:
+        firsts = F.filter(
+            F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["key"] != F.get(own, i - 1)["key"])
+        )
+
+        def run(starts: Column) -> Column:
+            def entry(start: Column, k: Column) -> Column:
+                stop = F.coalesce(F.get(starts, k + 1), F.size(own))
+                values = F.transform(F.sequence(start, stop - 1), lambda i: F.get(own, i)["value"])
+                key = F.get(own, start)["key"]
+                return F.struct(F.get(own, start)["no"].alias("no"), key.alias("key"), finished(key, values).alias("values"))
+
+            return F.array_sort(F.transform(starts, entry))
+
+        return bind(firsts, run)
+
+    entries = F.transform(
+        bind(F.array_sort(named), cut), lambda e: F.struct(e["key"].alias("key"), e["values"].alias("values"))
+    )
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+    return F.when(F.size(fields) > 0, F.map_from_entries(entries)).otherwise(none)
+
+
 def collect_fields(extracted: DataFrame, outputs: dict[str, Processor] | None = None) -> DataFrame:
     """``values``: key -> list of values, several selectors of a key appending to one list.
 
     ``outputs`` maps a key to a function of its list (an output processor); lists stay as they
     are by default.
     """
-    fields = F.col("fields")
-    keys = F.array_distinct(F.transform(fields, lambda f: f["key"]))
-
-    def list_of(key: Column) -> Column:
-        values = F.transform(F.filter(fields, lambda f: f["key"] == key), lambda f: f["value"])
-        return reduce(lambda acc, kf: F.when(key == kf[0], kf[1](values)).otherwise(acc), (outputs or {}).items(), values)
-
     keep = [c for c in extracted.columns if c != "fields"]
-    return extracted.select(*keep, F.map_from_arrays(keys, F.transform(keys, list_of)).alias("values"))
+    return extracted.select(*keep, values_of(F.col("fields"), outputs).alias("values"))
 
 
 def expand_items(collected: DataFrame) -> DataFrame:

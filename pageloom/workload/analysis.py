@@ -66,6 +66,41 @@ def unique_selectors_of_pages(spark, sf):
     return I.unique_selectors(page_dom(spark, sf)).select("page_id", "selector")
 
 
+LINES_OF_FLAGS = (
+    "SELECT o, s, f, j, n, m, count(*) OVER (PARTITION BY o, j) AS at_j FROM (SELECT l_orderkey AS o, l_returnflag AS f, "
+    "dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS s, count(*) OVER (PARTITION BY l_orderkey) AS n, "
+    "count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS m, "
+    "row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS j FROM lineitem)"
+)
+
+
+def _line_selector(one: str, own: str, ordinal: str) -> str:
+    """SQL for an element of a line: alone on its page, alone in its section, or told apart by ordinals."""
+    at = f"'div.line:nth-child(' || j || '){ordinal}'"
+    return (
+        f"CASE WHEN n = 1 THEN '{one}' WHEN m = 1 THEN '#f' || f || ' {own}' WHEN at_j = 1 THEN {at} "
+        f"ELSE 'section#f' || f || ':nth-child(' || s || ') > ' || {at} END"
+    )
+
+
+@query(
+    "shortest_selectors_of_orders",
+    f"WITH l AS ({LINES_OF_FLAGS}) SELECT o AS page_id, {_line_selector('div.line', 'div.line', '')} AS selector FROM l UNION ALL "
+    f"SELECT o, {_line_selector('b', 'div.line b', ' > b:nth-child(1)')} FROM l UNION ALL SELECT DISTINCT o, 'section#f' || f FROM l",
+)
+def shortest_selectors_of_orders(spark, sf):
+    """Pages with a section per return flag and a line per item: selectors of one to three steps, and ordinals."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("lines")  # seven at most
+    )
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<div class=line><b>"), x["l_quantity"].cast("string"), F.lit("</b></div>"))), "")
+    section = F.concat(F.lit("<section id=f"), F.col("l_returnflag"), F.lit(">"), body, F.lit("</section>"))
+    made = lines.select("l_orderkey", F.struct("l_returnflag", section.alias("html")).alias("s")).groupBy("l_orderkey")
+    pages = made.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["html"]), "").alias("html"))
+    dom = shred(pages.withColumnRenamed("l_orderkey", "page_id"), ("tag", "id", "classes", "parent", "last", "nth"))
+    return I.shortest_selectors(dom).select("page_id", "selector")
+
+
 SINGLES = (
     "html:nth-child(1) head:nth-child(1) meta:nth-child(1) title:nth-child(2) style:nth-child(3) script:nth-child(4) "
     "body:nth-child(2) nav:nth-child(1) ul:nth-child(1) div.ad:nth-child(2) article:nth-child(3) h1:nth-child(1) footer:nth-child(4)"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.text import call_arg, clean_key
 from pageloom.functions.urls import netloc
@@ -30,9 +30,9 @@ from pageloom.operators import post as P
 from pageloom.operators import tables as T
 from pageloom.operators.jobs import with_defaults, with_params
 from pageloom.operators.shred import shred
-from pageloom.plans.crawl import crawl, crawl_list
+from pageloom.plans.crawl import crawl, crawl_list, run_job_table
 from pageloom.sources.pages import read_pages
-from pageloom.sources.records import site_params_from
+from pageloom.sources.records import site_params, site_params_from
 from pageloom.workload.pages import HOST, HREFS
 from pageloom.workload.registry import (
     captured,
@@ -424,3 +424,53 @@ def listed_pages_to_items(spark, sf):
     spec = ItemSelector((KeyValueSelector("title", css("title::text")),))
     items = crawl_list(urls, spec, pages, ~F.col("html").contains('lang="de"'))
     return Fd.to_wide(items, ["title"]).select("page_id", "title")
+
+
+JOB_ITEMS = (
+    "SELECT 'customer ' || o_orderkey AS job_name, 'http://shop.example.com/customer/' || c_custkey AS scraped_url, 0 AS pos, "
+    "'name=' || c_name AS record FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL "
+    "SELECT 'sheet ' || o_orderkey, 'http://shop.example.com/order/' || o_orderkey, row, "
+    f"'Order=' || o_orderkey || '|line=' || field || ': ' || value FROM ({ORDER_CELLS}) UNION ALL "
+    "SELECT 'chat ' || conv_id, 'http://chat.example.com/' || conv_id || '/' || turn, pos, "
+    f"concat_ws('|', 'line=' || l[pos + 1], CASE WHEN pos = 0 THEN 'role=' || role END) FROM ({TURN_ITEMS}) UNION ALL "
+    "SELECT 'customer ' || o_orderkey, 'http://shop.example.com/order/' || o_orderkey, 0, '' FROM orders UNION ALL "
+    "SELECT 'sheet ' || o_orderkey, 'http://shop.example.com/order/' || o_orderkey, 0, '' FROM orders UNION ALL "
+    "SELECT 'chat ' || conv_id, 'http://chat.example.com/' || conv_id || '/0', 0, '' FROM conversations WHERE turn = 0 UNION ALL "
+    "SELECT 'gone', 'http://gone.example.com/', 0, ''"
+)
+
+
+@query(
+    "jobs_of_several_specs",
+    "SELECT job_name, CASE WHEN starts_with(job_name, 'c') AND NOT starts_with(job_name, 'ch') OR starts_with(job_name, 's') "
+    "THEN 'selenium' ELSE 'scrapy' END AS job_type, scraped_url, CAST(pos AS INTEGER) AS pos, record "
+    f"FROM ({JOB_ITEMS})",
+)
+def jobs_of_several_specs(spark, sf):
+    """Jobs of three specs, one per order and conversation, and one whose site was never captured."""
+    specs = [
+        MainPage(UrlSelector("a.who", CSS), ItemSelector((KeyValueSelector("name", css("h1::text")),))),
+        MainPage(
+            None,
+            ItemSelector(
+                (KeyValueSelector("", TableSelector("table.lines", CSS, TABLE_VHEADERS)),),
+                (Merge(("Field", "Value"), "line", ": "),),
+            ),
+        ),
+        MainPage(None, TURN_SPEC, UrlSelector("a.next", CSS)),
+    ]
+    orders = order_pages(spark, sf).select("page_id", "url")
+    firsts = turn_pages(spark, sf).filter(F.col("url").endswith("/0")).select((F.col("page_id") / 100000).cast("long").alias("page_id"), "url")
+
+    def jobs(df, kind: str, spec: int, at: int):
+        name = F.concat(F.lit(f"{kind} "), F.col("page_id"))
+        return df.select((F.col("page_id") * 4 + at).alias("seq"), name.alias("job_name"), "url", F.lit(spec).alias("spec"))
+
+    gone = spark.range(1).select(F.lit(3).cast("long").alias("seq"), F.lit("gone").alias("job_name"), F.lit("http://gone.example.com/").alias("url"), F.lit(0).alias("spec"))
+    parts = [jobs(orders, "customer", 0, 0), jobs(orders, "sheet", 1, 1), jobs(firsts, "chat", 2, 2), gone]
+    table_of_jobs = reduce(DataFrame.unionByName, parts)
+    pages = reduce(DataFrame.unionByName, [order_pages(spark, sf), customer_pages(spark, sf), turn_pages(spark, sf)])
+    params = site_params(spark, {"http://shop.example.com/": {"PREFERRED_SCRAPER": "selenium"}})
+    items = run_job_table(table_of_jobs, specs, pages, params)
+    parts_of = F.transform(F.map_entries("record"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return items.select("job_name", "job_type", "scraped_url", "pos", F.array_join(F.array_sort(parts_of), "|").alias("record"))

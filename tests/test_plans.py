@@ -155,3 +155,26 @@ def test_settle_leaves_only_its_result(spark):
     kept = PS.settle(spark, build)
     assert rows(kept) == [(3,), (4,)]
     assert not made[0].exists()
+
+
+def test_scans_do_not_grow_with_the_jobs(spark, tmp_path):
+    from pageloom.model import CSS, FieldSelector, ItemSelector, Job, JobPath, KeyValueSelector, MainPage, Url, UrlSelector
+    from pageloom.plans.crawl import run_jobs
+    from pageloom.sources.records import site_params
+
+    rows_ = [(i, f"http://h{i % 9}.example/{i}", f'<a href="/{(i * 7) % 90}">x</a><h1>{i}</h1>') for i in range(90)]
+    spark.createDataFrame(rows_, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    spec = ItemSelector((KeyValueSelector("t", FieldSelector("h1::text", CSS)),))
+    mains = [MainPage(UrlSelector("a", CSS), spec), MainPage(None, spec, UrlSelector("a", CSS))]
+    params = site_params(spark, {"http://h1.example/": {"PREFERRED_SCRAPER": "selenium"}})
+
+    def stages(n: int) -> tuple[int, int]:
+        jobs = [Job(i, f"j{i}", JobPath().add(Url(f"http://h{i % 9}.example/{i}")).add(mains[i % 2])) for i in range(n)]
+        df = run_jobs(jobs, pages, params)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert {r["job_name"] for r in df.select("job_name").collect()} == {f"j{i}" for i in range(n)}
+        return plan.count("FileScan"), plan.count("MapInArrow")
+
+    assert stages(2) == stages(30)
+    assert stages(30)[1] == 1
