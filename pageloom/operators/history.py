@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.model import GROWTH_THRESHOLD, LOG_LABELS
 from pageloom.plans.joins import lookup_join
 from pageloom.plans.session import materialise
-from pageloom.plans.slices import number_slice, queue_survivors, time_slice, with_context
+from pageloom.plans.slices import queue_survivors, with_context
 
 # Fixed value: column widths of a rendered selection.
 FIELD_WIDTH, SELECTOR_WIDTH = 20, 35
@@ -17,8 +17,7 @@ def with_previous_size(
     captures: DataFrame, key: str, order: list[str], size: str, slice_: Column | None = None
 ) -> DataFrame:
     """Size of the capture before, per page."""
-    cut = slice_ if slice_ is not None else time_slice(order[0])
-    return with_context(captures, [key], order, cut, before={size: "previous"})
+    return with_context(captures, [key], order, slice_, before={size: "previous"})
 
 
 def grew(
@@ -93,8 +92,7 @@ def surviving(actions: DataFrame, keys: list[str], order: str = "seq", slice_: C
 
     A removal of a selector that has no row does nothing.
     """
-    cut = slice_ if slice_ is not None else number_slice(order)
-    return queue_survivors(actions, keys, [order], cut, F.col("is_add"))
+    return queue_survivors(actions, keys, [order], slice_, F.col("is_add"))
 
 
 def render_log(actions: DataFrame, keys: list[str], order: str = "seq", slice_: Column | None = None) -> DataFrame:
@@ -109,12 +107,11 @@ def trail(visits: DataFrame, session: list[str], order: str = "seq", slice_: Col
 
     ``visits`` has ``kind`` (``url``, ``form`` or ``item``) and ``url``.
     """
-    cut = slice_ if slice_ is not None else number_slice(order)
     known = with_context(
         visits,
         session,
         [order],
-        cut,
+        slice_,
         before={"url": "_last_url"},
         after={"kind": "_next_kind"},
         lowest={"_stop": F.when(F.col("kind") == "item", F.col(order))},

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.binding import bind
+from pageloom.functions.binding import BLOCK, bind
 from pageloom.functions.text import clean_key
 from pageloom.model import TABLE_HHEADERS, TABLE_VHEADERS, FieldSelector, TableSelector
 from pageloom.operators.selectors import element_text, select_nodes, subtree
@@ -55,7 +55,8 @@ def grid(rows: Column, nodes: Column) -> Column:
     """Rows of cells laid out with row spans: ``array<array<string>>``.
 
     Each row first keeps the columns its predecessors' spans still cover, then fills the free
-    columns with its own cells. Tables without spans skip the fold.
+    columns with its own cells. Tables without spans skip the fold. Rows are swept in blocks: a fold copies what it
+    appends to, so only a block's rows and one entry a block are copied, and the cost is linear in the rows.
     """
     cells_of = F.transform(
         rows,
@@ -98,10 +99,26 @@ def grid(rows: Column, nodes: Column) -> Column:
         return bind(slots_of(acc["carry"], cells), advance)
 
     def layout(rows_of_cells: Column) -> Column:
-        start = F.struct(F.array().cast(SLOTS).alias("carry"), F.array().cast("array<array<string>>").alias("out"))
+        count = F.size(rows_of_cells)
+        none = F.array().cast("array<array<string>>")
+
+        def sweep(acc: Column, block: Column) -> Column:
+            """One block of rows, from the spans that reach into it."""
+            own = F.transform(
+                F.sequence(block * BLOCK, F.least(block * BLOCK + BLOCK, count) - 1), lambda i: F.get(rows_of_cells, i)
+            )
+            start = F.struct(acc["carry"].alias("carry"), none.alias("out"))
+            swept = F.aggregate(own, start, step)
+            return bind(
+                swept, lambda s: F.struct(s["carry"].alias("carry"), F.array_append(acc["out"], s["out"]).alias("out"))
+            )
+
+        start = F.struct(F.array().cast(SLOTS).alias("carry"), F.array().cast("array<array<array<string>>>").alias("out"))
+        blocks = F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))
         spanned = F.exists(rows_of_cells, lambda cells: F.exists(cells, lambda c: c["span"] > 1))
         plain = F.transform(rows_of_cells, lambda cells: F.transform(cells, lambda c: c["text"]))
-        return F.when(spanned, F.aggregate(rows_of_cells, start, step, lambda acc: acc["out"])).otherwise(plain)
+        filled = F.flatten(F.aggregate(blocks, start, sweep, lambda acc: acc["out"]))
+        return F.when(spanned, filled).otherwise(plain)
 
     return bind(cells_of, layout)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pageloom.functions.binding import bind
 from pageloom.functions.text import decode_text
 from pageloom.functions.urls import file_name
 from pageloom.plans.session import materialise_counted
@@ -33,10 +34,43 @@ def wide_by_widest(records: DataFrame, record: str, order: str) -> DataFrame:
     return records.select(*[F.coalesce(F.col(record)[c], F.lit("")).alias(c) for c in columns])
 
 
+def decoded(value: Column, kind: T.DataType) -> Column:
+    """A value with every binary in it as text: elements, keys and values of maps, fields of structs."""
+    if isinstance(kind, T.BinaryType):
+        return decode_text(value)
+    if not _holds_binary(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: decoded(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        # of keys that decode to the same text the last counts
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(decoded(e["key"], kind.keyType).alias("key"), decoded(e["value"], kind.valueType).alias("value")),
+        )
+        last = F.filter(
+            bind(entries, lambda es: F.transform(es, lambda e, i: F.struct(e.alias("e"), i.alias("i"), es.alias("es")))),
+            lambda x: ~F.exists(F.slice(x["es"], x["i"] + 2, F.size(x["es"])), lambda o: o["key"] == x["e"]["key"]),
+        )
+        return F.map_from_entries(F.transform(last, lambda x: x["e"]))
+    fields = [decoded(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def _holds_binary(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_binary(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_binary(kind.keyType) or _holds_binary(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_binary(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.BinaryType)
+
+
 def decode_bytes(df: DataFrame) -> DataFrame:
-    """Binary columns as text."""
-    binary = [c for c, kind in df.dtypes if kind == "binary"]
-    return df.withColumns({c: decode_text(F.col(f"`{c}`")) for c in binary}) if binary else df
+    """Binary values as text, wherever they are nested."""
+    found = {f.name: decoded(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if _holds_binary(f.dataType)}
+    return df.withColumns(found) if found else df
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -88,6 +122,10 @@ def image_manifest(
     return manifest.join(stored, "path", "left").select("url", "path", F.col("_stored").isNull().alias("fetch"))
 
 
-def append_visited(items: DataFrame, path: str) -> None:
-    """Record the page of every item in its job's progress."""
-    items.select("job_name", F.col("scraped_url").alias("url")).distinct().write.mode("append").parquet(path)
+def append_visited(items: DataFrame, path: str, batch: str) -> None:
+    """Record the page of every item in its job's progress.
+
+    ``batch`` names the work that made the items: run again, it overwrites its own rows instead of doubling them.
+    """
+    rows = items.select("job_name", F.col("scraped_url").alias("url")).distinct()
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.plans.session import spread
 
 PAGE_COLUMNS = ("page_id", "url", "html")
+GENERATED_ROWS = 10_000
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +41,27 @@ def listed_urls(spark: SparkSession, urls: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(enumerate(urls, 1), "seq long, url string")
 
 
-def generated_urls(seeds: DataFrame, column: str, generate: Callable[[str], Iterable[str]]) -> DataFrame:
-    """URLs a Python generator yields for each seed, run on the executors: ``pos, url`` per seed row."""
-    made = F.udf(lambda seed: list(generate(seed)), "array<string>", useArrow=True)
-    return seeds.select("*", F.posexplode(made(column)).alias("pos", "url"))
+def generated_urls(
+    seeds: DataFrame, column: str, generate: Callable[[str], Iterable[str]], rows: int = GENERATED_ROWS
+) -> DataFrame:
+    """URLs a Python generator yields for each seed, run on the executors: ``pos, url`` per seed row.
+
+    They leave the worker ``rows`` at a time, so a seed may have any number of them in constant memory.
+    """
+    names = seeds.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, seed in enumerate(batch.column(column)):
+                urls, first = iter(generate(seed.as_py())), 0
+                while part := list(islice(urls, rows)):
+                    carried = batch.slice(r, 1).take(pa.array([0] * len(part)))
+                    made = [pa.array(range(first, first + len(part)), pa.int64()), pa.array(part, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*carried.columns, *made], [*names, "pos", "url"])
+                    first += len(part)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seeds.schema.fields)
+    return seeds.mapInArrow(run, f"{kept}, pos long, url string")
 
 
 def url_list(urls: DataFrame, pages: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pageloom.operators import infer as I
 from pageloom.operators import select as S
 from pageloom.operators.shred import shred
 from pageloom.plans.session import materialise
-from pageloom.plans.slices import time_slice
 from pageloom.workload.registry import order_pages, page_dom, part_pages, query, sql_unescape, table
 
 CLASSED = "regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)"
@@ -171,7 +170,7 @@ def captures_that_grew(spark, sf):
 )
 def captures_that_changed(spark, sf):
     sized = table(spark, sf, "events").withColumn("size", F.char_length("props").cast("long"))
-    done = H.changed(sized, "event_type", ["ts", "event_id"], "size", time_slice("ts", 86400))
+    done = H.changed(sized, "event_type", ["ts", "event_id"], "size")
     return done.select("event_id", "event_type", "previous")
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.text import decode_text
 from pageloom.functions.urls import netloc
-from pageloom.operators import jobs as C
-from pageloom.plans.session import fresh_path
+from pageloom.model import UNIQUE_ONCLICK
+from pageloom.operators import job_states, jobs as C, links as L
+from pageloom.operators.shred import shred
+from pageloom.plans.session import fresh_path, materialise
 from pageloom.sinks import export as K
-from pageloom.sources.pages import generated_urls, read_pages
+from pageloom.sources.pages import generated_urls, numbered_urls, read_pages, url_list
 from pageloom.sources.records import read_records, scan_without, site_params, site_params_from
 from pageloom.workload.pages import HOST
-from pageloom.workload.registry import query, table
+from pageloom.workload.registry import customer_pages, part_pages, query, table
 
 
 @query("collection_without_key", "SELECT c_name, c_nationkey, c_mktsegment FROM customer")
@@ -243,8 +248,9 @@ def visited_pages_appended(spark, sf):
         F.concat(F.lit("job"), "user_id").alias("job_name"),
         F.concat(F.lit("http://e.example.com/"), "event_type").alias("scraped_url"),
     )
-    K.append_visited(items, path)
-    return spark.read.schema("job_name string, url string").parquet(path)
+    for batch in ("first", "second", "first"):  # the first is done again
+        K.append_visited(items.filter((F.col("job_name") < "job5") == (batch == "first")), path, batch)
+    return spark.read.schema("job_name string, url string").parquet(path).select("job_name", "url")
 
 
 @query(
@@ -264,9 +270,113 @@ def image_manifest(spark, sf):
 
 @query(
     "urls_generated_per_seed",
-    "SELECT c_custkey AS seed, CAST(n AS INTEGER) AS pos, 'http://shop.example.com/' || c_mktsegment || '?p=' || n AS url FROM customer, range(3) t(n)",
+    "SELECT c_custkey AS seed, n AS pos, 'http://shop.example.com/' || c_mktsegment || '?p=' || n AS url FROM customer, range(3) t(n)",
 )
 def urls_generated_per_seed(spark, sf):
     seeds = table(spark, sf, "customer").select(F.col("c_custkey").alias("seed"), "c_mktsegment")
     pages_of = lambda segment: (f"http://shop.example.com/{segment}?p={n}" for n in range(3))
     return generated_urls(seeds, "c_mktsegment", pages_of).select("seed", "pos", "url")
+
+
+EVENT_URLS = "SELECT 'job' || user_id AS job_name, 'http://e.example.com/' || event_type || '/' || event_id % 7 AS url, event_id % 3 AS wave FROM events"
+
+
+@query(
+    "states_of_many_jobs",
+    f"WITH e AS ({EVENT_URLS}), last AS (SELECT DISTINCT job_name, url FROM e WHERE wave = 2 AND job_name < 'job5'), "
+    "kept AS (SELECT DISTINCT job_name, url FROM e WHERE job_name NOT IN (SELECT job_name FROM last) UNION SELECT * FROM last) "
+    "SELECT k.job_name, t AS job_type, CAST(v AS BIGINT) AS version, url FROM kept k JOIN ("
+    "SELECT job_name, min(event_type) AS t, max(CASE WHEN wave = 0 THEN 1 ELSE 0 END) + max(CASE WHEN wave = 1 THEN 1 ELSE 0 END) "
+    "+ max(CASE WHEN wave = 2 THEN 1 ELSE 0 END) + max(CASE WHEN wave = 2 AND job_name < 'job5' THEN 1 ELSE 0 END) AS v "
+    "FROM (SELECT 'job' || user_id AS job_name, event_type, event_id % 3 AS wave FROM events) GROUP BY 1) s ON s.job_name = k.job_name",
+)
+def states_of_many_jobs(spark, sf):
+    """Jobs of all users: three saves, one that replaces the URLs of some, and a compaction."""
+    path = fresh_path(spark, "states")
+    events = table(spark, sf, "events").select(
+        F.concat(F.lit("job"), "user_id").alias("job_name"),
+        F.concat(F.lit("http://e.example.com/"), "event_type", F.lit("/"), F.col("event_id") % 7).alias("url"),
+        F.col("event_type").alias("job_type"),
+        (F.col("event_id") % 3).alias("wave"),
+    )
+    job_states.create(spark, path, events.select("job_name", "job_type"))
+    for wave in range(3):
+        job_states.save(spark, path, events.filter(F.col("wave") == wave))
+    job_states.save(spark, path, events.filter("wave = 2 AND job_name < 'job5'"), replace=True)
+    job_states.compact(spark, path, f"{path}-compact")
+    path = f"{path}-compact"
+    return job_states.states(spark, path).join(job_states.visited(spark, path), "job_name")
+
+
+@query("decoded_nested_bytes", "SELECT doc_id, lang AS key, text, text[1:40] AS head, source FROM documents")
+def decoded_nested_bytes(spark, sf):
+    """Binary keys and values of maps, elements of arrays and fields of structs, in UTF-8 or Latin-1."""
+    latin = F.col("lang").isin("fr", "es")
+    raw = lambda c: F.when(latin, F.encode(c, "ISO-8859-1")).otherwise(F.encode(c, "UTF-8"))
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        F.create_map(raw(F.coalesce("lang", F.lit("?"))), F.array(raw(F.col("text")))).alias("m"),
+        F.struct(raw(F.substring("text", 1, 40)).alias("head"), F.struct(F.encode("source", "UTF-8").alias("source")).alias("in")).alias("s"),
+    )
+    text = K.decode_bytes(docs)
+    return text.select("doc_id", F.map_keys("m")[0].alias("key"), F.map_values("m")[0][0].alias("text"), "s.head", "s.in.source")
+
+
+@query("records_from_json_arrays", "SELECT p_partkey, p_name, p_size FROM part")
+def records_from_json_arrays(spark, sf):
+    """Parts stored as JSON arrays of records, a file per slice, and read back."""
+    path = fresh_path(spark, "arrays")
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    # one array per slice of parts, of a bounded number of records
+    arrays = part.groupBy(F.floor(F.col("p_partkey") / 500)).agg(F.to_json(F.collect_list(F.struct(*part.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_records(spark, path, "p_partkey long, p_name string, p_size int")
+
+
+@query(
+    "guarded_exports",
+    "SELECT 'first' AS run, count(*) AS rows FROM region UNION ALL SELECT 'refused', (SELECT count(*) FROM region) UNION ALL "
+    "SELECT 'skipped', (SELECT count(*) FROM region) UNION ALL SELECT 'replaced', count(*) FROM nation",
+)
+def guarded_exports(spark, sf):
+    """An existing export stops a second one, is left alone, or is replaced."""
+    path = fresh_path(spark, "guarded")
+    region, nation = (table(spark, sf, t).select(F.col(f"{t[0]}_name").alias("name")) for t in ("region", "nation"))
+    seen = []
+
+    def count(run: str) -> None:
+        stored = materialise(spark.read.option("header", True).schema("name string").csv(f"{path}.csv"))
+        seen.append(stored.agg(F.lit(run).alias("run"), F.count("*").alias("rows")))
+
+    K.export(region, path, "CSV")
+    count("first")
+    try:
+        K.export(nation, path, "CSV")
+    except AnalysisException:
+        count("refused")
+    K.export(nation, path, "CSV", mode="ignore")
+    count("skipped")
+    K.export(nation, path, "CSV", mode="overwrite")
+    count("replaced")
+    return reduce(DataFrame.unionByName, seen)
+
+
+@query(
+    "numbered_urls_with_pages",
+    "SELECT n AS seq, 'http://shop.example.com/customer/' || n AS url, c_custkey AS page_id FROM "
+    "range(1, (SELECT max(c_custkey) + 51 FROM customer)) t(n) LEFT JOIN customer ON c_custkey = n",
+)
+def numbered_urls_with_pages(spark, sf):
+    """URLs from a numbered template, beyond the last captured page."""
+    last = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    urls = numbered_urls(spark, "http://shop.example.com/customer/%d", last + 50)
+    return url_list(urls, customer_pages(spark, sf).select("url", "page_id")).select("seq", "url", "page_id")
+
+
+@query(
+    "distinct_links_by_onclick",
+    "SELECT p_partkey AS page_id, 'FillFullSize(1, http://img.example.com/' || p_partkey || '.jpg , 3)' AS key, CAST(1 AS BIGINT) AS uses FROM part",
+)
+def distinct_links_by_onclick(spark, sf):
+    records = L.link_records(shred(part_pages(spark, sf)))
+    return L.distinct_links(records, ["page_id"], UNIQUE_ONCLICK, "pre").select("page_id", "key", "uses")

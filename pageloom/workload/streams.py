@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.plans.session import fresh_path
 from pageloom.sources.events import read_events
-from pageloom.streaming import streams as J
+from pageloom.streaming import keyed, streams as J
 from pageloom.workload.registry import query, table
 
 
@@ -26,6 +26,21 @@ def _final(spark, stream: DataFrame, keys: list[str]) -> DataFrame:
     return J.latest_updates(_drained(spark, stream, "update"), keys)
 
 
+BATCHES = 4
+YEAR_MS = 365 * 24 * 3600 * 1000
+
+
+def _in_batches(spark, sf):
+    """The events as a stream of several micro-batches, in the order of their ids."""
+    base = fresh_path(spark, "events")
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    for k in range(BATCHES):  # one after the other, as files are read in the order of their times
+        own = F.floor(F.col("event_id") * BATCHES / (last + 1)) == k
+        events.filter(own).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 IS_ITEM = "event_type IN ('view', 'click')"
 
 
@@ -121,3 +136,40 @@ def streamed_progress(spark, sf):
     )
     J.record_progress(items, f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
     return spark.read.schema("job_name string, url string, batch long").parquet(f"{base}/out").select("job_name", "url").distinct()
+
+
+@query(
+    "streamed_first_flags",
+    "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS is_first FROM events",
+)
+def streamed_first_flags(spark, sf):
+    """Every record of several micro-batches, flagged in the stream."""
+    stream = _in_batches(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
+    flagged = keyed.flag_first(stream, "user_id", "event_id", "at", YEAR_MS)
+    return _drained(spark, flagged).select("event_id", "user_id", "is_first")
+
+
+@query(
+    "streamed_live_selectors",
+    "WITH a AS (SELECT user_id AS field, event_type AS selector, arg_max(value >= 30, event_id) AS there, max(event_id) AS done FROM events GROUP BY 1, 2) "
+    "SELECT field, max(done) AS seq, arg_max(selector, done) FILTER (there) AS selector FROM a GROUP BY field",
+)
+def streamed_live_selectors(spark, sf):
+    """Selectors added and retracted over several micro-batches; a retraction restores the entry before."""
+    actions = _in_batches(spark, sf).select(
+        F.col("user_id").alias("field"),
+        F.col("event_id").alias("seq"),
+        (F.col("value") >= 30).alias("is_add"),
+        F.col("event_type").alias("selector"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+    return _final(spark, keyed.live_selectors(actions, event_time="at", idle_ms=YEAR_MS), ["field"])
+
+
+@query("streamed_link_keys_bounded", "SELECT DISTINCT event_type AS job, props AS key FROM events")
+def streamed_link_keys_bounded(spark, sf):
+    """Link keys over several micro-batches, with state that forgets keys a year after they came."""
+    links = _in_batches(spark, sf).select(
+        F.col("event_type").alias("job"), F.col("props").alias("key"), F.col("ts").cast("timestamp").alias("at")
+    )
+    return _drained(spark, J.dedup_links(links, ["job", "key"], "at", "365 days")).select("job", "key")

@@ -66,6 +66,26 @@ def test_queue_survivors_equal_a_queue(events, width):
     assert rows(got, "k", "seq") == sorted([(k, s) for k in queues for s in queues[k]], key=repr)
 
 
+def test_measured_slices_part_a_crowded_key(events, monkeypatch):
+    """Rows of one key, close together, lie in several slices of like size; results equal the windows."""
+    monkeypatch.setattr(slices, "SLICE_ROWS", 50)
+    cut = slices.measured(events, ["k"], ["seq"])
+    sizes = {r["_cut"]: r["count"] for r in cut.groupBy("_cut").count().collect()}
+    assert len(sizes) >= 10 and max(sizes.values()) < 120
+    assert cut.filter("k = 'hot'").select("_cut").distinct().count() >= 6
+    over = W.partitionBy("k").orderBy("seq")
+    got = slices.rank(events, ["k"], ["seq"])
+    assert got.columns == [*events.columns, "rank"]
+    assert rows(got) == rows(events.withColumn("rank", F.row_number().over(over).cast("long")))
+    got = slices.with_context(events, ["k"], ["seq"], before={"v": "last_v"}, after={"v": "next_v"}, lowest={"low": F.col("seq")})
+    want = events.select(
+        "*", F.lag("v").over(over).alias("last_v"), F.lead("v").over(over).alias("next_v"), F.min("seq").over(W.partitionBy("k")).alias("low")
+    )
+    assert rows(got) == rows(want)
+    wide = slices.queue_survivors(events, ["k"], ["seq"], slices.number_slice("seq", 10_000), F.col("delta") >= 0)
+    assert rows(slices.queue_survivors(events, ["k"], ["seq"], None, F.col("delta") >= 0)) == rows(wide)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, events, how):
     small = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), ("z", 4)], "k string, w int")
