@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pageloom.functions.binding import bind
+
 TURN, END = "<|turn|>", "<|end|>\n"
 ROLE = "assistant"
 #: Control strings that a text may not hold unescaped: anything in ``<|``, and the marks of other chat templates.
@@ -58,11 +60,28 @@ def _kind(part: Column) -> Column:
     return F.when(kind.isin("text", *UNITS), kind).otherwise("file")
 
 
-def _written(part: Column) -> Column:
-    kind = _kind(part)
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), kind, F.lit("|>"))
-    )
+def _content(parts: Column) -> Column:
+    """The parts of a turn as written: texts escaped, all others as placeholders.
+
+    Texts side by side are joined before they are escaped, so no control string forms where they meet.
+    """
+
+    def between(marks: Column) -> Column:
+        """Texts and placeholders in turn; ``marks`` are the places of the parts that are no text."""
+        edges = F.concat(F.array(F.lit(-1)), marks, F.array(F.size(parts)))
+
+        def piece(edges: Column, k: Column) -> Column:
+            low, high = F.get(edges, k), F.get(edges, k + 1)
+            own = F.transform(F.sequence(low + 1, high - 1), lambda i: F.coalesce(F.get(parts, i)["text"], F.lit("")))
+            text = F.when(high - low > 1, escape(F.array_join(own, ""))).otherwise("")
+            mark = F.concat(F.lit("<|"), _kind(F.get(parts, high)), F.lit("|>"))
+            return F.concat(text, F.when(k < F.size(edges) - 2, mark).otherwise(""))
+
+        pieces = bind(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: piece(e, k)))
+        return F.array_join(pieces, "")
+
+    numbers = F.transform(parts, lambda p, i: F.when(_kind(p) != "text", i))
+    return bind(F.filter(numbers, lambda i: i.isNotNull()), between)
 
 
 def _attachment(part: Column) -> Column:
@@ -87,7 +106,7 @@ def format_chat(
         F.col(conv).alias("conv"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-        F.array_join(F.transform(given, _written), "").alias("content"),
+        bind(given, _content).alias("content"),
         F.transform(F.filter(given, lambda p: _kind(p) != "text"), _attachment).alias("files"),
     )
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")))
