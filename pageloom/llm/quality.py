@@ -13,8 +13,11 @@ cutoff of its stratum. Cutoffs come from labelled good documents that pass the b
 
 A stratum without a passing step has too few labels for any promise, and rejects nothing. All counts are
 made by Spark; the driver sees one count per stratum, rule and level. Strata are few by nature (languages).
+An id is one trial however many rows share it, and so are equal texts: copies are no
+independent trials. The promise is about good documents that pass the base rules.
+
 Defined results: a null text has no words; a null stratum is one of its own; rows sharing an id are measured
-each by itself, and count as good if the id is labelled good.
+each by itself, and the one with the largest counts stands for the id as a trial.
 """
 
 from __future__ import annotations
@@ -101,19 +104,20 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _per_text(_KIND["mark"][w.data], w.offsets),
         )
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("stratum"), *(pa.array(c, pa.int64()) for c in counts)],
-            ["id", "stratum", *_COUNTS],
+            [*(batch.column(c) for c in ("id", "stratum", "digest")), *(pa.array(c, pa.int64()) for c in counts)],
+            ["id", "stratum", "digest", *_COUNTS],
         )
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """``(id, stratum)`` and the counts of every row of ``docs``, and ``base_failed``."""
+    """``(id, stratum, digest)`` and the counts of every row of ``docs``, and ``base_failed``; the digest is of the text."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(stratum).cast("string").alias("stratum"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
         F.col(text_col).cast("string").alias("text"),
     )
-    counts = rows.mapInArrow(_measured, "id long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    counts = rows.mapInArrow(_measured, "id long, stratum string, digest long, " + ", ".join(f"{c} long" for c in _COUNTS))
     return counts.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -216,6 +220,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns:
     stats = materialise(measure(docs, id_col, **columns))
     fine = labels.filter("quality = 1").select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
     good = stats.filter("NOT base_failed").join(fine, "id", "left_semi")
+    one = good.groupBy("id").agg(F.max(F.struct(*_COUNTS, "stratum", "digest")).alias("r")).select("id", "r.*")
+    good = one.groupBy("stratum", "digest", *_COUNTS).agg(F.min("id").alias("id"))
     rejected = F.lit(False)
     rules = levels()
     for s, cutoffs in select_cutoffs(materialise(good)).items():

@@ -56,6 +56,23 @@ def test_enough_labels_reject_junk_and_few_do_not(spark):
         assert [kept[good + i] for i in range(20)] == [not rejects] * 20
 
 
+@pytest.mark.parametrize("same_ids", [True, False])
+def test_copies_are_no_trials(spark, same_ids):
+    """Sixty labelled texts allow no promise, however often they are repeated, under their ids or others."""
+    docs, labels = rows_of(60, 20)
+    more = [(i if same_ids or k == 0 else 1000 + 60 * k + i, text, lang) for i, text, lang in docs[:60] for k in range(20)]
+    labels = [(i, 1) for i, _, _ in more]
+    d = spark.createDataFrame(more + docs[60:], "doc_id long, text string, lang string")
+    rows = judge(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r.kept for r in rows) and len(rows) == 1220
+
+
+def test_very_long_text(spark):
+    d = spark.createDataFrame([(1, "ab # " * 300_000, "en")], "doc_id long, text string, lang string")
+    (row,) = judge(d, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert (row.n_words, row.n_symbols, row.base_failed) == (600_000, 300_000, True)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
