@@ -1,5 +1,7 @@
 """Fields, items and whole jobs on hand-written pages."""
 
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from pageloom.model import (
 from pageloom.operators import fields as Fd
 from pageloom.operators import tables as T
 from pageloom.operators.post import post_process, run_chain, standard_chain
+from pageloom.operators.shred import shred
+from pageloom.plans.session import materialise
 from pageloom.plans.crawl import crawl, crawl_list, job_table, run_jobs
 from pageloom.sources.records import site_params
 
@@ -247,3 +251,41 @@ def test_jobs_of_different_specs(spark):
         + [("gone", 100, "selenium", "{}", "http://gone.example/favicon.ico")],
         key=repr,
     )
+
+
+def seconds(df) -> float:
+    started = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - started
+
+
+def test_spanned_rows_are_linear(spark):
+    def dom(n: int):
+        body = "<tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr>" * (n // 2)
+        return materialise(shred(spark.createDataFrame([(n, f"<table>{body}</table>")], "page_id long, html string")))
+
+    small, large = dom(2_000), dom(4_000)
+    got = T.expanded_rows(small, "table").agg(F.count("*"), F.min(F.array_join("cells", "")), F.max(F.array_join("cells", ""))).first()
+    assert tuple(got) == (2_000, "ab", "ac")
+    seconds(T.expanded_rows(small, "table"))
+    assert seconds(T.expanded_rows(large, "table")) < 3 * seconds(T.expanded_rows(small, "table")) + 1
+
+
+def test_spans_cross_the_blocks_of_a_sweep(page):
+    rows_ = ["<tr><td rowspan=70>s</td><td>0</td></tr>"] + [f"<tr><td>{i}</td></tr>" for i in range(1, 200)]
+    got = T.expanded_rows(page(f"<table>{''.join(rows_)}</table>"), "table").orderBy("row").collect()
+    assert [r["cells"] for r in got] == [["s", str(i)] for i in range(70)] + [[str(i)] for i in range(70, 200)]
+
+
+def test_many_keys_are_linear(spark):
+    fields = spark.range(1).select(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(39_999)),
+            lambda i: F.struct(
+                F.lit(0).alias("selector_no"), F.concat(F.lit("k"), i % 20_000).alias("key"), i.alias("pos"), i.cast("string").alias("value")
+            ),
+        ).alias("fields")
+    )
+    got = Fd.collect_fields(fields).select(F.size("values"), F.col("values")["k7"], F.map_keys("values")[1]).first()
+    assert tuple(got) == (20_000, ["7", "20007"], "k1")
+    assert seconds(Fd.collect_fields(fields)) < 20

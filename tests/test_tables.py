@@ -4,8 +4,6 @@ import json
 from pathlib import Path
 
 import pytest
-import time
-
 from conftest import rows
 from pyspark.sql import functions as F
 
