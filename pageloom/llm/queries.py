@@ -219,7 +219,33 @@ def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op13_pca_filtered_clusters")
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain rounds over all distances; a distance and a number in one integer, so ties go to the smaller number."""
+    distance = "list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v "
+        "FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w FROM "
+        f"(SELECT v, sha256('2:' || vec_id) AS h FROM v) ORDER BY h, v LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({distance} * {k} + c) AS m FROM v, c{r} GROUP BY vec_id)"
+        )
+        if r < rounds:
+            steps.append(
+                f"n{r} AS MATERIALIZED (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS w FROM (SELECT m % {k} AS c, i, "
+                f"CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT m, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY c)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.w, o.w) AS w FROM c{r} o LEFT JOIN n{r} n USING (c))")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(m // {k} AS BIGINT) AS distance, "
+        f"CAST(sum(m // {k}) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = m % {k}"
+    )
+
+
+@query("op13_pca_filtered_clusters", _clusters_sql())
 def op13_pca_filtered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact clusters of all embeddings."""
     return cluster(table(spark, sf_dir, "embeddings"))
