@@ -3,8 +3,9 @@
 *Writing.* Every page becomes a ``WARC/1.1`` record with an HTTP block; its payload is the HTML in UTF-8. Of
 pages with equal payloads of at least ``LEAST_BYTES`` bytes the one with the smallest id is a response, the
 others are revisits that refer to it and carry no payload (its length stays in their HTTP header). Archives
-are plain files written by Spark's text writer, a few hundred records each, and end every record as the
-format asks.
+are plain files written by Spark's text writer, and end every record as the format asks. They are bounded by
+bytes: records of like size share archives, the fewer the larger they are (``SIZES``), so an archive holds about
+``ARCHIVE_BYTES`` of URLs and payloads at most, or one record.
 
 *Reading.* Each archive is parsed by record lengths (a payload may hold anything) into its capture index,
 sorted by URL key, capture time and page: a run, stored on its own.
@@ -33,6 +34,9 @@ from pageloom.plans.session import fresh_path, materialise, materialise_counted
 
 LEAST_BYTES = 100
 RECORDS = 1000
+ARCHIVE_BYTES = 16 << 20
+# records below so many bytes, and how many of them make an archive
+SIZES = [(ARCHIVE_BYTES // n, n) for n in (RECORDS, 64, 4)] + [(None, 1)]
 RANGE_ROWS = 20_000
 END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,13 +48,17 @@ INDEX = (
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``(record)``: one WARC record per page, without the end of record."""
+    """``(record, size)``: one WARC record per page, without the end of record.
+
+    A size counts the bytes of URL and payload, also of a payload that its record leaves out.
+    """
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.regexp_replace(F.col(url).cast("string"), r"[\r\n]", "%0A").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
+    rows = rows.withColumn("size", F.col("n") + F.coalesce(F.octet_length("url"), F.lit(0)))
     firsts = rows.filter(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     firsts = small(materialise(firsts.filter("first < last").drop("last")))
     rows = rows.join(firsts, "digest", "left").withColumn("revisit", F.coalesce(F.expr("id > first"), F.lit(False)))
@@ -76,13 +84,21 @@ def records(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return rows.select(F.concat(lines, F.lit(END), block).alias("record"))
+    return rows.select(F.concat(lines, F.lit(END), block).alias("record"), "size")
 
 
 def write_archives(pages: DataFrame, path: str, **columns: str) -> str:
-    """Archives of ``pages`` below ``path``, at most ``RECORDS`` records each."""
-    writer = records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS)
-    writer.text(path)
+    """Archives of ``pages`` below ``path``; a range of sizes that no page reaches costs no pass over them."""
+    made = records(pages, **columns)
+    most, low = made.agg(F.max("size")).first()[0] or 0, 0
+    for high, count in SIZES:
+        if low and most < low:
+            break
+        some = made.filter(F.col("size") >= low)
+        some = some if high is None else some.filter(F.col("size") < high)
+        writer = some.select("record").write.mode("append").option("lineSep", END)
+        writer.option("maxRecordsPerFile", count).text(path)
+        low = high
     return path
 
 

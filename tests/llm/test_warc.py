@@ -61,6 +61,20 @@ def test_index_offsets(spark, tmp_path):
         assert again[:7] == row[:7]
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    from pageloom.llm.warc import ARCHIVE_BYTES, read_runs, write_archives
+
+    sizes = [10] * 40 + [300_000] * 70 + [2 << 20] * 11 + [ARCHIVE_BYTES + 5] * 2
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "page_id long, n int")
+    df = df.selectExpr("page_id", "concat('http://h/', page_id) AS url", "concat(repeat('x', n), page_id) AS html")
+    path = write_archives(df.coalesce(1), str(tmp_path / "w"))
+    found = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    for data in found:
+        assert len(data) <= ARCHIVE_BYTES + (1 << 16) or len(parse(data, "n")) == 1
+    got = {r.page_id: r.payload_bytes for r in read_runs(spark, path).collect()}
+    assert got == {i: n + len(str(i)) for i, n in enumerate(sizes)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert capture_history(df).count() == 0
