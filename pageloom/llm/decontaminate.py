@@ -6,28 +6,39 @@ by side are one placeholder. Windows of ``WINDOW`` tokens of benchmark items are
 under two keys: the template (if at least ``LITERALS`` tokens stand for themselves) and the plain words.
 An item shorter than a window is one window; with fewer than ``LITERALS`` tokens it has none.
 
-Slots of template matches must agree: over all windows that count, a word of the item stands for one word
-of the document and the other way round, so a re-parameterised question matches and a chance mixture does not.
-An item is found in a document if the counting windows cover at least ``COVERAGE`` of its tokens.
-
-The benchmark is stored as sorted keys in blocks of at most ``BLOCK`` windows, so what is broadcast has a
-fixed bound; every block meets every document where the document is read, and nothing is shuffled. Defined
-results: null texts and items have no windows; rows sharing an id give rows of their own.
+The windows of all items are a table by key, which the windows of the documents meet in a hash join. Before
+they leave the task that reads a text, document windows pass a bit map of the items' keys (made by Spark's bitmap
+aggregates; ``_FILTER_BITS`` bits for small benchmarks, 2^27 for the largest), so what is shuffled are windows that an
+item has as well, and about one in sixty-four others. Items are broadcast only below the stored size that ``small``
+checks; beyond it the join shuffles, and heavy keys are split.
+
+Slots must agree: joined windows are brought together by document and item, and read in the order of the document in
+*segments*, cut where no window of the item begins for as many tokens as the item has, or after four times as many
+(which bounds what a task holds). In a segment verbatim windows count as they are; template windows count if every word
+of the item stands for one word of the document, the alignment with the most windows deciding first. So a
+re-parameterised question matches, a chance mixture does not, and a slot changed in one of its places only
+loses the windows that hold it. An item is found in a document if, in one segment, the counting windows cover at
+least ``COVERAGE`` of its tokens; the segment with the most is reported.
+
+Defined results: null texts and items have no windows; rows sharing an id give rows of their own, equal rows
+equal ones (on both sides); null ids stay null; of segments alike in coverage the one with fewer changed slots counts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pageloom.llm.substrings import small
 from pageloom.llm.words import U, Words, find_words, mix, pieces, windows
+from pageloom.plans.session import materialise_counted
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
-BLOCK = 1_000_000
-_FILTER_BITS = 22
+_FILTER_BITS, _MOST_FILTER_BITS = 22, 27
 
 # Units and number words that count as placeholders, in lower case.
 UNITS = (
@@ -124,118 +135,193 @@ def keys(w: Words, codes: np.ndarray, literal: np.ndarray, size: int) -> tuple[n
     return forms | U(1), windows(w.hashes, size) & ~U(1), valid
 
 
-class Block:
-    """Windows of some items: sorted keys with the place each came from, and the items' tokens."""
+_ITEM = "key long, item_id long, item_digest long, copies long, n_tokens int, size int, places array<int>, theirs array<long>"
+_HIT = "key long, id long, digest long, rows int, size int, place int, own array<long>"
+
+
+def _list(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
+
+
+def _tokens(w: Words, at: np.ndarray, size: int) -> pa.Array:
+    """The words of the windows at some places."""
+    flat = w.hashes[at[:, None] + np.arange(size)].reshape(-1).view(np.int64)
+    return _list(flat, np.arange(len(at) + 1) * size)
+
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
-        raw = [(t or "").encode() for t in texts]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        offsets = np.append(0, np.cumsum([len(r) for r in raw]))
-        w, codes, literal = template(data, offsets)
-        self.ids, self.first, self.hashes, self.literal = np.array(ids), w.first, w.hashes, literal
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of items by key; those of the same words in one item are one row with all their places."""
+    for batch, words in pieces(batches):
+        w, codes, literal = template(words.data, words.offsets)
         owner = w.owner()
         for size in sorted({min(WINDOW, int(c)) for c in w.counts if c >= LITERALS}):
             forms, plain, valid = keys(w, codes, literal, size)
-            own = np.flatnonzero(valid & (np.minimum(w.counts, WINDOW)[owner] == size))
-            key = np.concatenate([forms[own][forms[own] != 1], plain[own]])
-            at = np.concatenate([own[forms[own] != 1], own])
-            order = np.argsort(key, kind="stable")
-            self.by_size[size] = (key[order], at[order])
-        self.seen = np.zeros(1 << _FILTER_BITS, bool)
-        for key, _ in self.by_size.values():
-            self.seen[(key >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def search(self, w: Words, codes: np.ndarray, literal: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
-        """``(text, item, coverage, changed slots)`` of the items found."""
-        hits: list[np.ndarray] = []
-        for size, (key, at) in self.by_size.items():
-            forms, plain, valid = keys(w, codes, literal, size)
-            for mine in (forms, plain):
-                here = np.flatnonzero(valid & self.seen[(mine >> U(64 - _FILTER_BITS)).astype(np.int64)])
-                low, high = np.searchsorted(key, mine[here]), np.searchsorted(key, mine[here], "right")
-                n = high - low
-                here = np.repeat(here, n)
-                entry = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(len(here))
-                hits.append(np.stack([here, at[entry], np.full(len(here), size)]))
-        found = np.concatenate(hits, 1) if hits else np.zeros((3, 0), np.int64)
-        if not found.shape[1]:
-            return
-        found = np.unique(found, axis=1)
-        text = np.searchsorted(w.first, found[0], "right") - 1
-        item = np.searchsorted(self.first, found[1], "right") - 1
-        order = np.lexsort((found[0], found[1], item, text))
-        found, text, item = found[:, order], text[order], item[order]
-        cuts = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0)))
-        for a, b in zip(cuts, np.append(cuts[1:], len(text))):
-            result = self._agree(w, found[:, a:b], int(item[a]))
-            if result is not None:
-                yield int(text[a]), int(self.ids[item[a]]), *result
-
-    def _agree(self, w: Words, found: np.ndarray, item: int) -> tuple[float, int] | None:
-        begin, end = int(self.first[item]), int(self.first[item + 1])
-        covered = np.zeros(end - begin, bool)
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        for here, at, size in found.T.tolist():
-            if covered[at - begin : at - begin + size].all():
-                continue
-            own, theirs = self.hashes[at : at + size].tolist(), w.hashes[here : here + size].tolist()
-            pairs = dict(zip(own, theirs))
-            other = dict(zip(theirs, own))
-            fits = all(pairs[x] == y for x, y in zip(own, theirs)) and all(other[y] == x for x, y in zip(own, theirs))
-            if fits and all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs.items()):
-                there |= pairs
-                back |= other
-                covered[at - begin : at - begin + size] = True
-        share = float(covered.mean())
-        return (share, sum(x != y for x, y in there.items())) if share >= COVERAGE else None
-
-
-def _search(block: Block):
+            at = np.flatnonzero(valid & (np.minimum(w.counts, WINDOW)[owner] == size))
+            formed = at[forms[at] != 1]
+            key, at = np.concatenate([forms[formed], plain[at]]), np.concatenate([formed, at])
+            order = np.lexsort((at, plain[at], key, owner[at]))
+            key, at = key[order], at[order]
+            same = (owner[at[1:]] == owner[at[:-1]]) & (key[1:] == key[:-1]) & (plain[at[1:]] == plain[at[:-1]])
+            heads = np.flatnonzero(np.append(True, ~same))
+            first = at[heads]
+            row = pa.array(owner[first])
+            columns = [
+                pa.array(key[heads].view(np.int64)),
+                *(batch.column(c).take(row) for c in ("item_id", "item_digest", "copies")),
+                pa.array(w.counts[owner[first]], pa.int32()),
+                pa.array(np.full(len(heads), size, np.int32)),
+                _list((at - w.first[owner[at]]).astype(np.int32), np.append(heads, len(at))),
+                _tokens(w, first, size),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ITEM.split(", ")])
+
+
+def _document_windows(sizes: list[int], bits: int, filled: np.ndarray):
+    """Windows of documents whose key is in the bit map; equal rows of a piece are one, with their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in pieces(batches):
-            raw = words.data
-            w, codes, literal = template(raw, words.offsets)
+            w, codes, literal = template(words.data, words.offsets)
             if not len(w.hashes):
                 continue
-            rows = list(block.search(w, codes, literal))
-            if rows:
-                text, item, share, changed = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(text)), pa.array(item), pa.array(share), pa.array(changed, pa.int32())],
-                    ["id", "item_id", "coverage", "changed_slots"],
-                )
+            ids = batch.column("id")
+            rows = np.stack([ids.is_null().to_numpy(False), ids.fill_null(0).to_numpy(), batch.column("digest").to_numpy()])
+            _, first, count = np.unique(rows, axis=1, return_index=True, return_counts=True)
+            number = np.zeros(batch.num_rows, np.int32)
+            number[first] = count
+            owner = w.owner()
+            for size in sizes:
+                forms, plain, valid = keys(w, codes, literal, size)
+                valid &= number[owner] > 0
+                for key in (forms, plain):
+                    bit = (key >> U(64 - bits)).astype(np.int64)
+                    at = np.flatnonzero(valid & (key != 1) & ((filled[bit >> 3] >> (bit & 7) & 1) > 0))
+                    row = pa.array(owner[at])
+                    columns = [
+                        pa.array(key[at].view(np.int64)),
+                        *(batch.column(c).take(row) for c in ("id", "digest")),
+                        pa.array(number[owner[at]]),
+                        pa.array(np.full(len(at), size, np.int32)),
+                        pa.array((at - w.first[owner[at]]).astype(np.int32)),
+                        _tokens(w, at, size),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _HIT.split(", ")])
 
     return run
 
 
+def _bit_map(windows_of_items: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a map with a bit per leading ``bits`` bits of a key: at most 16 MB, whatever the benchmark."""
+    slot = F.expr(f"shiftrightunsigned(key, {64 - bits}) + 1")
+    parts = windows_of_items.groupBy(F.bitmap_bucket_number(slot).alias("part"))
+    filled = np.zeros(1 << (bits - 3), np.uint8)
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("map")).collect():
+        part = np.frombuffer(row["map"], np.uint8)
+        filled[(row["part"] - 1) * len(part) : row["part"] * len(part)] = part
+    return filled
+
+
+def best_cover(hits: list[tuple], n_tokens: int) -> tuple[float, int]:
+    """Coverage and changed slots of one segment: ``hits`` are ``(place, document words, item places, item words)``."""
+    covered = np.zeros(n_tokens, bool)
+    bound: dict[int, int] = {}
+    support = Counter(place - at for place, _, places, _ in hits for at in places)
+    loose = []
+    for place, own, places, theirs in hits:
+        for at in places:
+            if own == theirs:
+                covered[at : at + len(own)] = True
+                bound.update(zip(own, own))
+            else:
+                loose.append((-support[place - at], place - at, place, at, own, theirs))
+    loose.sort(key=lambda x: x[:4])
+    for *_, at, own, theirs in loose:
+        if covered[at : at + len(own)].all():
+            continue
+        pairs = dict(zip(theirs, own))
+        if all(pairs[x] == y and bound.get(x, y) == y for x, y in zip(theirs, own)):
+            bound |= pairs
+            covered[at : at + len(own)] = True
+    return float(covered.mean()), sum(x != y for x, y in bound.items())
+
+
+class _Match:
+    """The joined windows of one document and one item, added in the order of the document."""
+
+    def __init__(self, n_tokens: int, copies: int) -> None:
+        self.n_tokens, self.copies = n_tokens, copies
+        self.hits: list[tuple] = []
+        self.seen: set = set()
+        self.head = self.begin = self.last = None
+        self.rows, self.best = 0, (0.0, 0)
+
+    def add(self, place: int, key: int, rows: int, own: list, places: list, theirs: list) -> None:
+        if self.begin is not None and (place > self.last + self.n_tokens or place > self.begin + 4 * self.n_tokens):
+            self.close()
+        mark = (place, key, places[0])
+        if self.head is None:
+            self.head = mark
+        if mark == self.head:  # equal rows of other pieces bring the same windows again
+            self.rows += rows
+        if (place, places[0]) not in self.seen:  # a verbatim window comes under both keys
+            self.seen.add((place, places[0]))
+            self.hits.append((place, own, places, theirs))
+        self.begin = place if self.begin is None else self.begin
+        self.last = place
+
+    def close(self) -> None:
+        if self.hits:
+            share, changed = best_cover(self.hits, self.n_tokens)
+            self.best = max(self.best, (share, -changed))
+        self.hits, self.seen, self.begin = [], set(), None
+
+
+def _found(group: tuple, match: _Match) -> list[tuple]:
+    match.close()
+    share, changed = match.best
+    return [(group[0], group[2], share, -changed)] * (match.rows * match.copies) if share >= COVERAGE else []
+
+
+_FOUND = "id long, item_id long, coverage double, changed_slots int"
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items found, of rows sorted by document, item and place."""
+    group, match, out = None, None, []
+    for batch in batches:
+        for *own, place, key, rows, words, places, theirs, n_tokens, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            if tuple(own) != group:
+                out += _found(group, match) if match else []
+                group, match = tuple(own), _Match(n_tokens, copies)
+            match.add(place, key, rows, words, places, theirs)
+        yield from _emitted(out)
+        out = []
+    yield from _emitted(_found(group, match) if match else [])
+
+
+def _emitted(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FOUND.split(", ")])
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """``(<id_col>, item_id, coverage, changed_slots)``: benchmark items found in documents."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in _blocks(items):
-        found = rows.mapInArrow(_search(block), "id long, item_id long, coverage double, changed_slots int")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "id long, item_id long, coverage double, changed_slots int")
-    return out.withColumnRenamed("id", id_col)
-
-
-def _blocks(items: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, one at a time on the driver."""
-    ids: list[int] = []
-    texts: list[str | None] = []
-    size = 0
-    for row in items.filter("text IS NOT NULL").toLocalIterator():
-        ids.append(-1 if row.item is None else row.item)
-        texts.append(row.text)
-        size += len(row.text) // 2 + 1
-        if size >= BLOCK:
-            yield Block(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Block(ids, texts)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text.alias("text")).filter("text IS NOT NULL")
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    items = items.withColumn("item_digest", F.xxhash64("text"))
+    own, n = materialise_counted(items.mapInArrow(_item_windows, _ITEM))
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # between LITERALS and WINDOW
+    bits = min(_MOST_FILTER_BITS, max(_FILTER_BITS, (64 * n).bit_length()))
+    hits = rows.mapInArrow(_document_windows(sizes, bits, _bit_map(own, bits)), _HIT)
+    groups = ["id", "digest", "item_id", "item_digest"]
+    joined = hits.join(small(own), ["key", "size"]).select(
+        *groups, "place", "key", "rows", "own", "places", "theirs", "n_tokens", "copies"
+    )
+    ordered = joined.repartition(*groups).sortWithinPartitions(*groups, "place", "key", "places")
+    return ordered.mapInArrow(_agree, _FOUND).withColumnRenamed("id", id_col)
