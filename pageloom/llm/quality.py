@@ -11,8 +11,9 @@ cutoff of its stratum. Cutoffs come from labelled good documents that pass the b
    stops at the first step that fails (fixed sequence), and strata share the error probability (Bonferroni), so
    with probability ``1 - DELTA`` no stratum rejects more than ``ALPHA`` of its good documents.
 
-A stratum without a passing step has too few labels for any promise, and rejects nothing. All counts are
-made by Spark; the driver sees one count per stratum, rule and level. Strata are few by nature (languages).
+A stratum without a passing step has too few labels for any promise, and rejects nothing. Counts, paths and chosen
+cutoffs are tables with a row per stratum (and rule and level), which documents meet by a join, so a dirty stratum
+column makes longer tables, not longer plans; the driver sees the number of strata only.
 An id is one trial however many rows share it, and so are equal texts: copies are no
 independent trials. The promise is about good documents that pass the base rules.
 
@@ -23,15 +24,15 @@ each by itself, and the one with the largest counts stands for the id as a trial
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pageloom.llm.substrings import small
 from pageloom.llm.words import Words, hash_ranges, pieces, windows
-from pageloom.plans.session import materialise
+from pageloom.plans.session import materialise, materialise_counted
 
 ALPHA, DELTA = 0.02, 0.05
 PATH = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008)
@@ -159,60 +160,64 @@ def _at_most(k: int, n: int, rate: float) -> float:
     return math.exp(min(total, 0.0))
 
 
-def select_cutoffs(good: DataFrame) -> dict[str | None, dict[str, int]]:
-    """Cutoff of each rule per stratum, from measured good documents ``good``; strata without a promise are left out."""
-    rules = levels()
-    first = F.expr("crc32(cast(id AS string)) % 2 = 0")
-    spread = good.filter(first).select(
-        "stratum", F.explode(F.create_map(*(x for k, v in rules.items() for x in (F.lit(k), v)))).alias("rule", "level")
-    )
-    seen: dict = defaultdict(lambda: defaultdict(dict))
-    for row in spread.groupBy("stratum", "rule", "level").count().collect():
-        seen[row["stratum"]][row["rule"]][row["level"]] = row["count"]
-    paths = {s: [{r: _cutoff(c, q) for r, c in of.items()} for q in PATH] for s, of in seen.items()}
-    if not paths:
-        return {}
-    step = _steps(paths, rules)
-    tested: dict = defaultdict(lambda: [0] * (len(PATH) + 1))
-    for row in good.filter(~first).select("stratum", step.alias("step")).groupBy("stratum", "step").count().collect():
-        tested[row["stratum"]][row["step"]] += row["count"]
-    out = {}
-    for s, path in paths.items():
-        n, k = sum(tested[s]), 0
-        for j, cutoffs in enumerate(path):
-            k += tested[s][j]
-            if not n or upper_bound(k, n, DELTA / len(paths)) > ALPHA:
-                break
-            out[s] = cutoffs
-    return out
+def _first_half() -> Column:
+    return F.expr("crc32(cast(id AS string)) % 2 = 0")
+
 
+def proposed_paths(good: DataFrame) -> DataFrame:
+    """``(stratum, path)``: per rule, the cutoff of every step, from the first half of ``good``."""
+    pairs = F.create_map(*(x for rule, level in levels().items() for x in (F.lit(rule), level)))
+    counts = good.filter(_first_half()).select("stratum", F.explode(pairs).alias("rule", "level"))
+    counts = counts.groupBy("stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
+    of_rule = Window.partitionBy("stratum", "rule")  # at most LEVELS + 1 rows
+    above = F.sum("n").over(of_rule.orderBy(F.desc("level")))
+    counts = counts.withColumn("above", above).withColumn("total", F.sum("n").over(of_rule))
+    # the least level that leaves at most the share above it is the largest that more than the share reach
+    steps = [F.max(F.when(F.col("above") > F.lit(q) * F.col("total"), F.col("level"))) for q in PATH]
+    rules = counts.groupBy("stratum", "rule").agg(F.array(*steps).alias("cutoffs"))
+    return rules.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoffs"))).alias("path"))
 
-def _cutoff(counts: dict[int, int], share: float) -> int:
-    """The least level with at most this share of the counts above."""
-    above, total = 0, sum(counts.values())
-    for level in sorted(counts, reverse=True):
-        above += counts[level]
-        if above > share * total:
-            return level
-    return 0
 
+def _met(df: DataFrame, strata: DataFrame, how: str) -> DataFrame:
+    """``df`` with the columns of its stratum; null is a stratum."""
+    side = small(strata.withColumnRenamed("stratum", "of_stratum"))
+    return df.join(side, F.col("stratum").eqNullSafe(F.col("of_stratum")), how).drop("of_stratum")
 
-def _exceeds(cutoffs: dict[str, int], rules: dict[str, Column]) -> Column:
+
+def _exceeds(cutoff) -> Column:
+    """Whether any rule's measure lies above ``cutoff(rule)``."""
     out = F.lit(False)
-    for rule, level in cutoffs.items():
-        out = out | (rules[rule] > level)
+    for rule, level in levels().items():
+        out = out | (level > cutoff(rule))
     return out
 
 
-def _steps(paths: dict, rules: dict[str, Column]) -> Column:
-    """The first step of its stratum's path that rejects a document, or the number of steps."""
-    out = F.lit(len(PATH))
-    for s, path in paths.items():
-        own = F.lit(len(PATH))
-        for j in reversed(range(len(path))):
-            own = F.when(_exceeds(path[j], rules), j).otherwise(own)
-        out = F.when(F.col("stratum").eqNullSafe(s), own).otherwise(out)
-    return out
+def _passed(strata: int):
+    """The last step of the fixed sequence whose bound holds; none without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = []
+            for n, rejected in zip(batch.column("n").to_pylist(), batch.column("rejected").to_pylist()):
+                fails = [upper_bound(k, n, DELTA / strata) > ALPHA for k in rejected]
+                steps.append(fails.index(True) if True in fails else len(fails))
+            yield batch.select(["stratum"]).append_column("steps", pa.array(steps, pa.int32()))
+
+    return run
+
+
+def select_cutoffs(good: DataFrame) -> DataFrame:
+    """``(stratum, cutoffs)``: cutoff of each rule, from measured good documents; strata without a promise are left out."""
+    paths, strata = materialise_counted(proposed_paths(good))
+    step = F.lit(len(PATH))
+    for j in reversed(range(len(PATH))):
+        step = F.when(_exceeds(lambda rule, j=j: F.col("path")[rule][j]), j).otherwise(step)
+    tested = _met(good.filter(~_first_half()), paths, "inner").select("stratum", step.alias("step"))
+    rejected = F.array(*(F.sum((F.col("step") <= j).cast("long")) for j in range(len(PATH))))
+    tested = tested.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), rejected.alias("rejected"))
+    passed = tested.mapInArrow(_passed(strata), "stratum string, steps int").filter("steps > 0")
+    chosen = _met(materialise(passed), paths, "inner")
+    return chosen.select("stratum", F.expr("transform_values(path, (rule, c) -> c[steps - 1])").alias("cutoffs"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
@@ -222,8 +227,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns:
     good = stats.filter("NOT base_failed").join(fine, "id", "left_semi")
     one = good.groupBy("id").agg(F.max(F.struct(*_COUNTS, "stratum", "digest")).alias("r")).select("id", "r.*")
     good = one.groupBy("stratum", "digest", *_COUNTS).agg(F.min("id").alias("id"))
-    rejected = F.lit(False)
-    rules = levels()
-    for s, cutoffs in select_cutoffs(materialise(good)).items():
-        rejected = F.when(F.col("stratum").eqNullSafe(s), _exceeds(cutoffs, rules)).otherwise(rejected)
-    return stats.withColumn("kept", ~F.col("base_failed") & ~rejected).withColumnRenamed("id", id_col)
+    marked = _met(stats, materialise(select_cutoffs(materialise(good))), "left")
+    rejected = F.coalesce(_exceeds(lambda rule: F.col("cutoffs")[rule]), F.lit(False))
+    out = marked.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("cutoffs")
+    return out.withColumnRenamed("id", id_col)

@@ -1,10 +1,13 @@
 """Counts against plain Python, bounds against summed binomials, and the promise on given data."""
 
 import math
+import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
-from pageloom.llm.quality import ALPHA, judge, measure, upper_bound
+from pageloom.llm.quality import ALPHA, DELTA, LEVELS, PATH, judge, measure, upper_bound
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "a b a b a b", "x\nx\n\n \nx \nx", "é# ñ*%\n" * 3, "a\x0bb\x1cc a\x0bb\x1cc a", "1|2<>3 & $"]
@@ -67,6 +70,62 @@ def test_copies_are_no_trials(spark, same_ids):
     assert all(r.kept for r in rows) and len(rows) == 1220
 
 
+def plain_levels(text):
+    """The six measures in whole thousandths."""
+    t = text or ""
+    n, chars, symbols, dup, repeats = plain(t)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+    upper, marks = len(re.findall("[A-Z]", t)), len(re.findall("[!?]", t))
+    shares = [(symbols, chars), (repeats, n), (dup, lines), (chars, n * 50), (upper, chars), (marks, n)]
+    return [min(-(-a * LEVELS // b), LEVELS) if b else 0 for a, b in shares]
+
+
+def plain_kept(rows, good_ids):
+    """Verdicts by a loop over documents, for ids and texts that do not repeat."""
+    fine = [n >= 50 and 100 * r <= 50 * n for n, _, _, _, r in (plain(t) for _, t, _ in rows)]
+    measures = [plain_levels(t) for _, t, _ in rows]
+    halves = defaultdict(lambda: ([], []))
+    for (ident, _, stratum), ok, levels in zip(rows, fine, measures):
+        if ok and ident in good_ids:
+            halves[stratum][zlib.crc32(str(ident).encode()) % 2].append(levels)
+    paths = {}
+    for stratum, (first, _) in halves.items():
+        if first:
+            columns = list(zip(*first))
+            paths[stratum] = [
+                [min(x for x in range(LEVELS + 1) if sum(y > x for y in c) <= q * len(c)) for c in columns] for q in PATH
+            ]
+    cutoffs = {}
+    for stratum, path in paths.items():
+        second = halves[stratum][1]
+        for step in range(len(path)):
+            k = sum(any(x > c for cuts in path[: step + 1] for x, c in zip(levels, cuts)) for levels in second)
+            if not second or upper_bound(k, len(second), DELTA / len(paths)) > ALPHA:
+                break
+            cutoffs[stratum] = path[step]
+    gone = [s in cutoffs and any(x > c for x, c in zip(m, cutoffs[s])) for (_, _, s), m in zip(rows, measures)]
+    return {row[0]: ok and not g for row, ok, g in zip(rows, fine, gone)}, cutoffs
+
+
+def test_verdicts_against_plain_python(spark):
+    random.seed(5)
+    rows, good = [], set()
+    for i in range(3600):
+        stratum = random.choice(["en", "en", "de", None, "rare" if i % 40 == 0 else "en"])
+        text = " ".join(f"w{random.randrange(5000)}" for _ in range(60))
+        junk = i % 12 == 0
+        text += " #$%&" * random.randrange(3, 40) if junk else random.choice(["", " A!", " #", "?\nX Y\nz"])
+        rows.append((i, text + f" n{i}", stratum))
+        if not junk or i % 360 == 0:
+            good.add(i)
+    want, cutoffs = plain_kept(rows, good)
+    assert set(cutoffs) == {"en", "de", None}
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    assert {r.doc_id: r.kept for r in judge(d, labels).collect()} == want
+    assert Counter(want.values())[False] > 100
+
+
 def test_very_long_text(spark):
     d = spark.createDataFrame([(1, "ab # " * 300_000, "en")], "doc_id long, text string, lang string")
     (row,) = judge(d, spark.createDataFrame([], "doc_id long, quality int")).collect()
