@@ -2,8 +2,9 @@
 
 A target model (counted on the target documents) and a background model (counted on all the others) share
 order, smoothing and weights, so their losses compare word by word. Words and pairs of words are counted under their
-full 64-bit hashes, however many there are. The probability of a word is a mixture of its pair, word and
-uniform estimates (an unseen word has ``1 / WORDS``); where the word before was never seen, the pair's share goes
+full 64-bit hashes, however many there are. Both models share one vocabulary: all words of the documents,
+counted. The probability of a word is a mixture of its pair, word and uniform estimates over it, so
+the estimates of a model sum to one; where the word before was never seen, the pair's share goes
 to the word.
 
 A document's score is the mean over its words of (target loss - background loss), in nats: the lower, the
@@ -11,7 +12,8 @@ closer to the target. A target document is part of its model, as in the usual se
 
 Documents are dealt by hash into chunks of about ``CHUNK_BYTES`` of text. A chunk asks for each of its distinct words,
 contexts and pairs once, with its own counts, in as many ranges of the hash as there are chunks; a range sums
-what all chunks ask and answers each; a chunk then scores its documents. So no word is hot, a task holds one chunk
+what all chunks ask and answers each, with the number of distinct words in the range, from which every chunk
+sums the size of the vocabulary; a chunk then scores its documents. So no word is hot, a task holds one chunk
 or one range, and what is shuffled grows with the input. The driver sees the size of the text only. Rows that
 share id and text share a chunk.
 
@@ -31,12 +33,13 @@ from pageloom.llm.toxicity import plain_words
 from pageloom.llm.words import U, Words, mix, pieces
 from pageloom.plans.session import materialise
 
-WORDS = 1 << 17  # an unseen word is one of so many
 PAIRS = 1 << 20  # distinct pairs in a chunk, about
 CHUNK_BYTES = 16 * PAIRS
 LEAST_CHUNKS = 64
 PAIR_SHARE, WORD_SHARE = 0.4, 0.95
 _TOTAL = U(0)  # the key of the number of all words
+_KIND = U(3)  # the last bits of a key: word, word before, or pair
+_WORD, _BEFORE, _PAIR = U(1), U(2), U(3)
 
 
 def slots(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ def slots(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _keys(w: Words) -> np.ndarray:
     """Keys of the words, of the words before, and of the pairs, one after another."""
     own, before, pair = slots(w)
-    return np.concatenate([mix(own + U(0xA0761D6478BD642F)), mix(before + U(0xE7037ED1A0B428DB)), pair])
+    return np.concatenate([own & ~_KIND | _WORD, before & ~_KIND | _BEFORE, pair & ~_KIND | _PAIR])
 
 
 def _lower(w: Words) -> Words:
@@ -93,7 +96,7 @@ def _asked(parts: int):
     def run(chunk: pa.Table) -> pa.Table:
         keys, counts = _chunk_counts(chunk)
         cuts = np.searchsorted((keys >> U(32)) * U(parts) >> U(32), np.arange(parts + 1))
-        asked = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b and len(keys) > 1]
+        asked = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if len(keys) > 1]
         return pa.table(
             {
                 "part": pa.array([i for i, _, _ in asked], pa.int32()),
@@ -109,19 +112,20 @@ def _asked(parts: int):
 
 
 def _answered(asked: pa.Table) -> pa.Table:
-    """The sums over all chunks for the keys that each chunk asked for."""
+    """The sums over all chunks for the keys that each chunk asked for, and the number of words among all keys."""
     sizes = asked.column("n").to_pylist()
     keys = [np.cumsum(_unpacked(x, n, U)) for x, n in zip(asked.column("keys").to_pylist(), sizes)]
     counts = [_unpacked(x, 2 * n, np.int64).reshape(2, n) for x, n in zip(asked.column("counts").to_pylist(), sizes)]
     found, sums = _summed(np.concatenate(keys), np.concatenate(counts, axis=1))
     answers = pa.array([_packed(sums[:, np.searchsorted(found, x)]) for x in keys], pa.binary())
-    return asked.select(["chunk", "part", "n"]).append_column("sums", answers)
+    words = np.full(len(keys), (found & _KIND == _WORD).sum(), np.int64)
+    return asked.select(["chunk", "part", "n"]).append_column("sums", answers).append_column("words", pa.array(words))
 
 
-def _losses(sums: np.ndarray, total: int) -> np.ndarray:
+def _losses(sums: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
     """Loss of each word, of the counts of the words, the words before and the pairs."""
     words, seen, pairs = sums.reshape(3, -1)
-    single = WORD_SHARE * words / max(float(total), 1.0) + (1 - WORD_SHARE if total else 1.0) / WORDS
+    single = WORD_SHARE * words / max(float(total), 1.0) + (1 - WORD_SHARE if total else 1.0) / vocabulary
     share = np.where(seen > 0, PAIR_SHARE, 0.0)
     return -np.log(share * (pairs / np.maximum(seen, 1)) + (1 - share) * single)
 
@@ -129,6 +133,7 @@ def _losses(sums: np.ndarray, total: int) -> np.ndarray:
 def _scores(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     keys, _ = _chunk_counts(chunk)
     sums = [np.zeros((2, 0), np.int64)]
+    vocabulary = sum(answers.column("words").to_pylist())  # a chunk with words asks every range
     for x in answers.sort_by("part").to_pylist():
         sums.append(_unpacked(x["sums"], 2 * x["n"], np.int64).reshape(2, -1))
     sums = np.concatenate(sums, axis=1)
@@ -141,7 +146,7 @@ def _scores(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         some = w.counts > 0
         means = []
         for model in (1, 0):
-            losses = _losses(sums[model, at], sums[model, 0]) if some.any() else np.zeros(0)
+            losses = _losses(sums[model, at], sums[model, 0], vocabulary) if some.any() else np.zeros(0)
             ends = np.append(0.0, np.cumsum(losses))
             mean = (ends[w.first[1:]] - ends[w.first[:-1]]) / np.maximum(w.counts, 1)
             means.append(pa.array(mean, mask=~some))
@@ -161,7 +166,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     # both uses of the chunks read one shuffle of the texts
     kinds = "part int, chunk int, n int, keys binary, counts binary"
     asked = dealt.groupBy("chunk").applyInArrow(_asked(parts), kinds)
-    answers = asked.groupBy("part").applyInArrow(_answered, "chunk int, part int, n int, sums binary")
+    answers = asked.groupBy("part").applyInArrow(_answered, "chunk int, part int, n int, sums binary, words long")
     out = (
         dealt.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pageloom.llm.lm_score import PAIR_SHARE, PAIRS, WORD_SHARE, WORDS, score, slots
+from pageloom.llm.lm_score import PAIR_SHARE, WORD_SHARE, score, slots
 from pageloom.llm.toxicity import plain_words
 
 ROWS = [
@@ -23,6 +23,7 @@ def twin(rows, targets):
     for (ident, _), found in zip(rows, at):
         for counter, values in zip(counts[ident in targets], found):
             counter.update(values.tolist())
+    size = len(counts[True][0] | counts[False][0])
     out = []
     for (ident, _), (own, before, pair) in zip(rows, at):
         losses = []
@@ -31,7 +32,7 @@ def twin(rows, targets):
             n = sum(words.values())
             loss = 0.0
             for w, v, p in zip(own.tolist(), before.tolist(), pair.tolist()):
-                single = WORD_SHARE * words[w] / n + (1 - WORD_SHARE) / WORDS if n else 1 / WORDS
+                single = WORD_SHARE * words[w] / n + (1 - WORD_SHARE) / size if n else 1 / size
                 c = contexts[v]
                 loss -= math.log(PAIR_SHARE * min(pairs[p], c) / c + (1 - PAIR_SHARE) * single if c else single)
             losses.append(loss / len(own) if len(own) else None)
@@ -59,8 +60,21 @@ def test_direction(spark):
         assert (r.difference < 0) == (r.doc_id % 2 == 1)
 
 
-def test_sizes():
-    assert WORDS * 2 + PAIRS <= 1 << 21
+def test_losses_are_a_distribution(spark):
+    """After a word both models have seen, the probabilities of all words of the shared vocabulary sum to one."""
+    base = [(1, "a b a c"), (2, "a d é"), (3, "f")]
+    words = ["a", "b", "c", "d", "é", "f"]
+    probes = [(10 + i, w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(base + probes, "doc_id long, text string")
+    got = {r.doc_id: r for r in score(docs, docs.filter("doc_id = 1").select("doc_id")).collect()}
+    for loss in ("target_loss", "background_loss"):
+        assert sum(math.exp(-got[i][loss]) for i, _ in probes) == pytest.approx(1.0)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "red fox " * 400_000), (2, "red fox"), (None, None)]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert got[1].n_words == 800_000 and got[1].difference < 0 and got[None].target_loss is None
 
 
 def test_empty_table(spark):
@@ -76,14 +90,14 @@ def brute(rows, targets):
         before = [None, *words[:-1]][: len(words)]
         for counter, values in zip(counts[i in targets], (words, before, zip(before, words))):
             counter.update(values)
-    out = {}
+    size, out = len(counts[True][0] | counts[False][0]), {}
     for i, words in listed:
         losses = []
         for kind in (True, False):
             single, seen, pairs = counts[kind]
             n, loss = single.total(), 0.0
             for v, w in zip([None, *words], words):
-                p = WORD_SHARE * single[w] / n + (1 - WORD_SHARE) / WORDS
+                p = WORD_SHARE * single[w] / n + (1 - WORD_SHARE) / size
                 loss -= math.log(PAIR_SHARE * pairs[v, w] / seen[v] + (1 - PAIR_SHARE) * p if seen[v] else p)
             losses.append(loss / len(words))
         out[i] = losses
