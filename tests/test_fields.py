@@ -253,6 +253,21 @@ def test_jobs_of_different_specs(spark):
     )
 
 
+def test_edges_do_not_grow_with_jobs(spark, monkeypatch):
+    from pageloom.plans import crawl as plan
+
+    known, expand = [], plan.expand
+    monkeypatch.setattr(plan, "expand", lambda start, edges, *a, **k: known.append(edges.count()) or expand(start, edges, *a, **k))
+    pages = spark.createDataFrame(
+        [(i, f"http://chain.example/{i}", f'<h1>n{i}</h1><a href="/{i + 1}">on</a>') for i in range(5)], "page_id long, url string, html string"
+    )
+    main = MainPage(None, ItemSelector((KeyValueSelector("name", css("h1::text")),)), UrlSelector("a", CSS))
+    jobs = [Job(i, f"j{i}", JobPath().add(Url(f"http://chain.example/{i % 5}")).add(main)) for i in range(10)]
+    got = run_jobs(jobs, pages, site_params(spark, {})).filter("page_id IS NOT NULL")
+    assert rows(got, "job_name", "page_id") == sorted((f"j{i}", p) for i in range(10) for p in range(i % 5, 5))
+    assert known == [5]
+
+
 def seconds(df) -> float:
     started = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
