@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pageloom.model import RAW_TEXT_TAG, TEXT_TAG
 
 _READ = ("tag", "id", "classes", "parent", "last", "nth")
+_RUN_NODES = 50_000
 
 
 class _Page:
@@ -200,6 +201,44 @@ def _shortest_rows(page: _Page) -> tuple[list, ...]:
     return page.elements, unique
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of whole pages of about :data:`_RUN_NODES` nodes."""
+    ends = np.cumsum(batch.column("_tag").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + _RUN_NODES, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _values(array: pa.Array) -> list:
+    if not pa.types.is_string(array.type):
+        return array.to_numpy(zero_copy_only=False).tolist()
+    coded = array.dictionary_encode()  # each string becomes one object
+    known = [*coded.dictionary.to_pylist(), None]
+    return [known[i] for i in coded.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False).tolist()]
+
+
+def _lists(array: pa.Array) -> tuple[list, list[int]]:
+    """The values of a column of lists, one after another, and where each list ends; a NULL is an empty list."""
+    ends = np.cumsum(array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    inner = array.flatten()
+    if pa.types.is_list(inner.type):
+        values, upto = _lists(inner)
+        return [values[a:b] for a, b in zip([0, *upto], upto)], ends
+    return _values(inner), ends
+
+
+def _pages(part: pa.RecordBatch) -> Iterator[_Page]:
+    columns = [_lists(part.column(f"_{c}")) for c in _READ]
+    starts = [0] * len(columns)
+    for r in range(part.num_rows):
+        upto = [ends[r] for _, ends in columns]
+        yield _Page(*(values[a:b] for (values, _), a, b in zip(columns, starts, upto)))
+        starts = upto
+
+
 def _inferred(dom: DataFrame, rows_of: Callable[[_Page], tuple[list, ...]], schema: str, types: list) -> DataFrame:
     """``rows_of`` every page, with the columns of ``dom`` other than ``nodes``."""
     keep = [c for c in dom.columns if c != "nodes"]
@@ -207,11 +246,19 @@ def _inferred(dom: DataFrame, rows_of: Callable[[_Page], tuple[list, ...]], sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                columns = rows_of(_Page(*(batch.column(f"_{c}")[r].as_py() or [] for c in _READ)))
-                carried = batch.slice(r, 1).select(keep).take(pa.array(np.zeros(len(columns[0]), "int64")))
-                made = [pa.array(c, t) for c, t in zip(columns, types)]
-                yield pa.RecordBatch.from_arrays([*carried.columns, *made], [*keep, *names])
+            for part in _runs(batch):
+                made: list[list] = [[] for _ in names]
+                counts = []
+                for page in _pages(part):
+                    columns = rows_of(page)
+                    counts.append(len(columns[0]))
+                    for out, column in zip(made, columns):
+                        out.extend(column)
+                carried = part.select(keep).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+                arrays = [pa.array(c, t) for c, t in zip(made, types)]
+                yield pa.RecordBatch.from_arrays([*carried.columns, *arrays], [*keep, *names])
+        # workers live on: what Arrow keeps of a partition goes back with its end
+        pa.default_memory_pool().release_unused()
 
     narrow = dom.select(*keep, *(F.col(f"nodes.{c}").alias(f"_{c}") for c in _READ))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dom.select(*keep).schema)
