@@ -140,3 +140,16 @@ def test_generated_urls_leave_in_pieces(spark):
     got = generated_urls(seeds, "seed", pages)
     counts = got.groupBy("seed").agg(F.count("*"), F.max("pos"), F.max(F.col("url") == F.concat("seed", F.lit("/"), "pos")))
     assert rows(counts) == [("few", 2, 1, True), ("many", 3_000_000, 2_999_999, True)]
+
+
+def test_seeds_share_pieces(spark):
+    from pyspark.sql import functions as F
+
+    seeds = spark.range(0, 400, 1, 1).select("id", F.col("id").cast("string").alias("seed"))
+    pages = lambda seed: (f"{seed}/{i}" for i in range(int(seed) % 4))
+    got = generated_urls(seeds, "seed", pages, 100)
+    assert rows(got, "id", "pos", "url") == sorted(((i, n, f"{i}/{n}") for i in range(400) for n in range(i % 4)), key=repr)
+
+    # what leaves the worker as one batch arrives as one: 600 URLs in six batches
+    batches = got.mapInArrow(lambda parts: (p.select(["pos"]).slice(0, 1) for p in parts), "pos long")
+    assert batches.count() <= 7
