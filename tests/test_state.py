@@ -153,3 +153,19 @@ def test_seeds_share_pieces(spark):
     # what leaves the worker as one batch arrives as one: 600 URLs in six batches
     batches = got.mapInArrow(lambda parts: (p.select(["pos"]).slice(0, 1) for p in parts), "pos long")
     assert batches.count() <= 7
+
+
+def test_tables_of_many_jobs_are_not_sent_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many")
+    jobs = spark.range(50).selectExpr("concat('j', id) AS job_name", "'scrapy' AS job_type", "concat('u', id % 7) AS url")
+    JS.create(spark, path, jobs)
+    JS.save(spark, path, jobs)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(JS.visited(spark, path))
+    assert "Broadcast" in plan(JS.visited(spark, path, jobs))  # a few jobs are
+    monkeypatch.setattr(JS, "SENT_JOBS", 49)
+    some = JS.visited(spark, path, jobs)
+    assert "Broadcast" not in plan(some) and some.count() == 50
+    JS.save(spark, path, jobs.selectExpr("job_name", "'v' AS url").filter("job_name < 'j2'"), replace=True)
+    got = JS.visited(spark, path).groupBy("url").count()
+    assert rows(got.filter("url = 'v'"), "count") == [(12,)] and JS.states(spark, path).count() == 50
