@@ -9,6 +9,7 @@ from pageloom.operators import elements as E
 from pageloom.operators import history as H
 from pageloom.operators import infer as I
 from pageloom.operators import select as S
+from pageloom.operators.selectors import node_fields
 from pageloom.operators.shred import shred
 from pageloom.plans.session import materialise
 from pageloom.workload.registry import order_pages, page_dom, part_pages, query, sql_unescape, table
@@ -35,7 +36,8 @@ PART_SIGNATURES = (
     f"SELECT page_id, signature, CAST(matched AS BIGINT) AS matched, matched = 1 AS is_selector FROM ({PART_SIGNATURES})",
 )
 def signature_uniqueness(spark, sf):
-    return I.signature_uniqueness(shred(part_pages(spark, sf))).select("page_id", "signature", "matched", "is_selector")
+    dom = shred(part_pages(spark, sf), ("tag", "id", "classes", "parent", "last", "nth"))
+    return I.signature_uniqueness(dom).select("page_id", "signature", "matched", "is_selector")
 
 
 @query(
@@ -49,8 +51,9 @@ def similar_elements(spark, sf):
 
 @query("all_similar_matches", "SELECT p_partkey AS page_id, false AS all_similar FROM part UNION ALL SELECT o_orderkey + 10000000000, true FROM orders")
 def all_similar_matches(spark, sf):
-    mixed = E.all_similar(shred(part_pages(spark, sf)), "a, img")
-    same = E.all_similar(shred(order_pages(spark, sf)), "table.lines th")
+    shape = {"id", "classes"}
+    mixed = E.all_similar(shred(part_pages(spark, sf), node_fields("a, img") | shape), "a, img")
+    same = E.all_similar(shred(order_pages(spark, sf), node_fields("table.lines th") | shape), "table.lines th")
     shifted = same.withColumn("page_id", F.col("page_id") + 10000000000)
     return mixed.unionByName(shifted).select("page_id", "all_similar")
 

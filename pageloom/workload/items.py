@@ -29,6 +29,7 @@ from pageloom.operators import fields as Fd
 from pageloom.operators import post as P
 from pageloom.operators import tables as T
 from pageloom.operators.jobs import with_defaults, with_params
+from pageloom.operators.selectors import node_fields
 from pageloom.operators.shred import shred
 from pageloom.plans.crawl import crawl, crawl_list, run_job_table
 from pageloom.sources.pages import read_pages
@@ -253,7 +254,7 @@ def items_of_mixed_selectors(spark, sf):
 def tables_and_kinds(spark, sf):
     parts = part_pages(spark, sf).withColumn("source", F.lit("part"))
     orders = order_pages(spark, sf).withColumn("source", F.lit("order"))
-    return T.tables(shred(parts.unionByName(orders))).select("page_id", "source", "table_no", "kind")
+    return T.tables(shred(parts.unionByName(orders), ("pre", "last", "tag"))).select("page_id", "source", "table_no", "kind")
 
 
 @query(
@@ -292,7 +293,7 @@ ORDER_CELLS = (
     f"SELECT o_orderkey, 'Field', row, field FROM ({ORDER_CELLS}) UNION ALL SELECT o_orderkey, 'Value', row, value FROM ({ORDER_CELLS})",
 )
 def keys_top_tables(spark, sf):
-    dom = shred(order_pages(spark, sf))
+    dom = shred(order_pages(spark, sf), node_fields("table.lines") | {"attrs"})
     return T.table_rows(dom, TableSelector("table.lines", CSS, TABLE_VHEADERS)).select("page_id", "key", "row", "value")
 
 
@@ -302,7 +303,7 @@ def keys_top_tables(spark, sf):
     "UNION ALL SELECT o_orderkey, 0, 'Order sheet' FROM orders",
 )
 def row_spans_filled(spark, sf):
-    rows = T.expanded_rows(shred(order_pages(spark, sf)), "table.lines")
+    rows = T.expanded_rows(shred(order_pages(spark, sf), node_fields("table.lines") | {"attrs"}), "table.lines")
     return rows.select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 

@@ -316,7 +316,7 @@ def frontier_over_turns(spark, sf):
 
 @query("item_links_per_listing", "SELECT o_orderkey AS page_id, c_custkey AS item_page_id FROM orders JOIN customer ON o_custkey = c_custkey")
 def item_links_per_listing(spark, sf):
-    listings = shred(order_pages(spark, sf))
+    listings = shred(order_pages(spark, sf), L.link_fields("a.who"))
     return L.item_links(listings, "a.who", customer_pages(spark, sf)).select("page_id", "item_page_id")
 
 

@@ -121,6 +121,13 @@ def test_spread_leaves_wide_inputs_alone(spark):
     assert PS.spread(wide, "id") is wide
 
 
+def test_spread_bounds_the_rows_of_a_task(spark):
+    few = PS.spread(spark.range(1000).coalesce(1), "id", 10)
+    assert few.rdd.getNumPartitions() == 100
+    assert max(few.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 40
+    assert few.count() == 1000 and few.distinct().count() == 1000
+
+
 def test_bind_computes_its_value_once(spark):
     df = spark.range(20).select(bind(F.rand(), lambda x: F.array(x, x)).alias("a"))
     assert df.filter(F.col("a")[0] != F.col("a")[1]).isEmpty()
