@@ -218,3 +218,16 @@ def test_form_inventory(page):
 def test_attribute_inventory(page):
     got = E.attributes(page("<a href=x id=k></a><b></b>"))
     assert rows(got, "tag", "name", "value") == [("a", "href", "x"), ("a", "id", "k")]
+
+
+def test_pages_share_batches(spark, page):
+    htmls = [f"<div id=i{i}><p class=c>x</p>{'<p>y</p>' * (i % 3)}</div>" if i % 5 else "" for i in range(200)]
+    got = I.signature_uniqueness(page(*htmls))
+    want = [
+        (i + 1, *row)
+        for i, html in enumerate(htmls)
+        if html
+        for row in [(f"div#i{i}", 1, True), ("p.c", 1, True), *([("p", 1 + i % 3, False)] if i % 3 else [])]
+    ]
+    assert rows(got, "page_id", "signature", "matched", "is_selector") == sorted(want, key=repr)
+    assert got.select("page_id").mapInArrow(lambda parts: (p.slice(0, 1) for p in parts), "page_id long").count() < 10
