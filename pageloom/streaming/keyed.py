@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,10 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 IDLE_MS, LATE = 24 * 3600 * 1000, "1 hour"
 
 
-def _kept(state: GroupState, times: pd.Series | None, idle_ms: int) -> None:
-    """Let the state go ``idle_ms`` after the last of these event times."""
-    if times is not None:
-        end = int(times.max().timestamp() * 1000) + idle_ms
+def _kept(state: GroupState, latest: pd.Timestamp | None, idle_ms: int) -> None:
+    """Let the state go ``idle_ms`` after this event time."""
+    if latest is not None:
+        end = int(latest.timestamp() * 1000) + idle_ms
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
 
@@ -32,15 +33,8 @@ def _watched(stream: DataFrame, event_time: str | None) -> tuple[DataFrame, str]
     return stream.withWatermark(event_time, LATE), GroupStateTimeout.EventTimeTimeout
 
 
-def flag_first(
-    stream: DataFrame, job: str, order: str, event_time: str | None = None, idle_ms: int = IDLE_MS
-) -> DataFrame:
-    """Every record, with ``is_first``: whether it has the least ``order`` of the micro-batch that brought its job.
-
-    A job's records come in order over micro-batches; within one they may come in any.
-    """
-    columns = stream.columns
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+def _flagged(columns: list[str], order: str, event_time: str | None, idle_ms: int):
+    """The function of :func:`flag_first` for one key: a key whose rows come in one piece leaves in one piece."""
 
     def flagged(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,24 +43,45 @@ def flag_first(
         known, first = state.exists, state.get[0] if state.exists else ""
         waiting: pd.DataFrame | None = None
         latest = None
-        for part in parts:
-            part = part[columns]
+        part = next(parts, None)
+        while part is not None:
+            following = next(parts, None)
+            if list(part.columns) != columns:
+                part = part[columns]
             if event_time is not None:
-                ends = part[[event_time]].max() if latest is None else pd.concat([latest, part[[event_time]].max()])
-                latest = ends
+                top = part[event_time].max()
+                latest = top if latest is None or latest is pd.NaT or top > latest else latest
             if known:
                 yield part.assign(is_first=False)
-                continue
-            # the least record so far waits; all others can go
-            own = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
-            at = own[order].idxmin()
-            waiting, first = own.loc[[at]], str(own.loc[at, order])
-            yield own.drop(index=at).assign(is_first=False)
-        if waiting is not None:
-            yield waiting.assign(is_first=True)
+            else:
+                # the least record so far waits; all others can go
+                own = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
+                at = own[order].argmin()
+                first = str(own[order].iat[at])
+                if following is None:
+                    flags = np.zeros(len(own), bool)
+                    flags[at] = True
+                    yield own.assign(is_first=flags)
+                else:
+                    waiting = own.iloc[[at]]
+                    yield own.drop(index=own.index[at]).assign(is_first=False)
+            part = following
         state.update((first,))
         _kept(state, latest, idle_ms)
 
+    return flagged
+
+
+def flag_first(
+    stream: DataFrame, job: str, order: str, event_time: str | None = None, idle_ms: int = IDLE_MS
+) -> DataFrame:
+    """Every record, with ``is_first``: whether it has the least ``order`` of the micro-batch that brought its job.
+
+    A job's records come in order over micro-batches; within one they may come in any.
+    """
+    columns = stream.columns
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    flagged = _flagged(columns, order, event_time, idle_ms)
     watched, timeout = _watched(stream, event_time)
     return watched.groupBy(job).applyInPandasWithState(flagged, f"{kind}, is_first boolean", "first string", "append", timeout)
 
@@ -86,15 +101,18 @@ def live_selectors(
             state.remove()
             return
         live: list[str] = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat([p[read] for p in parts], ignore_index=True).sort_values(order, kind="stable")
-        for is_add, selector in zip(rows["is_add"], rows["selector"]):
+        pieces = [[p[c] for c in read] for p in parts]
+        rows = pieces[0] if len(pieces) == 1 else [pd.concat(c, ignore_index=True) for c in zip(*pieces)]
+        seen, is_adds, selectors = (c.to_numpy() for c in rows[:3])
+        upwards = np.argsort(seen, kind="stable")
+        for is_add, selector in zip(is_adds[upwards], selectors[upwards]):
             if selector in live:
                 live.remove(selector)
             if is_add:
                 live.append(selector)
         state.update((json.dumps(live),))
-        _kept(state, rows[event_time] if event_time else None, idle_ms)
-        yield pd.DataFrame({field: [key[0]], order: [int(rows[order].iloc[-1])], "selector": [live[-1] if live else None]})
+        _kept(state, rows[3].max() if event_time else None, idle_ms)
+        yield pd.DataFrame({field: [key[0]], order: [int(seen[upwards[-1]])], "selector": [live[-1] if live else None]})
 
     kinds, read = dict(actions.dtypes), [order, "is_add", "selector", *([event_time] if event_time else [])]
     watched, timeout = _watched(actions, event_time)

@@ -37,7 +37,7 @@ def _in_batches(spark, sf):
     last = events.agg(F.max("event_id")).first()[0] or 0
     for k in range(BATCHES):  # one after the other, as files are read in the order of their times
         own = F.floor(F.col("event_id") * BATCHES / (last + 1)) == k
-        events.filter(own).coalesce(1).write.mode("append").parquet(base)
+        events.filter(own).repartition(1).write.mode("append").parquet(base)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 

@@ -144,3 +144,23 @@ def test_one_query_feeds_both_consumers(stream, tmp_path):
     ).awaitTermination()
     assert seen["items"] == [(0, [2, 4]), (1, [5, 8]), (2, [9, 11])]
     assert seen["events"] == [(0, [1]), (1, [6, 7]), (2, [10])]
+
+
+def test_a_key_in_one_piece_leaves_in_one_piece():
+    import pandas as pd
+
+    from pageloom.streaming import keyed
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+    part = lambda *seq: pd.DataFrame({"job": "a", "seq": seq})
+    flagged = keyed._flagged(["job", "seq"], "seq", None, 0)
+    state = State()
+    (only,) = flagged(("a",), iter([part(3, 1, 2)]), state)
+    assert only["is_first"].tolist() == [False, True, False] and state.value == ("1",)
+    many = pd.concat(flagged(("a",), iter([part(3, 2), part(5, 1), part(4)]), State()))
+    assert sorted(zip(many["seq"], many["is_first"])) == [(1, True), (2, False), (3, False), (4, False), (5, False)]
