@@ -11,8 +11,8 @@ from pageloom.operators import infer as I
 from pageloom.operators import select as S
 from pageloom.operators.selectors import node_fields
 from pageloom.operators.shred import shred
-from pageloom.plans.session import materialise
-from pageloom.workload.registry import order_pages, page_dom, part_pages, query, sql_unescape, table
+from pageloom.plans.session import materialise, spread
+from pageloom.workload.registry import TASK_PAGES, order_pages, page_dom, part_pages, query, sql_unescape, table
 
 CLASSED = "regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)"
 
@@ -92,7 +92,9 @@ def _line_selector(one: str, own: str, ordinal: str) -> str:
 )
 def shortest_selectors_of_orders(spark, sf):
     """Pages with a section per return flag and a line per item: selectors of one to three steps, and ordinals."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_quantity")
+    # dealt out by page once, which serves both aggregates; about four lines a page
+    lines = spread(items, "l_orderkey", 4 * TASK_PAGES).groupBy("l_orderkey", "l_returnflag").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("lines")  # seven at most
     )
     body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<div class=line><b>"), x["l_quantity"].cast("string"), F.lit("</b></div>"))), "")
