@@ -8,6 +8,9 @@ together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +21,8 @@ from pageloom.llm.substrings import dedup_substrings, small
 from pageloom.llm.toxicity import fit_tagger, without_toxic
 from pageloom.plans.session import configure, fresh_path, materialise
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is not in ``ids`` ``(gone)``; null is an id too."""
@@ -61,12 +66,22 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _configured(stage: Stage) -> Stage:
+    """``stage`` under the session settings it relies on (Arrow batches bounded by bytes), whoever calls it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    ("toxicity", _configured(toxicity)),
+    ("near_dedup", _configured(near_dedup)),
+    ("substring_dedup", _configured(substring_dedup)),
+    ("decontamination", _configured(decontamination)),
+    ("packing", _configured(packing)),
 ]
 
 #: SQL can express neither the tagger nor the sketches nor the packing; tests/llm/test_pipeline.py compares by brute force.

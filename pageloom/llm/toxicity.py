@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from pageloom.llm.words import PIECE_BYTES, U, Words, find_words, mix, released, texts_of, windows
 
@@ -392,10 +393,12 @@ def score_toxicity(
     return out.withColumnRenamed("id", id_col)
 
 
-def _clean(tagger: Tagger, threshold: float):
+def _clean(tagger: Tagger, threshold: float, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            for part in _tag(tagger, 2.0)(iter([batch.select(["text"])])):
+            texts = pa.RecordBatch.from_arrays([batch.column(text)], ["text"])
+            batch = batch.select(columns)
+            for part in _tag(tagger, 2.0)(iter([texts])):
                 keep = part.column("score").to_numpy() < threshold
                 yield batch.slice(0, part.num_rows).filter(pa.array(keep))
                 batch = batch.slice(part.num_rows)
@@ -404,7 +407,9 @@ def _clean(tagger: Tagger, threshold: float):
 
 
 def without_toxic(docs: DataFrame, tagger: Tagger, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, that score below ``threshold``."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_clean(tagger, threshold), f"row {kind}, text string").select("row.*")
+    """Rows of ``docs``, all columns, that score below ``threshold``; a row crosses to Python and back once."""
+    text = docs.select(text_col).schema[0]
+    rows, sent = docs, text.name
+    if not isinstance(text.dataType, StringType):
+        rows, sent = docs.withColumn("_text", F.col(text_col).cast("string")), "_text"
+    return rows.mapInArrow(_clean(tagger, threshold, sent, docs.columns), docs.schema)

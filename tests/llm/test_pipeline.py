@@ -95,3 +95,17 @@ def test_odd_rows(spark, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {None, 1, 2, 3, 6} <= kept
     assert not {4, 5} & kept  # the row without an id comes first and holds the passage
+
+
+def test_stages_bound_arrow_batches(spark):
+    """A stage called on a session nobody configured still bounds the bytes of a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    own = spark.conf.get(name)
+    try:
+        for stage in (dict(corpus_pipeline.STAGES)[k] for k in ("decontamination", "packing")):
+            spark.conf.unset(name)
+            stage(spark, docs, SMALL)
+            assert spark.conf.get(name) == own
+    finally:
+        spark.conf.set(name, own)

@@ -94,6 +94,18 @@ def test_repeated_and_very_long_labelled_rows(spark):
     assert kept == {i for i, bad in labels if not bad}
 
 
+def test_texts_are_sent_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "x y", "fr"), (2, None, None)], "doc_id long, text string, lang string")
+    left = without_toxic(docs, Tagger(0.1))
+    assert left.schema == docs.schema and sorted(left.collect()) == sorted(docs.collect())
+    assert without_toxic(docs, Tagger(0.5)).count() == 0
+    # into the Python stage and out of it, and nowhere beside a row that holds it too
+    node = next(line for line in left._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert node.count("text#") == 2 and "row#" not in node
+    numbers = spark.createDataFrame([(1, 5)], "doc_id long, text int")
+    assert [tuple(r) for r in without_toxic(numbers, Tagger(0.1)).collect()] == [(1, 5)]
+
+
 def test_held_out_accuracy(spark):
     """Given data: few labels, and words of some languages are too rare to learn; clean ones stay clean."""
     folder = "/root/testdata/sf0.1"
