@@ -268,6 +268,43 @@ def test_edges_do_not_grow_with_jobs(spark, monkeypatch):
     assert known == [5]
 
 
+def test_start_pages_are_shredded_once_and_only_followers_have_a_frontier(spark, monkeypatch):
+    from pageloom.plans import crawl as plan
+
+    shred, expand, sent, seeds = plan.shred, plan.expand, [], []
+    monkeypatch.setattr(plan, "shred", lambda pages, *a: sent.extend(rows(pages, "url")) or shred(pages, *a))
+    monkeypatch.setattr(plan, "expand", lambda start, *a: seeds.extend(rows(start, "job_no")) or expand(start, *a))
+    sources = ['<h1>a1</h1><a class="to" href="/2">x</a>', "<h1>a2</h1>", '<h1>b1</h1><a class="next" href="/2">x</a>', "<h1>b2</h1>"]
+    urls = [f"http://{h}.example/{n}" for h in "ab" for n in (1, 2)]
+    pages = spark.createDataFrame(list(zip(range(4), urls, sources)), "page_id long, url string, html string")
+    spec = ItemSelector((KeyValueSelector("name", css("h1::text")),))
+    merged = ItemSelector(spec.selectors, (Merge(("name", "name"), "twice", "+"),))
+    mains = [MainPage(UrlSelector("a.to", CSS), spec), MainPage(None, merged), MainPage(None, spec, UrlSelector("a.next", CSS))]
+    jobs = [Job(i, f"j{i}", JobPath().add(Url(urls[at])).add(main)) for i, (at, main) in enumerate(zip((0, 0, 2), mains))]
+
+    def items(visited=None):
+        got = run_jobs(jobs, pages, site_params(spark, {}), None, visited).filter("page_id IS NOT NULL")
+        return rows(got.selectExpr("job_name", "page_id", "to_json(record) AS r"))
+
+    followed = [("j2", 2, '{"name":"b1"}'), ("j2", 3, '{"name":"b2"}')]
+    assert items() == [("j0", 1, '{"name":"a2"}'), ("j1", 0, '{"twice":"a1+a1"}'), *followed]
+    assert sent.count((urls[0],)) == 1 and sent.count((urls[1],)) == 1
+    assert seeds == [(2,)]
+    assert items(spark.createDataFrame([(urls[0],)], "url string")) == [("j0", 1, '{"name":"a2"}'), *followed]
+
+
+def test_repeated_jobs_keep_their_rows(spark):
+    """A number may name several jobs: each is told of the pages and favicons of all."""
+    from pageloom.plans.crawl import run_job_table
+
+    pages = spark.createDataFrame([(1, "http://a.example/1", "<h1>x</h1>")], "page_id long, url string, html string")
+    main = MainPage(None, ItemSelector((KeyValueSelector("name", css("h1::text")),)))
+    table = [(0, "one", "http://a.example/1", 0), (0, "two", "http://a.example/1", 0), (5, "three", None, 0)]
+    jobs = spark.createDataFrame(table, "seq long, job_name string, url string, spec int")
+    got = run_job_table(jobs, [main], pages, site_params(spark, {})).select("job_name", "page_id")
+    assert rows(got) == sorted([("three", None)] + [("one", 1), ("two", 1)] + 2 * [("one", None), ("two", None)], key=repr)
+
+
 def seconds(df) -> float:
     started = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
